@@ -138,7 +138,11 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def packed(order_key: np.ndarray, n_keys_first: np.ndarray, values: np.ndarray) -> pa.Array:
-    """A binary column: one value for each run of ``values`` that begins at ``n_keys_first``."""
-    offsets = np.append(n_keys_first, len(order_key)).astype(np.int64) * values.dtype.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(n_keys_first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+def packed(values: np.ndarray, first: np.ndarray | None = None) -> pa.Array:
+    """A binary column: the rows of a two-dimensional array, or a record array cut at ``first``."""
+    if first is None:
+        at = np.arange(len(values) + 1) * (values[:1].nbytes if len(values) else 0)
+    else:
+        at = np.append(first, len(values)) * values.dtype.itemsize
+    kind, offsets = (pa.binary(), at.astype(np.int32)) if at[-1] < 2**31 else (pa.large_binary(), at.astype(np.int64))
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])

@@ -6,8 +6,8 @@ document with a smaller id? Comparing all windows would shuffle the corpus W tim
 * Every window picks the leftmost smallest hash of its grams (a minimizer). Equal windows pick equal grams, so all
   occurrences of one window meet in the bucket of that gram. Consecutive windows with one pick form a *context*.
 * Equal contexts (copies, however many) are collapsed to the smallest id per document group before they are shuffled.
-* Where a gram occurs in several different contexts, the contexts' units themselves go to a *shard* with the gram's
-  bucket, and the operator's own method (suffix arrays, or relative Lempel-Ziv parsing) decides every window there.
+* Where a gram occurs in several different contexts that agree on one side of it for half of what a window holds
+  besides the gram (else no window can be in both), the contexts' units themselves go to a *shard* with the bucket, and the operator's own method (suffix arrays, or relative Lempel-Ziv parsing) decides every window there.
 
 Documents are hashed into groups; each step's answers travel back to the group as bit masks in the order in which the
 group lists its contexts, which depends on nothing but the group's rows. So a recomputed task gives the same order.
@@ -31,7 +31,7 @@ from . import common, kernels
 #: Windows are looked at in tiles of this many, so that a very long text needs bounded working memory.
 TILE = 1 << 19
 _TILE_BITS = np.uint64((1 << 20) - 1)
-ENTRY = np.dtype([("gram", "<u8"), ("context", "<u8"), ("id", "<i8")])
+ENTRY = np.dtype([("gram", "<u8"), ("context", "<u8"), ("left", "<u2"), ("right", "<u2"), ("id", "<i8")])
 META = np.dtype([("entry", "<u4"), ("units", "<u4"), ("id", "<i8")])
 
 
@@ -49,14 +49,18 @@ def contexts(units: np.ndarray, start: np.ndarray, end: np.ndarray, window: int,
                 found.append(_contexts(units, at, to, np.array([at]), np.array([to]), k, window, gram))
         k = stop
     if not found:
-        found = [{"gram": np.zeros(0, np.uint64), "context": np.zeros(0, np.uint64), "text": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "last": np.zeros(0, np.int64)}]
+        found = [_nothing()]
     return {c: np.concatenate([f[c] for f in found]) for c in found[0]}
 
 
+def _nothing() -> dict[str, np.ndarray]:
+    kinds = {"gram": np.uint64, "context": np.uint64, "left": np.uint16, "right": np.uint16, "text": np.int64, "first": np.int64, "last": np.int64}
+    return {c: np.zeros(0, kind) for c, kind in kinds.items()}
+
+
 def _contexts(units, lo, hi, start, end, base, window, gram):
-    none = np.zeros(0, np.int64)
     if hi - lo < window:
-        return {"gram": none.astype(np.uint64), "context": none.astype(np.uint64), "text": none, "first": none, "last": none}
+        return _nothing()
     p = kernels.prefixes(units[lo:hi])
     inverse = kernels.powers(len(p))[1]
     grams = kernels.mix((p[gram:] - p[:-gram]) * inverse[: len(p) - gram])
@@ -68,12 +72,17 @@ def _contexts(units, lo, hi, start, end, base, window, gram):
     np.add.at(step, end[long] - window + 1 - lo, -1)
     at = np.flatnonzero(np.cumsum(step[: len(pick)]) > 0)
     if not len(at):
-        return {"gram": none.astype(np.uint64), "context": none.astype(np.uint64), "text": none, "first": none, "last": none}
+        return _nothing()
     picked = pick[at]
     new = np.flatnonzero(np.concatenate(([True], (picked[1:] != picked[:-1]) | (at[1:] != at[:-1] + 1))))
     first, last, anchor = at[new], at[np.append(new[1:], len(at)) - 1], picked[new]
     context = kernels.mix((p[last + window] - p[first]) * inverse[first] + (anchor - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (last - first).astype(np.uint64))
-    return {"gram": grams[anchor], "context": context, "text": base + np.searchsorted(start, first + lo, "right") - 1, "first": first + lo, "last": last + lo}
+    # a window reaches far enough to the left of its gram, or to the right: hashes of either side, 0 where the context ends before
+    side = -(-(window - gram) // 2)
+    a, b = np.maximum(anchor - side, 0), np.minimum(anchor + gram + side, len(p) - 1)
+    left = np.where(anchor - side >= first, kernels.mix((p[anchor] - p[a]) * inverse[a]) >> np.uint64(48) | np.uint64(1), np.uint64(0)).astype(np.uint16)
+    right = np.where(anchor + gram + side <= last + window, kernels.mix((p[b] - p[anchor]) * inverse[anchor]) >> np.uint64(48) | np.uint64(1), np.uint64(0)).astype(np.uint16)
+    return {"gram": grams[anchor], "context": context, "left": left, "right": right, "text": base + np.searchsorted(start, first + lo, "right") - 1, "first": first + lo, "last": last + lo}
 
 
 class Group:
@@ -117,7 +126,9 @@ class Group:
 
     def entries(self) -> np.ndarray:
         out = np.empty(len(self.rep), ENTRY)
-        out["gram"], out["context"], out["id"] = self.c["gram"][self.rep], self.c["context"][self.rep], self.ids[self.c["text"][self.rep]]
+        for name in ("gram", "context", "left", "right"):
+            out[name] = self.c[name][self.rep]
+        out["id"] = self.ids[self.c["text"][self.rep]]
         return out
 
     def masks(self, rows: list[tuple[int, bytes]]) -> np.ndarray:
@@ -165,8 +176,15 @@ def _decide(table: pa.Table) -> pa.Table:
     gram_at = np.flatnonzero(new_g[at])
     many = np.diff(np.append(gram_at, len(at))) > 1
     differ = np.minimum.reduceat(least, gram_at) != np.maximum.reduceat(least, gram_at)
+    maybe = np.flatnonzero(np.repeat(many & differ, np.diff(np.append(gram_at, len(at)))))
+    rep, near = order[at[maybe]], np.zeros(len(maybe), bool)
+    for side in ("left", "right"):  # a window in two contexts of a gram needs an equal side
+        x, y = e["gram"][rep], e[side][rep]
+        by = np.lexsort((y, x))
+        same = (x[by][1:] == x[by][:-1]) & (y[by][1:] == y[by][:-1]) & (y[by][1:] != 0)
+        near[by[1:][same]] = near[by[:-1][same]] = True
     open_ = np.zeros(len(e), bool)
-    open_[order[at]] = np.repeat(many & differ, np.diff(np.append(gram_at, len(at))))
+    open_[rep[near]] = True
     edge = np.append(0, np.cumsum(sizes))
     cut = list(zip(edge[:-1], edge[1:], strict=True))
     return pa.table({
@@ -195,7 +213,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
 
     def listed(table: pa.Table) -> pa.Table:
         group = Group(table, spec)
-        values = kernels.packed(group.rep, group.bucket_at, group.entries()).cast(pa.binary())
+        values = kernels.packed(group.entries(), group.bucket_at)
         return pa.table({"g": pa.array(np.full(len(group.buckets), table.column("g")[0].as_py()), pa.int32()), "bucket": pa.array(group.buckets, pa.int32()), "entries": values})
 
     def opened(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -2,7 +2,7 @@
 
 Shards hold the byte contexts that ``repeats`` routed to them. Each block of a shard gets a suffix array by
 Larsson-Sadakane refinement (rank doubling that touches only groups not yet singletons), common prefixes by Kasai's
-algorithm, and groups of window-long prefixes with their smallest id; the blocks' groups are merged by binary search.
+algorithm, and groups of window-long prefixes with their smallest id; blocks are merged by binary search for their groups' strings.
 
 Null texts are empty; texts shorter than the window stay whole; equal ids never remove from each other; ties between
 equal strings go to the smallest id, which keeps its bytes. Removal is judged on the input, not on what is left.
@@ -18,7 +18,7 @@ from . import kernels
 from .repeats import repeats
 
 #: Bytes of contexts that one suffix array covers; a larger shard is several blocks.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -143,7 +143,7 @@ def window_groups(units: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window:
     whose = np.zeros(len(text), np.int64)
     whose[starts] = ids[owner]
     least = np.minimum.reduceat(whose[position], head) if len(head) else np.zeros(0, np.int64)
-    strings = (text[position[head][:, None] + np.arange(window)] - 1).astype(np.uint8)
+    strings = np.lib.stride_tricks.sliding_window_view((text - 1).astype(np.uint8), window)[position[head]] if len(head) else np.zeros((0, window), np.uint8)
     return starts, of[starts], strings, least
 
 
@@ -154,16 +154,15 @@ def resolve(units: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window: int)
     unit_at = np.concatenate(([0], np.cumsum(sizes)))
     blocks = [window_groups(units[unit_at[a] : unit_at[b]], sizes[a:b], ids[a:b], window) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     least = [b[3] for b in blocks]
-    if len(blocks) > 1:  # each block's sorted strings, searched for in every other block's
+    if len(blocks) > 1:  # every block's sorted strings are searched for in what the blocks before have, and merged in
         keys = [np.ascontiguousarray(b[2]).view(f"S{window}").ravel() for b in blocks]
-        merged = [x.copy() for x in least]
-        for i, mine in enumerate(keys):
-            for j, theirs in enumerate(keys):
-                if i != j and len(theirs) and len(mine):
-                    place = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-                    same = theirs[place] == mine
-                    merged[i][same] = np.minimum(merged[i][same], least[j][place[same]])
-        least = merged
+        known, best = keys[0], least[0].copy()
+        for mine, ids_ in zip(keys[1:], least[1:], strict=True):
+            place = np.searchsorted(known, mine)
+            same = known[np.minimum(place, len(known) - 1)] == mine
+            np.minimum.at(best, place[same], ids_[same])
+            known, best = np.insert(known, place[~same], mine[~same]), np.insert(best, place[~same], ids_[~same])
+        least = [best[np.searchsorted(known, mine)] for mine in keys]
     out = []
     for (a, b), (_, of, _, _), least_ in zip(zip(edges[:-1], edges[1:], strict=True), blocks, least, strict=True):
         out.append(least_[of] < np.repeat(ids[a:b], sizes[a:b] - window + 1))
