@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that smaller documents have too. Bytes of characters that were cut apart go as well."""
     found = suffix_dedup.suffix_dedup(docs)
-    text = F.when(F.size("spans") > 0, _valid(F.col("kept"))).otherwise(F.decode("kept", F.lit("UTF-8")))
+    text = F.when(F.size("spans") > 0, _valid(F.col("kept"))).otherwise(F.decode("kept", "UTF-8"))
     rows = found.select("row.*", text.alias("new_text"), "n_units").where((F.col("n_units") == 0) | (F.length(F.trim("new_text")) > 0))
     out = rows.withColumn("text", F.col("new_text"))
     if "n_chars" in docs.columns:

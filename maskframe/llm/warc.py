@@ -113,7 +113,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
                     stream, count = None, 0
                 if stream is None:
                     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{number}.warc.gz"
-                    stream, number = fs.open_output_stream(f"{root}/{name}"), number + 1
+                    stream, number = fs.open_output_stream(f"{root}/{name}", compression=None), number + 1
                 data = payload.encode()
                 kind = "response" if own is None else "revisit"
                 stream.write(member(record(kind, None if id_ == common.NULL_ID else id_, uri, data, digest, len(data), own)))
