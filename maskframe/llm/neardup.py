@@ -5,10 +5,13 @@
 2. The forest: in each of several trees the signatures are sorted in an order of their own. All trees' rows are sorted
    together, range-partitioned, so that a dense region spreads over as many tasks as its rows need. Neighbours whose
    common prefix reaches ``DEPTH`` values are candidates; in a dense region only the ``NEAR`` rows on either side are
-   looked at, which are those with the longest common prefix: the depth adapts to the region.
-3. First round: every class with its best candidate (by signature) is compared on full sets; confirmed links are joined
-   to components. Second round: all candidates, in all trees, that lie in different components are compared likewise.
-   So copies that are linked already cost nothing, and only pairs that could still change the result are looked at.
+   looked at, which are those with the longest common prefix: the depth adapts to the region. Candidates, joined
+   to components, are *regions*: the texts of two regions are no candidates of each other in any tree.
+3. Inside a region links are found on the full sets, all pairs alike, so nothing depends on what the forest put next to
+   what. A region is dealt into blocks. First every block is compared within itself and with block 0; then the texts
+   that this left outside the region's largest component, usually few, are compared with every block. Sets are compared
+   as products of 0/1 matrices over the shingles that several texts of a block have; only a spanning forest of the
+   links leaves a task.
 
 Two sets at the similarity threshold share a tree's prefix with probability J**DEPTH; the number of trees is chosen so
 that all trees miss such a pair with probability 1e-5 at most. Signatures drop a candidate only where they lie more than
@@ -34,8 +37,12 @@ from .components import components
 
 HASHES, DEPTH, NEAR = 64, 3, 24
 MISS = 1e-5
-#: Up to so many candidate ids (16 MB) are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Texts in a block; about so many texts of small regions share a task's group.
+CELL, PACK = 512, 2000
+#: Columns of a block's matrix at a time.
+COLUMNS = 4096
+#: Up to so many candidate ids (32 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _CHUNK = 1 << 20
 _R = np.random.default_rng(77)
 _MUL = _R.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,7 +128,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 
 def forest(classes: DataFrame, threshold: float) -> DataFrame:
-    """One row a class and tree, sorted over all partitions: order (tree, DEPTH whole values, the low bytes of the rest), id, n, part."""
+    """One row a class and tree, sorted over all partitions: order (tree, DEPTH whole values, the low bytes of the rest), id, n."""
     count = trees(threshold)
 
     def run(batches):
@@ -134,77 +141,118 @@ def forest(classes: DataFrame, threshold: float) -> DataFrame:
                 order[:, 0] = t
                 order[:, 1 : 1 + 4 * DEPTH] = np.ascontiguousarray(own[:, :DEPTH].astype(">u4")).view(np.uint8).reshape(len(sig), -1)
                 order[:, 1 + 4 * DEPTH :] = own[:, DEPTH:].astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([kernels.packed(order), batch.column("id"), batch.column("n"), batch.column("part")], ["o", "id", "n", "part"])
+                yield pa.RecordBatch.from_arrays([kernels.packed(order), batch.column("id"), batch.column("n")], ["o", "id", "n"])
 
-    rows = classes.select("id", "n", "part", "signature").mapInArrow(run, "o binary, id long, n long, part long")
+    rows = classes.select("id", "n", "signature").mapInArrow(run, "o binary, id long, n long")
     return rows.repartitionByRange(common.shuffle_partitions(classes.sparkSession), "o", "id").sortWithinPartitions("o", "id")
 
 
-def neighbours(rows: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """Candidate pairs (a, b, equal) of rows whose parts differ; with ``best`` only each row's best one, either way round."""
+def candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of neighbours in a tree that join all candidates of a task to the components they form."""
     least, prefix = least_equal(threshold), 1 + 4 * DEPTH
 
     def run(batches):
         tail = None
         for batch in batches:
             o = np.frombuffer(b"".join(batch.column("o").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            id_, n, part = (batch.column(c).to_numpy() for c in ("id", "n", "part"))
+            id_, n = (batch.column(c).to_numpy() for c in ("id", "n"))
             if tail is not None:
-                o, id_, n, part = (np.concatenate(x) for x in zip(tail, (o, id_, n, part), strict=True))
+                o, id_, n = (np.concatenate(x) for x in zip(tail, (o, id_, n), strict=True))
             had = 0 if tail is None else len(tail[1])
             key = np.ascontiguousarray(o[:, :prefix]).view(f"V{prefix}").ravel()
             low = np.concatenate((o[:, 4:prefix:4], o[:, prefix:]), axis=1)
-            top, mate = np.full(len(id_), -1), np.zeros(len(id_), np.int64)
-            found = []
+            root, found = np.arange(len(id_)), []
             for step in range(1, min(NEAR, len(id_) - 1) + 1):
                 j = np.arange(max(had, step), len(id_))
-                i = j - step
-                j = j[key[i] == key[j]]
+                j = j[key[j - step] == key[j]]
                 if not len(j):
                     break
                 i = j - step
-                fit = (part[i] != part[j]) & (id_[i] != id_[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+                fit = (root[i] != root[j]) & (id_[i] != id_[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
                 i, j = i[fit], j[fit]
-                equal = (low[i] == low[j]).sum(axis=1)
-                i, j, equal = i[equal >= least], j[equal >= least], equal[equal >= least]
-                if best:
-                    for x, y in ((i, j), (j, i)):
-                        better = equal > top[x]
-                        top[x[better]], mate[x[better]] = equal[better], id_[y[better]]
-                else:
-                    found.append((np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j]), equal))
-            if best:
-                k = np.flatnonzero(top >= 0)
-                found = [(id_[k], mate[k], top[k])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found]).astype(np.int64)) for c in range(3)], ["a", "b", "equal"])
-            tail = tuple(x[-NEAR:] for x in (o, id_, n, part))
-
-    return rows.mapInArrow(run, "a long, b long, equal long")
-
-
-def linked(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    hundredths = round(threshold * 100)
+                fit = (low[i] == low[j]).sum(axis=1) >= least
+                found += _joined(root, i[fit], j[fit])
+            i, j = (np.array([f[c] for f in found], np.int64) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(id_[i]), pa.array(id_[j])], ["a", "b"])
+            tail = tuple(x[-NEAR:] for x in (o, id_, n))
 
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch, 2):
-                x, xa = shingle_sets(part.column(2), size)
-                y, ya = shingle_sets(part.column(3), size)
-                keep = []
-                for k in range(part.num_rows):
-                    s, t = x[xa[k] : xa[k + 1]], y[ya[k] : ya[k + 1]]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= hundredths * (len(s) + len(t) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep))
-
-    one = texts.select(F.col("id").alias("i"), F.col("text").alias("s"))
-    two = texts.select(F.col("id").alias("j"), F.col("text").alias("t"))
-    rows = pairs.join(one.hint("merge"), F.col("a") == F.col("i")).join(two.hint("merge"), F.col("b") == F.col("j")).select("a", "b", "s", "t")
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Join the components of the pairs in ``root`` (each node's root, flat before and after); the pairs that did so."""
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = x, y
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((x, y))
+    while len(out):
+        up = root[root]
+        if (up == root).all():
+            break
+        root[:] = up
+    return out
+
+
+def set_links(flat: np.ndarray, at: np.ndarray, own: np.ndarray, hundredths: int) -> list[tuple[int, int]]:
+    """Links that join the linked sets, of pairs with at least one of ``own`` (a mask): full sets, exact counts."""
+    n = len(at) - 1
+    size = np.diff(at)
+    values, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(seen > 1) - 1
+    several = seen[column] > 1
+    row = np.repeat(np.arange(n), size)[several]
+    column = place[column[several]]
+    mine = np.flatnonzero(own)
+    both = np.zeros((len(mine), n), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(place[-1]) + 1 if len(values) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[row[a:b], column[a:b] - first] = 1
+        both += m[mine] @ m.T
+    counts = both.astype(np.int64)
+    linked = (counts > 0) & (100 * counts >= hundredths * (size[mine][:, None] + size[None, :] - counts))
+    i, j = np.nonzero(linked)
+    i = mine[i]
+    return _joined(np.arange(n), i[i != j], j[i != j])
+
+
+def links_in_cells(rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) of texts that share a cell and region; rows: (cell, region, own, id, text), own: compared with all there."""
+    hundredths = round(threshold * 100)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        region, id_ = table.column("region").to_numpy(), table.column("id").to_numpy()
+        own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        flats, ats = [], [np.zeros(1, np.int64)]
+        for batch in table.select(["id", "text"]).to_batches():
+            for part in chunks(batch):
+                f, x = shingle_sets(part.column(1), size)
+                ats.append(x[1:] + ats[-1][-1])
+                flats.append(f)
+        flat, at = np.concatenate(flats), np.concatenate(ats)
+        order = np.argsort(region, kind="stable")
+        bounds = np.flatnonzero(np.concatenate(([True], region[order][1:] != region[order][:-1], [True])))
+        a, b = [], []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            k = order[lo:hi]
+            sets = [flat[at[x] : at[x + 1]] for x in k]
+            for i, j in set_links(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), own[k], hundredths):
+                a.append(id_[k[i]])
+                b.append(id_[k[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("cell").applyInArrow(run, "a long, b long")
+
+
 def _same_ids(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of an id that occurs with several sets."""
     several = sets.where("n > 0").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y").select("id")
@@ -216,23 +264,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component) for each row of ``docs``: the smallest id that links reach, the row's own included."""
     spark = docs.sparkSession
     sets = common.written(signed(docs, id_col, text_col, size), "sets")
-    # one member for each distinct set; ids that occur with several sets join those sets
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature"))
-    classes = common.written(classes.withColumn("part", F.monotonically_increasing_id()), "classes")
-    best = neighbours(forest(classes, threshold), threshold, best=True)
-    best = common.written(best.groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b")), "best")
-    ids = best.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # one member for each distinct set
+    classes = common.written(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature")), "classes")
+    roots = components(candidates(forest(classes, threshold), threshold))
+    # (id, region, blocks, block) of every text that has a candidate
+    members = roots.select(F.col("u").alias("id"), F.col("v").alias("region")).unionAll(roots.select(F.col("v").alias("id"), F.col("v").alias("region")).distinct())
+    sizes = members.groupBy("region").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")
+    members = common.written(members.join(sizes, "region").select("id", "region", "blocks", block.alias("block")), "regions")
+    n = members.count()
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    if best.count() <= BROADCAST_IDS // 2:
-        ids = F.broadcast(ids)
-    texts = common.written(texts.join(ids, "id", "left_semi"), "texts")
-    first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = common.written(linked(first, texts, size, threshold).unionAll(_same_ids(sets, classes)), "links")
-    roots = components(links)
-    part = classes.drop("part").join(roots.withColumnsRenamed({"u": "id", "v": "part"}), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    second = neighbours(forest(part, threshold), threshold, best=False).select("a", "b").distinct()
-    more = common.written(linked(second, texts, size, threshold), "links")
-    roots = components(roots.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(more.select("a", "b")))
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return texts.join(F.broadcast(rows) if n <= BROADCAST_IDS else rows, "id")
+
+    packs = max(4 * common.shuffle_partitions(spark), -(-n // PACK))
+    alone = F.concat(F.lit("p"), F.pmod(F.xxhash64("region", F.lit(13)), F.lit(packs)).cast("string"))
+    to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    cell = F.when(F.col("blocks") == 1, alone).otherwise(F.concat_ws("-", "region", "to"))
+    first = members.select("*", F.explode(to).alias("to")).select("id", "region", cell.alias("cell"), (F.col("block") == F.col("to")).alias("own"))
+    links = links_in_cells(with_texts(first).select("cell", "region", "own", "id", "text"), size, threshold)
+    roots = components(links.unionAll(_same_ids(sets, classes)))
+    # regions of several blocks: who isn't in the largest component meets everyone
+    parts = members.where("blocks > 1").join(roots.withColumnsRenamed({"u": "id", "v": "part"}), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    parts = common.written(parts, "parts")
+    largest = parts.groupBy("region", "part").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("k"))
+    largest = largest.where("k < m").select(F.col("region").alias("r"), "main", F.ceil((F.col("m") - F.col("k")) / CELL).cast("int").alias("seeking"))
+    parts = parts.join(largest, F.col("region") == F.col("r"))
+    seeker = F.col("part") != F.col("main")
+    mine = F.pmod(F.xxhash64("id", F.lit(12)), F.col("seeking")).cast("int")
+    every = parts.select("id", "region", "block", seeker.alias("seeker"), mine.alias("mine"), "blocks", F.explode(F.sequence(F.lit(0), F.col("seeking") - 1)).alias("s")).select(
+        "id", "region", F.concat_ws("-", "region", "s", "block").alias("cell"), (F.col("seeker") & (F.col("mine") == F.col("s"))).alias("own"))
+    asking = parts.where(seeker).select("id", "region", "block", mine.alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> block").select(
+        "id", "region", F.concat_ws("-", "region", "s", "other").alias("cell"), F.lit(True).alias("own"))
+    more = links_in_cells(with_texts(every.unionAll(asking)).select("cell", "region", "own", "id", "text"), size, threshold)
+    roots = components(roots.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(more))
     out = sets.join(classes.select("digest", F.col("id").alias("c")).hint("merge"), "digest", "left")
     out = out.join(roots.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "c", "id").alias("component"))
