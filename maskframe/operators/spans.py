@@ -107,10 +107,10 @@ def dilate(spans: DataFrame, keys: list[str], height: int, width: int, reach: in
     if reach <= 0:
         return union(spans, keys)
     kernel = [(dx, half) for dx, half in ellipse(reach)]
-    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(half).alias("half")) for dx, half in kernel])).alias("k")
-    moved = by_column(spans, F.lit(height)).select(*keys, "x", "y0", "y1", steps).where(f"x + k.dx >= 0 and x + k.dx < {width}")
-    x = F.col("x") + F.col("k.dx")
-    return union(moved.select(*keys, (x * height + F.greatest(F.col("y0") - F.col("k.half"), F.lit(0))).alias("s"), (x * height + F.least(F.col("y1") + F.col("k.half"), F.lit(height))).alias("e")), keys)
+    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(half).alias("half")) for dx, half in kernel])).alias("__k")
+    moved = by_column(spans, F.lit(height)).select(*keys, "x", "y0", "y1", steps).where(f"x + __k.dx >= 0 and x + __k.dx < {width}")
+    x = F.col("x") + F.col("__k.dx")
+    return union(moved.select(*keys, (x * height + F.greatest(F.col("y0") - F.col("__k.half"), F.lit(0))).alias("s"), (x * height + F.least(F.col("y1") + F.col("__k.half"), F.lit(height))).alias("e")), keys)
 
 
 def ellipse(reach: int) -> list[tuple[int, int]]:

@@ -14,7 +14,7 @@ from ..functions import names
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path) of the folder's own image files, by suffix in any case; file contents are not read."""
-    return spark.read.format("binaryFile").load(f"{folder}/*").select("path").where(names.is_image(F.col("path"))).orderBy("path")
+    return spark.read.format("binaryFile").load(folder).select("path").where(names.is_image(F.col("path"))).orderBy("path")
 
 
 def index_images(files: DataFrame) -> DataFrame:
