@@ -4,7 +4,8 @@
 2. MinHash near-dedup keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8);
 3. suffix-array dedup removes bytes covered by 50-byte strings of smaller documents; documents that nothing is left of go;
 4. benchmark decontamination drops documents with a window that matches a benchmark item;
-5. mixing brings the sources to their target weights: a row for each document that the mix takes, with its words taken.
+5. mixing brings the sources to their target weights: a row for each document that the mix takes, with its words taken
+   (added columns get an underscore where their name is taken).
 
 The first four return the columns of ``documents`` with texts as far as they were kept; ``n_chars`` follows the text.
 """
@@ -27,19 +28,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id. Texts without words have no group and stay."""
     found = neardup.near_duplicates(docs, size=5, threshold=0.8)
-    gone = found.where("id <> component").select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)) == F.col("gone_id"), "left_anti")
+    name = common.unused(docs, "gone_id")
+    gone = found.where("id <> component").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)) == F.col(name), "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that smaller documents have too. Bytes of characters that were cut apart go as well."""
     found = suffix_dedup.suffix_dedup(docs)
     text = F.when(F.size("spans") > 0, _valid(F.col("kept"))).otherwise(F.decode("kept", "UTF-8"))
-    rows = found.select("row.*", text.alias("new_text"), "n_units").where((F.col("n_units") == 0) | (F.length(F.trim("new_text")) > 0))
-    out = rows.withColumn("text", F.col("new_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows = found.select("row", text.alias("left"), "n_units").where((F.col("n_units") == 0) | (F.length(F.trim("left")) > 0))
+
+    def column(c: str):
+        if c == "text":
+            return F.col("left").alias(c)
+        if c == "n_chars":
+            return F.char_length("left").cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"row.`{c}`").alias(c)
+
+    return rows.select(*map(column, docs.columns))
 
 
 def _valid(kept):
@@ -56,8 +63,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document that it takes, with the words taken of it (repeats counted), its source's target and size."""
-    out = mixing.mix(docs)
-    return out.where("taken > 0").select("row.*", "size", "source_size", "target", "taken")
+    out = mixing.mix(docs).where("taken > 0")
+    return out.select("row.*", *[F.col(c).alias(common.unused(docs, c)) for c in ("size", "source_size", "target", "taken")])
 
 
 STAGES = [

@@ -124,8 +124,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that match no item."""
-    bad = matches(docs, benchmark, id_col, text_col).select(F.col("id").alias("__i"), F.col("text_hash").alias("__t")).distinct()
-    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)) == F.col("__i")) & (F.xxhash64(F.col(text_col)) == F.col("__t"))
+    i, t = common.unused(docs, "bad_id"), common.unused(docs, "bad_text")
+    bad = matches(docs, benchmark, id_col, text_col).select(F.col("id").alias(i), F.col("text_hash").alias(t)).distinct()
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)) == F.col(i)) & (F.xxhash64(F.col(text_col)) == F.col(t))
     return docs.join(bad, same, "left_anti")
 
 

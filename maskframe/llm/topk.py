@@ -26,6 +26,8 @@ from . import common
 
 #: Vectors in a block, blocks in a group (about), queries in a batch (about).
 BLOCK, BLOCKS, BATCH = 2048, 64, 2048
+#: Fewer vectors than this aren't worth a group of their own: every group returns k rows a query.
+SMALL = 256
 #: Depths at which seen vectors are scored and the threshold is tested, as shares of the block.
 DEPTHS = (1 / 64, 1 / 16, 1 / 4, 1 / 2)
 
@@ -104,7 +106,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     n = vectors.count()
     parts = common.shuffle_partitions(spark)
-    groups = max(parts, -(-n // (BLOCK * BLOCKS)))
+    groups = max(min(parts, -(-n // SMALL)), -(-n // (BLOCK * BLOCKS)), 1)
     batches = max(1, -(-queries.count() // BATCH))
     dims = F.size("v")
     place = lambda c, m, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(m)).cast("int")

@@ -19,8 +19,8 @@ def test_stages_on_given_tables(spark):
 @pytest.mark.parametrize("k", range(5))
 def test_nulls_and_empty_tables(spark, k):
     sf = "/root/testdata/sf0.001"
-    rows = [(1, "one two three four five six seven", "en", "s", 3, "x"), (None, None, None, None, None, None), (2, "", "en", "s", 0, "y"), (3, "1 2 3", None, None, 5, "z"), (1, "one two three four five six seven", "en", "s", 3, "x")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    rows = [(1, "one two three four five six seven", "en", "s", 3, "x", 1, "l", 2, 3), (None,) * 10, (2, "", "en", "s", 0, "y", 1, "l", 2, 3), (3, "1 2 3", None, None, 5, "z", None, None, None, None), (1, "one two three four five six seven", "en", "s", 3, "x", 1, "l", 2, 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, gone_id int, left string, taken int, bad_id int"
     docs = spark.createDataFrame(rows, schema)
     out = p.STAGES[k][1](spark, docs, sf)
     assert out.collect() is not None
