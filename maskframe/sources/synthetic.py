@@ -68,3 +68,36 @@ def frames(spark: SparkSession, n: int, side: int = 128, seed: int = 7, pixels:
     types = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in kinds.split(", ")])
     return spark.range(n).withColumn("stem", stem).mapInArrow(make, kinds)
+
+
+def write_dataset(spark: SparkSession, folder: str, n: int, side: int = 128, seed: int = 7) -> None:
+    """A dataset in the usual layout: PNG frames, and one annotation document with an entry for each annotator of a frame.
+
+    ``folder`` must be one that all executors see.
+    """
+    import os
+
+    from .images import png
+    from .layout import TRAIN
+
+    rows = frames(spark, n, side, seed, pixels=True)
+
+    def save(batches):
+        for b in batches:
+            for stem, h, w, image in zip(*(b.column(c).to_pylist() for c in ("stem", "h", "w", "image")), strict=True):
+                os.makedirs(f"{folder}/{TRAIN}", exist_ok=True)
+                with open(f"{folder}/{TRAIN}/{stem}.png", "wb") as f:
+                    f.write(png(np.frombuffer(image, np.uint8).reshape(h, w)))
+            yield b.select(["stem"])
+
+    one = rows.groupBy("stem").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.first("image").alias("image"))
+    one.mapInArrow(save, "stem string").count()
+    key = F.concat_ws("-", "annotator", "stem")
+    listed = rows.groupBy("stem", "annotator").agg(F.first("h").alias("height"), F.first("w").alias("width")).select(F.struct(key.alias("id"), F.concat(F.col("stem"), F.lit(".png")).alias("file_name"), "height", "width").alias("x"))
+    marks = rows.select(F.struct(F.concat_ws("-", key, "n").alias("id"), key.alias("image_id"), F.lit(1).alias("category_id"), F.struct(F.array("h", "w").alias("size"), F.col("counts").alias("counts")).alias("segmentation")).alias("x"))
+    # a small document by nature: one entry an annotator and frame of a generated set
+    doc = {"images": [r["x"].asDict(True) for r in listed.orderBy("x.id").collect()], "annotations": [r["x"].asDict(True) for r in marks.orderBy("x.id").collect()], "categories": [{"id": 1, "name": "filament"}]}
+    import json
+
+    with open(f"{folder}/train_annotations.json", "w") as f:
+        json.dump(doc, f)
