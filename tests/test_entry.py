@@ -33,3 +33,19 @@ def test_nothing_else_imports_them():
             for f in files:
                 if f.endswith(".py"):
                     assert ".llm" not in open(f"{folder}/{f}").read()
+
+
+def test_workers_get_the_package_without_a_path(tmp_path):
+    """A driver that only has the folder on its own path: Arrow functions still find their modules."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+q = e.queries()
+assert q["rle_counts_string"](spark, "/root/testdata/sf0.001").count() > 0
+assert q["instances_from_prob"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, timeout=300).returncode == 0
