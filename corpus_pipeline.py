@@ -15,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskframe import session
 from maskframe.llm import common, decontaminate, langid, mixing, neardup, suffix_dedup
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; nothing else is dropped, and columns stay as they are."""
+    session.ship(spark)
     row = common.unused(docs, "row")
     found = langid.identify(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)])
     return found.where(F.col("lang_pred") != langid.UND).select(f"{row}.*")
@@ -81,6 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
+    session.ship(spark)
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
