@@ -15,7 +15,7 @@ from . import common
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(links.select(F.col("v").alias("x"), F.col("u").alias("y")))
     least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("n"), F.least("x", "m").alias("m"))
-    return both.join(least.hint("merge"), F.col("x") == F.col("n")).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least.hint("merge"), F.col("x") == F.col("n")).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -26,9 +26,11 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionAll(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def _sum(links: DataFrame) -> tuple:
-    r = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.min("u").alias("m")).first()
-    return r["n"], r["x"], r["m"]
+def _done(links: DataFrame) -> bool:
+    """Whether every node has one link down, or links up only: then each component is a star around its smallest node."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("down")).unionAll(links.select(F.col("v").alias("n"), F.lit(0).alias("down")))
+    nodes = ends.groupBy("n").agg(F.sum("down").alias("down"), F.count("*").alias("all"))
+    return nodes.where("down > 1 or (down = 1 and all > 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,10 +39,6 @@ def components(links: DataFrame) -> DataFrame:
     ``links``: long columns a and b. Loops and repeated links do nothing; no links give no rows.
     """
     now = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
-    state = _sum(now)
-    while state[0]:
+    while not _done(now):
         now = common.written(_small_star(_large_star(now)), "links")
-        before, state = state, _sum(now)
-        if state == before:
-            break
     return now

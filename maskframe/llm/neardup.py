@@ -10,8 +10,8 @@
 3. Inside a region links are found on the full sets, all pairs alike, so nothing depends on what the forest put next to
    what. A region is dealt into blocks. First every block is compared within itself and with block 0; then the texts
    that this left outside the region's largest component, usually few, are compared with every block. Sets are compared
-   as products of 0/1 matrices over the shingles that several texts of a block have; only a spanning forest of the
-   links leaves a task.
+   as products of 0/1 matrices over the shingles that several texts of a block have; only one link for each text to the
+   smallest one it was joined with leaves a task.
 
 Two sets at the similarity threshold share a tree's prefix with probability J**DEPTH; the number of trees is chosen so
 that all trees miss such a pair with probability 1e-5 at most. Signatures drop a candidate only where they lie more than
@@ -172,8 +172,8 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
                 i, j = i[fit], j[fit]
                 fit = (low[i] == low[j]).sum(axis=1) >= least
                 found += _joined(root, i[fit], j[fit])
-            i, j = (np.array([f[c] for f in found], np.int64) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(id_[i]), pa.array(id_[j])], ["a", "b"])
+            i = np.unique(np.array(found, np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(id_[i]), pa.array(_smallest(root, id_)[i])], ["a", "b"])
             tail = tuple(x[-NEAR:] for x in (o, id_, n))
 
     return rows.mapInArrow(run, "a long, b long")
@@ -199,8 +199,15 @@ def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, i
     return out
 
 
-def set_links(flat: np.ndarray, at: np.ndarray, own: np.ndarray, hundredths: int) -> list[tuple[int, int]]:
-    """Links that join the linked sets, of pairs with at least one of ``own`` (a mask): full sets, exact counts."""
+def _smallest(root: np.ndarray, id_: np.ndarray) -> np.ndarray:
+    """The smallest id of each node's component: links to it make stars, which join in fewer rounds than chains."""
+    least = np.full(len(root), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, id_)
+    return least[root]
+
+
+def set_links(flat: np.ndarray, at: np.ndarray, own: np.ndarray, hundredths: int) -> np.ndarray:
+    """Components of the sets, by links between any and one of ``own`` (a mask): full sets, exact counts."""
     n = len(at) - 1
     size = np.diff(at)
     values, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
@@ -221,7 +228,9 @@ def set_links(flat: np.ndarray, at: np.ndarray, own: np.ndarray, hundredths: int
     linked = (counts > 0) & (100 * counts >= hundredths * (size[mine][:, None] + size[None, :] - counts))
     i, j = np.nonzero(linked)
     i = mine[i]
-    return _joined(np.arange(n), i[i != j], j[i != j])
+    root = np.arange(n)
+    _joined(root, i[i != j], j[i != j])
+    return root
 
 
 def links_in_cells(rows: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -245,10 +254,11 @@ def links_in_cells(rows: DataFrame, size: int, threshold: float) -> DataFrame:
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             k = order[lo:hi]
             sets = [flat[at[x] : at[x + 1]] for x in k]
-            for i, j in set_links(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), own[k], hundredths):
-                a.append(id_[k[i]])
-                b.append(id_[k[j]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            root = set_links(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), own[k], hundredths)
+            a.append(id_[k])
+            b.append(_smallest(root, id_[k]))
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
     return rows.groupBy("cell").applyInArrow(run, "a long, b long")
 
@@ -285,6 +295,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = members.select("*", F.explode(to).alias("to")).select("id", "region", cell.alias("cell"), (F.col("block") == F.col("to")).alias("own"))
     links = links_in_cells(with_texts(first).select("cell", "region", "own", "id", "text"), size, threshold)
     roots = components(links.unionAll(_same_ids(sets, classes)))
+    if members.where("blocks > 1").isEmpty():
+        return _answer(sets, classes, roots)
     # regions of several blocks: who isn't in the largest component meets everyone
     parts = members.where("blocks > 1").join(roots.withColumnsRenamed({"u": "id", "v": "part"}), "id", "left").withColumn("part", F.coalesce("part", "id"))
     parts = common.written(parts, "parts")
@@ -298,7 +310,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asking = parts.where(seeker).select("id", "region", "block", mine.alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> block").select(
         "id", "region", F.concat_ws("-", "region", "s", "other").alias("cell"), F.lit(True).alias("own"))
     more = links_in_cells(with_texts(every.unionAll(asking)).select("cell", "region", "own", "id", "text"), size, threshold)
-    roots = components(roots.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(more))
+    return _answer(sets, classes, components(roots.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(more)))
+
+
+def _answer(sets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     out = sets.join(classes.select("digest", F.col("id").alias("c")).hint("merge"), "digest", "left")
     out = out.join(roots.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "c", "id").alias("component"))
