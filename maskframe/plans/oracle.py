@@ -96,7 +96,19 @@ def _mask_spans() -> str:
     return _values(out)
 
 
+#: Columns that the queries give as 32-bit integers and DuckDB would count in 64 bits.
+NARROW = {
+    "dilate_merge": "label pos", "grid_tune": "config", "instance_filter": "label", "instances_from_prob": "label s e", "iou_matrix": "pred truth", "label_components_2d": "label pos",
+    "mask_rle_runs": "s e", "pq_match": "rater pred truth", "soft_target": "pos", "threshold_mask": "pos", "top_k_instances": "label", "tta_mean": "pos",
+}
+
+
 def oracle_sql() -> dict[str, str]:
+    narrow = lambda columns: ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns.split())
+    return {k: f"SELECT * REPLACE ({narrow(NARROW[k])}) FROM ({sql})" if k in NARROW else sql for k, sql in _sql().items()}
+
+
+def _sql() -> dict[str, str]:
     grid_rows = _values((k, f"{c.threshold}::DOUBLE", c.min_area, c.merge_dist) for k, c in enumerate(GRID))
     hann = "CASE WHEN {n} <= 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * ({i} + 1) / ({n} + 1)) END"
     union_a, union_r = _islands("(SELECT * FROM iv WHERE flag = 'A')", "ua", "l_orderkey"), _islands("(SELECT * FROM iv WHERE flag = 'R')", "ur", "l_orderkey")
