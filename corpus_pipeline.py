@@ -22,9 +22,9 @@ from maskframe.llm import common, decontaminate, langid, mixing, neardup, suffix
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; nothing else is dropped, and columns stay as they are."""
     session.ship(spark)
-    row = common.unused(docs, "row")
-    found = langid.identify(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)])
-    return found.where(F.col("lang_pred") != langid.UND).select(f"{row}.*")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    found = langid.identify(docs, [others], with_text=True).where(F.col("lang_pred") != langid.UND)
+    return found.select(*[F.col("__text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

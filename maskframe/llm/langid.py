@@ -145,8 +145,8 @@ def mixture(buckets: np.ndarray, model: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, names: list[str], model: np.ndarray, text_col: str, keep: list) -> DataFrame:
-    """``keep`` columns (by alias) with lang_pred, score and langs (the selected set with proportions)."""
+def predict(docs: DataFrame, names: list[str], model: np.ndarray, text_col: str, keep: list, with_text: bool = False) -> DataFrame:
+    """``keep`` columns (by alias) with lang_pred, score and langs (the selected set with proportions); ``with_text`` adds the text as ``__text``."""
     from pyspark.sql import types as T
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
@@ -156,6 +156,7 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray, text_col: str,
     def run(batches):
         for batch in batches:
             place = batch.num_columns - 1
+            kept = place + with_text
             for part in _chunks(batch, place):
                 what, at, has = grams(part.column(place))
                 pred, score, sets = [], [], []
@@ -172,10 +173,11 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray, text_col: str,
                     score.append(min(1.0, float(share[top])))
                     sets.append([{"lang": names[j], "share": float(share[j])} for j in np.flatnonzero(share > 0)])
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:place], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)], [*part.schema.names[:place], "lang_pred", "score", "langs"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)], [*part.schema.names[:kept], "lang_pred", "score", "langs"])
+            kernels.settle()
 
     langs = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", langs)])
+    schema = T.StructType([*(rows.schema.fields if with_text else rows.schema.fields[:-1]), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", langs)])
     return rows.mapInArrow(run, schema)
 
 
@@ -183,11 +185,11 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def identify(docs: DataFrame, keep: list, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, keep: list, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, with_text: bool = False) -> DataFrame:
     """Learn from the labelled rows that aren't held out, then predict every row."""
     labelled = docs.where(~F.coalesce(held_out(id_col), F.lit(False)))
     names, model = learn(labelled, text_col, lang_col, id_col, sample)
-    return predict(docs, names, model, text_col, keep)
+    return predict(docs, names, model, text_col, keep, with_text)
 
 
 def op3_language_id(spark, sf_dir) -> DataFrame:

@@ -122,6 +122,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     pa.array([hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
                     kernels.packed(sig),
                 ], ["id", "n", "digest", "signature"])
+            kernels.settle()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n long, digest binary, signature binary")
@@ -258,6 +259,7 @@ def links_in_cells(rows: DataFrame, size: int, threshold: float) -> DataFrame:
             a.append(id_[k])
             b.append(_smallest(root, id_[k]))
         a, b = np.concatenate(a), np.concatenate(b)
+        kernels.settle()
         return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
     return rows.groupBy("cell").applyInArrow(run, "a long, b long")

@@ -194,7 +194,7 @@ def _decide(table: pa.Table) -> pa.Table:
     })
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: int, gram: int, resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray], group_bytes: int = 8 << 20) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: int, gram: int, resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray], group_bytes: int = 4 << 20) -> DataFrame:
     """For each row of ``docs``: ``row`` (its columns but the text), ``n_units``, ``spans`` (removed runs of units) and ``kept`` bytes.
 
     ``resolve(units, sizes, ids, window)`` gets the contexts of a shard, one after another, and returns for each
@@ -214,6 +214,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
     def listed(table: pa.Table) -> pa.Table:
         group = Group(table, spec)
         values = kernels.packed(group.entries(), group.bucket_at)
+        kernels.settle()
         return pa.table({"g": pa.array(np.full(len(group.buckets), table.column("g")[0].as_py()), pa.int32()), "bucket": pa.array(group.buckets, pa.int32()), "entries": values})
 
     def opened(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -232,6 +233,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
             meta["entry"], meta["units"], meta["id"] = k, [len(c) for c in cut], group.ids[group.c["text"][reps]]
             out.append((g, int(b), meta.tobytes(), np.concatenate(cut).tobytes()))
         out.append((g, -1 - g, np.packbits(copies).tobytes(), b""))
+        kernels.settle()
         return pa.table({"g": pa.array([o[0] for o in out], pa.int32()), "bucket": pa.array([o[1] for o in out], pa.int32()), "meta": _binary([o[2] for o in out]), "units": _binary([o[3] for o in out])})
 
     def compared(table: pa.Table) -> pa.Table:
@@ -246,6 +248,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
         for m in metas:
             bits.append(np.packbits(hit[starts[at] : starts[at + len(m)]]).tobytes())
             at += len(m)
+        kernels.settle()
         return table.set_column(3, "units", _binary(bits))
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -289,6 +292,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
             else:
                 text = group.bytes[group.start[k] : group.end[k]].tobytes().split()
                 kept.append(b" ".join(w for w, x in zip(text, gone[a:b], strict=True) if not x) if len(lo) else b" ".join(text))
+        kernels.settle()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"row": group.data.column("row"), "n_units": pa.array(group.unit_end - group.unit_start, pa.int64()), "spans": pa.array(spans, kind), "kept": _binary(kept)})
 
