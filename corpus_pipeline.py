@@ -37,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that smaller documents have too. Bytes of characters that were cut apart go as well."""
-    found = suffix_dedup.suffix_dedup(docs)
-    text = F.when(F.size("spans") > 0, _valid(F.col("kept"))).otherwise(F.decode("kept", "UTF-8"))
+    found = suffix_dedup.suffix_dedup(docs, whole_characters=True)
+    text = F.decode("kept", "UTF-8")
     rows = found.select("row", text.alias("left"), "n_units").where((F.col("n_units") == 0) | (F.length(F.trim("left")) > 0))
 
     def column(c: str):
@@ -51,13 +51,6 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.select(*map(column, docs.columns))
 
 
-def _valid(kept):
-    """UTF-8 text of bytes that may have lost parts of characters."""
-    from pyspark.sql.functions import pandas_udf
-
-    return pandas_udf(lambda s: s.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")(kept)
-
-
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark match."""
     return decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))

@@ -194,12 +194,13 @@ def _decide(table: pa.Table) -> pa.Table:
     })
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: int, gram: int, resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray], group_bytes: int = 4 << 20) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: int, gram: int, resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray], group_bytes: int = 4 << 20, whole_characters: bool = False) -> DataFrame:
     """For each row of ``docs``: ``row`` (its columns but the text), ``n_units``, ``spans`` (removed runs of units) and ``kept`` bytes.
 
     ``resolve(units, sizes, ids, window)`` gets the contexts of a shard, one after another, and returns for each
     window start of each context whether that window also starts in a context of a smaller id.
-    Kept words are joined by one space; kept bytes are concatenated.
+    Kept words are joined by one space; kept bytes are concatenated, with ``whole_characters`` without those of characters
+    that were cut apart.
     """
     from pyspark.sql import types as T
 
@@ -288,7 +289,8 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(lo, hi, strict=True)])
             if unit == "byte":
                 text = group.bytes[a:b]
-                kept.append(text[~gone[a:b]].tobytes() if len(lo) else text.tobytes())
+                text = text[~gone[a:b]].tobytes() if len(lo) else text.tobytes()
+                kept.append(text.decode("utf-8", "ignore").encode() if whole_characters and len(lo) else text)
             else:
                 text = group.bytes[group.start[k] : group.end[k]].tobytes().split()
                 kept.append(b" ".join(w for w, x in zip(text, gone[a:b], strict=True) if not x) if len(lo) else b" ".join(text))

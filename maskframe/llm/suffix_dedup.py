@@ -169,9 +169,9 @@ def resolve(units: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window: int)
     return np.concatenate(out)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, whole_characters: bool = False) -> DataFrame:
     """``row`` (the other columns), ``n_units`` (bytes), ``spans`` (removed byte runs) and ``kept`` (the remaining bytes) for each row of ``docs``."""
-    return repeats(docs, id_col, text_col, unit="byte", window=window, gram=gram, resolve=resolve)
+    return repeats(docs, id_col, text_col, unit="byte", window=window, gram=gram, resolve=resolve, whole_characters=whole_characters)
 
 
 def op8_suffix_dedup(spark, sf_dir) -> DataFrame:
