@@ -84,13 +84,17 @@ def kasai(text: np.ndarray, sa: np.ndarray, limit: int, strips: int = 8192) -> n
     """Common prefix of each suffix and its predecessor in ``sa`` (0 for the first), counted up to ``limit``.
 
     Kasai's scan in text order, where a suffix shares all but one of the values its neighbour to the left shared;
-    it runs in many strips of the text at once, each of which starts from nothing.
+    it runs in many strips of the text at once, each of which starts from nothing. ``sa`` may be ordered by its first
+    ``limit`` values only: suffixes tied there can have their right neighbours the other way round, and where that is
+    so, the count starts from nothing too.
     """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
+    rank = np.full(n + 1, -1, np.int64)
+    rank[sa] = np.arange(n)
     padded = np.concatenate((text.astype(np.int32), np.full(limit + 1, -1, np.int32)))
     length = -(-n // min(strips, n))
     heads = np.arange(0, n, length)
@@ -109,12 +113,9 @@ def kasai(text: np.ndarray, sa: np.ndarray, limit: int, strips: int = 8192) -> n
             shared[go] += 1
             go = go[shared[go] < limit]
         out[i[live]] = shared[live]
-        shared = np.maximum(shared - 1, 0)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.arange(n)
-    lcp = np.zeros(n, np.int64)
-    lcp[rank] = out
-    return lcp
+        ordered = rank[j + 1] < rank[np.minimum(i + 1, n)]
+        shared = np.where(ordered, np.maximum(shared - 1, 0), 0)
+    return out[sa]
 
 
 def window_groups(units: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -57,6 +57,27 @@ def test_suffix_array_and_prefixes_against_sorting():
     assert len(suffix_array(np.zeros(0, np.uint16), 50)) == 0
 
 
+def test_prefixes_of_a_partial_order():
+    """Contexts that share 60 to 80 bytes: some pairs are tied where the suffix array stops."""
+    r = np.random.default_rng(11)
+    passages = [r.integers(98, 101, 84) for _ in range(40)]
+    parts = []
+    for _ in range(1600):
+        cut = int(r.integers(60, 81))
+        parts += [passages[r.integers(0, 40)][:cut], r.integers(98, 101, 84 - cut), [1]]
+    t = np.concatenate(parts).astype(np.uint16)
+    assert len(t) > 100_000
+    sa = suffix_array(t, WINDOW)
+    s = t.astype(np.uint8).tobytes()
+    want = [0]
+    for a, b in zip(sa[:-1].tolist(), sa[1:].tolist()):
+        x, y = s[a : a + WINDOW], s[b : b + WINDOW]
+        assert x <= y
+        want.append(next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y))))
+    assert kasai(t, sa, WINDOW, 7).tolist() == want
+    assert kasai(t, sa, WINDOW).tolist() == want
+
+
 def test_blocks_merge_by_binary_search(monkeypatch):
     import maskframe.llm.suffix_dedup as m
 
