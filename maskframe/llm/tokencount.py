@@ -7,7 +7,9 @@ each starts a word of its own; pieces' scores are added in double precision; of
 begins first wins; a character that is no piece may be an unknown of (smallest score - 10); neighbouring unknowns are one
 token, or one for each UTF-8 byte where the vocabulary has all byte pieces.
 
-The vocabulary comes from a sentencepiece model file, whose path is a parameter. Null and empty texts have 0 tokens.
+The vocabulary comes from a sentencepiece model file, whose path is a parameter. The installed one is a BPE model whose
+scores are negative merge ranks: they stand in for log probabilities, and counts are not those of the BPE model's own
+tokenizer. Null and empty texts have 0 tokens.
 """
 
 from __future__ import annotations
