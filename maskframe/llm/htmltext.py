@@ -1,11 +1,13 @@
 """Main text of web pages, with what a site's pages have in common removed.
 
 1. Every page is parsed to a tree; each element's subtree gets a hash of its tags and its white-space-free text.
-2. Spark counts, for each host, on how many of its pages a subtree occurs (one count a page and hash).
-3. Subtrees that recur on at least ``PAGES`` pages and on ``SHARE`` of a host's pages are its template and are deleted,
+2. Spark counts, for each host, with how many distinct articles a subtree occurs: pages whose text by step 4, before any
+   count, is the same are copies, and count once however many they are.
+3. Subtrees that recur with at least ``PAGES`` articles and with ``SHARE`` of a host's articles are its template and are deleted,
    as are elements that say themselves that they aren't content (menus, headers, footers, sidebars, notices, adverts,
-   forms, comments, scripts and so on: by tag, role, or a word of class or id). Inside a page's article only subtrees
-   that are no paragraph, heading, list or table of it are open to the count, or ones on ``ARTICLE_SHARE`` of the pages.
+   forms, comments, scripts and so on: by tag, role, or a word of class or id). Inside a page's article only blocks
+   that are no paragraph, heading, list or table of it are open to the count, or ones with ``ARTICLE_SHARE`` of the
+   articles; inline elements aren't. Without an article, neither are paragraphs, headings, and what is inline in text.
 4. What is left of the article elements (else of main, else of the body) is its blocks' text: character references
    decoded, runs of white space as one space, trimmed, empty blocks left out, joined by a newline in page order.
 
@@ -40,6 +42,8 @@ BLOCK = frozenset(
 )
 DROP = frozenset("nav aside footer form script style noscript template textarea title iframe object embed applet svg canvas button select option datalist dialog menu head audio video map input label fieldset noembed noframes math".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tbody thead tfoot tr td th blockquote pre figure figcaption article main section body html".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+TEXT = PROSE | frozenset("li dt dd td th figcaption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "thead"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -164,10 +168,31 @@ def _articles(root: Node, tag: str) -> list[Node]:
     return out
 
 
+def _in_text(node: Node) -> bool:
+    """Whether an inline element is part of a paragraph, heading, list item or cell."""
+    node = node.parent
+    while node.parent is not None and node.tag not in BLOCK:
+        node = node.parent
+    return node.tag in TEXT
+
+
+def _open(node: Node, template: set[int], common_most: set[int], inside: bool) -> bool:
+    """Whether the count alone deletes an element."""
+    if node.hash not in template and node.hash not in common_most:
+        return False
+    if node.tag not in BLOCK:
+        return not inside and not _in_text(node)
+    return node.hash in common_most or node.tag not in (CONTENT if inside else PROSE)
+
+
 def main_text(page: str, template: set[int], common_most: set[int]) -> str:
     """The page's text without ``template`` subtrees (inside articles: without those of ``common_most``)."""
     root = parse(page)
     hashed(root)
+    return _text(root, template, common_most)
+
+
+def _text(root: Node, template: set[int] = frozenset(), common_most: set[int] = frozenset()) -> str:
     tops, inside = _articles(root, "article"), True
     if not tops:
         tops = _articles(root, "main")
@@ -194,7 +219,7 @@ def main_text(page: str, template: set[int], common_most: set[int]) -> str:
                     if c.tag in BLOCK:
                         blocks.append([])
                     continue
-                if c.hash in common_most or (c.hash in template and not (inside and c.tag in CONTENT)):
+                if _open(c, template, common_most, inside):
                     if c.tag in BLOCK:
                         blocks.append([])
                     continue
@@ -218,20 +243,28 @@ def host_of(url_col: str):
 
 
 def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, hash, most): subtrees of a host's template; ``most`` for those on nearly all of its pages."""
+    """(host, hash, most): subtrees of a host's template; ``most`` for those with nearly all of its articles."""
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
-            host, hashes = [], []
+            host, hashes, articles = [], [], []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = {n.hash for n in hashed(parse(page.as_py() or ""))} - {0}
+                root = parse(page.as_py() or "")
+                own = {n.hash for n in hashed(root)} - {0}
+                own.add(0)  # stands for the page itself
                 host += [h] * len(own)
                 hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(np.array(hashes, np.uint64).view(np.int64))], ["host", "hash"])
+                articles += [xxhash.xxh3_64_intdigest(_text(root).encode("utf-8", "surrogatepass"))] * len(own)
+            numbers = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hashes, articles))
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *numbers], ["host", "hash", "article"])
 
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
-    counts = rows.mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES).select(F.col("host").alias("h"), "pages")
+    found = rows.mapInArrow(run, "host string, hash long, article long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    found = common.written(found, "subtrees")
+    counts = found.where("hash <> 0")
+    totals = found.where("hash = 0").select(F.col("host").alias("h"), F.col("n").alias("pages"))
     return counts.join(totals, F.col("host") == F.col("h")).where(F.col("n") >= SHARE * F.col("pages")).select("host", "hash", ((F.col("n") >= ARTICLE_PAGES) & (F.col("n") >= ARTICLE_SHARE * F.col("pages"))).alias("most"))
 
 

@@ -57,6 +57,20 @@ def test_templates_by_host(spark, tmp_path):
     assert extract(pages.limit(0)).count() == 0
 
 
+def test_copies_of_an_article_stay(spark):
+    """Copies count once, with chrome of their own too, and recurring inline or paragraph content isn't a template."""
+    one = "<article><h1>T</h1><p>Copied <b>words</b>.</p><div>A div of it.</div></article>"
+    rows = [(k, "http://copies.org/", f"<body><nav>{k}</nav>{one}</body>") for k in range(12)]
+    rows += [(20 + k, "http://copies.org/", f"<body><article><p>Else {k}</p></article></body>") for k in range(3)]
+    rows += [(40 + k, "http://notes.org/", f"<body><article><p><b>Note:</b> own {k}.</p><div>Menu</div></article></body>") for k in range(12)]
+    rows += [(60 + k, "http://bare.org/", f"<body><div>Menu</div><p>Copied <i>words</i>.</p><div>at {k}</div></body>") for k in range(6)]
+    rows += [(70 + k, "http://bare.org/", f"<body><div>Menu</div><p><i>words</i> {k}</p></body>") for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(12)} == {"T\nCopied words.\nA div of it."}
+    assert got[21] == "Else 1" and got[43] == "Note: own 3."
+    assert got[61] == "Copied words.\nat 1" and got[72] == "words 2"
+
+
 def test_hosts(spark):
     urls = ["http://A.b.c/d", "https://u:p@x.y:99?q", "ftp://z", "x.y/z", "", None, "http://"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host_of("u")).collect()]
