@@ -1,7 +1,7 @@
 """Training-corpus pipeline over ``documents``: five stages, each of which works on all that the one before kept.
 
 1. language ID drops documents whose language can't be told (no text or no letter);
-2. MinHash near-dedup keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8);
+2. MinHash near-dedup keeps one row, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8);
 3. suffix-array dedup removes bytes covered by 50-byte strings of smaller documents; documents that nothing is left of go;
 4. benchmark decontamination drops documents with a window that matches a benchmark item;
 5. mixing brings the sources to their target weights: a row for each document that the mix takes, with its words taken
@@ -28,11 +28,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id. Texts without words have no group and stay."""
-    found = neardup.near_duplicates(docs, size=5, threshold=0.8)
-    name = common.unused(docs, "gone_id")
-    gone = found.where("id <> component").select(F.col("id").alias(name)).distinct()
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)) == F.col(name), "left_anti")
+    """One row of each group stays: that with the smallest id (null last), then text hash. Texts without words have no group and stay.
+
+    Rows are linked by their texts alone, whatever ids they share or lack: each row has a number of its own here.
+    """
+    name = common.unused(docs, "row_number")
+    rows = common.written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    found = common.written(neardup.near_duplicates(rows, name, size=5, threshold=0.8), "groups")
+    several = found.where("id <> component").select("component").distinct()
+    members = found.join(several, "component", "left_semi").select(F.col("id").alias("number"), "component")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.col(name).alias("number"))
+    ranks = rows.select(F.col(name).alias("n"), rank.alias("rank"))
+    members = members.join(ranks, F.col("number") == F.col("n")).select("number", "component", "rank")
+    stays = members.groupBy("component").agg(F.min("rank").alias("least")).select("least.number")
+    gone = members.join(stays, "number", "left_anti").select(F.col("number").alias(common.unused(rows, "gone")))
+    return rows.join(gone, F.col(name) == F.col(gone.columns[0]), "left_anti").drop(name)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

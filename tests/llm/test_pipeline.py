@@ -30,3 +30,14 @@ def test_nulls_and_empty_tables(spark, k):
 
 def test_five_stages_in_order():
     assert [n for n, _ in p.STAGES] == ["language_id", "near_dedup", "suffix_dedup", "decontamination", "mixing"] and p.ORACLE_SQL is None
+
+
+def test_near_dedup_by_rows_not_by_ids(spark):
+    """Groups go by texts: null and repeated ids neither join rows nor keep copies apart."""
+    text = lambda a, n=60: " ".join(f"{a}{k}" for k in range(n))
+    rows = [(1, text("a")), (None, text("a") + " more"), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("d")), (None, text("e")), (None, text("e"))]
+    rows += [(8, text("f")), (8, text("g")), (9, text("f") + " x"), (None, ""), (None, None), (8, ""), (3, text("h") + " y"), (2, text("h"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, p.near_dedup(spark, docs, "").collect()), key=str)
+    want = [(1, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (None, text("e")), (8, text("f")), (8, text("g")), (None, ""), (None, None), (8, ""), (2, text("h"))]
+    assert got == sorted(want, key=str)
