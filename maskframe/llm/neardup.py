@@ -14,7 +14,8 @@
    smallest one it was joined with leaves a task.
 
 Two sets at the similarity threshold share a tree's prefix with probability J**DEPTH; the number of trees is chosen so
-that all trees miss such a pair with probability 1e-5 at most. Signatures drop a candidate only where they lie more than
+that all trees miss such a pair with probability 1e-5 at most, as far as no run of equal prefixes is longer than
+``NEAR``: partners further apart in one than that aren't compared, and not every tree makes up for it. Signatures drop a candidate only where they lie more than
 4.3 standard deviations below the threshold.
 
 Words: ASCII upper case is lowered; words are runs of anything but ASCII white space. With fewer words than a shingle the
