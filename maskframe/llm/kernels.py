@@ -1,7 +1,8 @@
-"""numpy kernels over concatenated UTF-8 texts: word hashes, window hashes, window minima.
+"""numpy kernels over concatenated UTF-8 texts: word hashes, gram hashes, window minima.
 
-A batch of texts is one byte array with the texts' starts and ends; nothing here loops over single bytes or words
-in Python. Hashes are polynomials modulo 2**64 over a random table of unit values, mixed afterwards.
+A batch of texts is one byte array with the texts' starts and ends. What must tell different words or slices apart is a
+128-bit xxh3 hash of their bytes. Grams, which only route, are polynomials modulo 2**64 over a random table of unit
+values, mixed afterwards: those can collide for texts made to do so, which costs time, never a result.
 """
 
 from __future__ import annotations
@@ -56,8 +57,17 @@ def prefixes(units: np.ndarray) -> np.ndarray:
     return p
 
 
-def slice_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((p[end] - p[start]) * powers(len(p))[1][start] + (end - start).astype(np.uint64))
+def digests(pieces) -> np.ndarray:
+    """128-bit hashes of byte strings: two columns."""
+    import xxhash
+
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), "<u8").reshape(-1, 2)
+
+
+def slice_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit hashes of slices of ``data`` by their bytes."""
+    raw, width = data.tobytes(), data.itemsize * (data.shape[1] if data.ndim > 1 else 1)
+    return digests(raw[a:b] for a, b in zip((start * width).tolist(), (end * width).tolist(), strict=True))
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,14 +126,13 @@ def word_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, limit: int = 1 << 19):
-    """All words of a batch: (starts, ends, hashes) with positions in ``data``, and each text's first and last word's place."""
-    s, e, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    """All words of a batch: (starts, ends, 128-bit hashes) with positions in ``data``, and each text's first and last word's place."""
+    s, e, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
     for lo, hi, a, b in pieces(start, end, data, limit):
-        part = data[lo:hi]
-        if lower:
-            part = part + np.where((part >= 65) & (part <= 90), 32, 0).astype(np.uint8)
-        ws, we = word_spans(part, a - lo, b - lo)
-        h.append(slice_hash(prefixes(_TABLE[part]), ws, we))
+        ws, we = word_spans(data[lo:hi], a - lo, b - lo)
+        raw = data[lo:hi].tobytes()
+        raw = raw.lower() if lower else raw
+        h.append(digests(raw[x:y] for x, y in zip(ws.tolist(), we.tolist(), strict=True)))
         s.append(ws + lo)
         e.append(we + lo)
     s = np.concatenate(s)

@@ -5,11 +5,12 @@ document with a smaller id? Comparing all windows would shuffle the corpus W tim
 
 * Every window picks the leftmost smallest hash of its grams (a minimizer). Equal windows pick equal grams, so all
   occurrences of one window meet in the bucket of that gram. Consecutive windows with one pick form a *context*.
-* Equal contexts (copies, however many) are collapsed to the smallest id per document group before they are shuffled.
+* Equal contexts (copies, however many) are collapsed to the smallest id per document group before they are shuffled. A
+  context is known by 96 bits of the xxh3 hash of its bytes (or of its words' 128-bit hashes), besides its gram's 32.
 * Where a gram occurs in several different contexts that agree on one side of it for half of what a window holds
-  besides the gram (else no window can be in both), the contexts' units themselves go to a *shard* with the bucket, and the operator's own method (suffix arrays, or relative Lempel-Ziv parsing) decides every window there.
+  besides the gram (else no window can be in both), the contexts' bytes themselves go to a *shard* with the bucket, and the operator's own method (suffix arrays, or relative Lempel-Ziv parsing) decides every window there, on bytes or on whole words.
 
-Documents are hashed into groups; each step's answers travel back to the group as bit masks in the order in which the
+Documents are hashed into groups by id and text, so that null or repeated ids make no large group; each step's answers travel back to the group as bit masks in the order in which the
 group lists its contexts, which depends on nothing but the group's rows. So a recomputed task gives the same order.
 The document exchange is one and the same in all three passes, and Spark reuses it.
 
@@ -31,12 +32,12 @@ from . import common, kernels
 #: Windows are looked at in tiles of this many, so that a very long text needs bounded working memory.
 TILE = 1 << 19
 _TILE_BITS = np.uint64((1 << 20) - 1)
-ENTRY = np.dtype([("gram", "<u8"), ("context", "<u8"), ("left", "<u2"), ("right", "<u2"), ("id", "<i8")])
+ENTRY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("more", "<u4"), ("left", "<u2"), ("right", "<u2"), ("id", "<i8")])
 META = np.dtype([("entry", "<u4"), ("units", "<u4"), ("id", "<i8")])
 
 
 def contexts(units: np.ndarray, start: np.ndarray, end: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
-    """The contexts of a batch of texts: gram hash, context hash, text, first and last window start, by position."""
+    """The contexts of a batch of texts: gram hash, hashes of both sides, text, first and last window start, by position."""
     found = []
     k, n = 0, len(start)
     while k < n:
@@ -54,7 +55,7 @@ def contexts(units: np.ndarray, start: np.ndarray, end: np.ndarray, window: int,
 
 
 def _nothing() -> dict[str, np.ndarray]:
-    kinds = {"gram": np.uint64, "context": np.uint64, "left": np.uint16, "right": np.uint16, "text": np.int64, "first": np.int64, "last": np.int64}
+    kinds = {"gram": np.uint64, "left": np.uint16, "right": np.uint16, "text": np.int64, "first": np.int64, "last": np.int64}
     return {c: np.zeros(0, kind) for c, kind in kinds.items()}
 
 
@@ -76,13 +77,12 @@ def _contexts(units, lo, hi, start, end, base, window, gram):
     picked = pick[at]
     new = np.flatnonzero(np.concatenate(([True], (picked[1:] != picked[:-1]) | (at[1:] != at[:-1] + 1))))
     first, last, anchor = at[new], at[np.append(new[1:], len(at)) - 1], picked[new]
-    context = kernels.mix((p[last + window] - p[first]) * inverse[first] + (anchor - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (last - first).astype(np.uint64))
     # a window reaches far enough to the left of its gram, or to the right: hashes of either side, 0 where the context ends before
     side = -(-(window - gram) // 2)
     a, b = np.maximum(anchor - side, 0), np.minimum(anchor + gram + side, len(p) - 1)
     left = np.where(anchor - side >= first, kernels.mix((p[anchor] - p[a]) * inverse[a]) >> np.uint64(48) | np.uint64(1), np.uint64(0)).astype(np.uint16)
     right = np.where(anchor + gram + side <= last + window, kernels.mix((p[b] - p[anchor]) * inverse[anchor]) >> np.uint64(48) | np.uint64(1), np.uint64(0)).astype(np.uint16)
-    return {"gram": grams[anchor], "context": context, "left": left, "right": right, "text": base + np.searchsorted(start, first + lo, "right") - 1, "first": first + lo, "last": last + lo}
+    return {"gram": grams[anchor], "left": left, "right": right, "text": base + np.searchsorted(start, first + lo, "right") - 1, "first": first + lo, "last": last + lo}
 
 
 class Group:
@@ -105,12 +105,14 @@ class Group:
             units = _Lazy(self.bytes)
         else:
             self.word_start, self.word_end, self.value, self.unit_start, self.unit_end = kernels.word_hashes(self.bytes, self.start, self.end)
-            units = self.value
+            units = self.value[:, 0]
         c = contexts(units, self.unit_start, self.unit_end, self.window, spec["gram"])
+        whole = kernels.slice_digests(self.bytes if self.value is None else self.value, c["first"], c["last"] + self.window)
+        c["context"], c["more"] = whole[:, 0], whole[:, 1].astype(np.uint32)
         # distinct (gram, context), each with the smallest id: texts come by id, so the first occurrence has it
-        order = np.lexsort((c["context"], c["gram"]))
-        g, x = c["gram"][order], c["context"][order]
-        new = np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1]))) if len(order) else np.zeros(0, bool)
+        order = np.lexsort((c["more"], c["context"]))
+        x, y = c["context"][order], c["more"][order]
+        new = np.concatenate(([True], (y[1:] != y[:-1]) | (x[1:] != x[:-1]))) if len(order) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         rep = np.minimum.reduceat(order, at) if len(at) else at
         number = np.cumsum(new) - 1
@@ -126,8 +128,9 @@ class Group:
 
     def entries(self) -> np.ndarray:
         out = np.empty(len(self.rep), ENTRY)
-        for name in ("gram", "context", "left", "right"):
+        for name in ("context", "more", "left", "right"):
             out[name] = self.c[name][self.rep]
+        out["gram"] = self.c["gram"][self.rep] >> np.uint64(32)
         out["id"] = self.ids[self.c["text"][self.rep]]
         return out
 
@@ -140,8 +143,12 @@ class Group:
             bits[a : a + n] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n).view(bool)
         return bits
 
-    def units_of(self, k: int) -> tuple[int, int]:
-        return int(self.c["first"][k]), int(self.c["last"][k]) + self.window
+    def bytes_of(self, k: int) -> bytes:
+        """A context's bytes; one of words ends with a blank."""
+        a, b = int(self.c["first"][k]), int(self.c["last"][k]) + self.window
+        if self.value is None:
+            return self.bytes[a:b].tobytes()
+        return self.bytes[self.word_start[a] : self.word_end[b - 1]].tobytes() + b" "
 
 
 class _Lazy:
@@ -163,10 +170,10 @@ def _decide(table: pa.Table) -> pa.Table:
     blobs = table.column("entries").to_pylist()
     sizes = np.array([len(b) // ENTRY.itemsize for b in blobs])
     e = np.frombuffer(b"".join(blobs), ENTRY)
-    order = np.lexsort((e["id"], e["context"], e["gram"]))
-    g, x, d = e["gram"][order], e["context"][order], e["id"][order]
+    order = np.lexsort((e["id"], e["more"], e["context"], e["gram"]))
+    g, x, y, d = e["gram"][order], e["context"][order], e["more"][order], e["id"][order]
     new_g = np.concatenate(([True], g[1:] != g[:-1]))
-    new = new_g | np.concatenate(([True], x[1:] != x[:-1]))
+    new = new_g | np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
     least = d[new]  # the smallest id of each context
     number = np.cumsum(new) - 1
     copy = np.empty(len(e), bool)
@@ -208,7 +215,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
     spec = {"unit": unit, "window": window, "gram": gram, "buckets": n}
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(7)), F.lit(n)).cast("int").alias("g"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col), F.lit(7)), F.lit(n)).cast("int").alias("g"),
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.struct(*others) if others else F.lit(None).cast("int")).alias("row"),
     )
 
@@ -225,14 +232,12 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
         got = list(zip(*(right.column(c).to_pylist() for c in ("bucket", "copies", "open")), strict=True))
         copies = group.masks([(b, c) for b, c, _ in got])
         open_ = np.flatnonzero(group.masks([(b, o) for b, _, o in got]))
-        source = group.bytes if unit == "byte" else group.value
         for b in np.unique(group.bucket[open_]):
             k = open_[group.bucket[open_] == b]
             reps = group.rep[k]
-            cut = [source[slice(*group.units_of(r))] for r in reps]
             meta = np.empty(len(k), META)
-            meta["entry"], meta["units"], meta["id"] = k, [len(c) for c in cut], group.ids[group.c["text"][reps]]
-            out.append((g, int(b), meta.tobytes(), np.concatenate(cut).tobytes()))
+            meta["entry"], meta["units"], meta["id"] = k, group.c["last"][reps] + window - group.c["first"][reps], group.ids[group.c["text"][reps]]
+            out.append((g, int(b), meta.tobytes(), b"".join(map(group.bytes_of, reps))))
         out.append((g, -1 - g, np.packbits(copies).tobytes(), b""))
         kernels.settle()
         return pa.table({"g": pa.array([o[0] for o in out], pa.int32()), "bucket": pa.array([o[1] for o in out], pa.int32()), "meta": _binary([o[2] for o in out]), "units": _binary([o[3] for o in out])})
@@ -241,7 +246,8 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
         if table.column("bucket")[0].as_py() < 0:
             return table
         metas = [np.frombuffer(m, META) for m in table.column("meta").to_pylist()]
-        units = np.frombuffer(b"".join(table.column("units").to_pylist()), np.uint8 if unit == "byte" else np.uint64)
+        units = b"".join(table.column("units").to_pylist())
+        units = np.frombuffer(units, np.uint8) if unit == "byte" else numbered(units.split())
         meta = np.concatenate(metas)
         hit = resolve(units, meta["units"].astype(np.int64), meta["id"], window)
         starts = np.append(0, np.cumsum(meta["units"].astype(np.int64) - window + 1))
@@ -309,6 +315,12 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
     return rows.groupBy("g").cogroup(settled.groupBy("g")).applyInArrow(removed, schema)
 
 
+def numbered(words: list[bytes]) -> np.ndarray:
+    """Each word's number: equal words, and only those, have the same."""
+    known: dict[bytes, int] = {}
+    return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+
+
 def runs_of(gone: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     part = gone[a:b]
     if not part.any():

@@ -1,8 +1,9 @@
 """Substring dedup by words: remove every word covered by a 50-word window that also starts in a smaller document.
 
-Relative Lempel-Ziv parsing. ``repeats`` routes word contexts to shards; a shard's contexts are its reference blocks,
-indexed by the hash of each window with the first block (smallest id) that has it. Every context is parsed greedily:
-a cursor looks its window up; a hit is compared word by word and extended along the reference as far as both agree, and
+Relative Lempel-Ziv parsing. ``repeats`` routes word contexts to shards; there every different word gets a number, and
+every different window a name (by naming runs of 1, 2, 4 ... words, as Karp, Miller and Rosenberg do; no hash decides).
+A shard's contexts are its reference blocks, indexed by window name with the first block (smallest id) that has it. Every
+context is parsed greedily: a cursor looks its window up; a hit is extended along the reference as far as both agree, and
 becomes a factor; the windows that straddle a factor's end are then looked up one after another until the next factor
 begins. So a window lies in a factor or was looked up itself, and the result is that of comparing all windows.
 
@@ -16,7 +17,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
 from .repeats import repeats
 
 
@@ -30,25 +30,27 @@ class Reference:
         self.block = np.repeat(np.arange(len(sizes)), count)
         self.start = np.repeat(begin, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         self.end = (begin + sizes)[self.block]
-        p = kernels.prefixes(units)
-        self.hash = kernels.slice_hash(p, self.start, self.start + window)
+        self.name = named(units, window)[self.start] if len(self.start) else self.start
         owner = ids[self.block]
-        order = np.lexsort((self.start, owner, self.hash))
-        new = np.concatenate(([True], self.hash[order][1:] != self.hash[order][:-1])) if len(order) else np.zeros(0, bool)
+        order = np.lexsort((self.start, owner, self.name))
+        new = np.concatenate(([True], self.name[order][1:] != self.name[order][:-1])) if len(order) else np.zeros(0, bool)
         first = order[new]
-        self.keys, self.at, self.id, self.until = self.hash[first], self.start[first], owner[first], self.end[first]
+        self.keys, self.at, self.id, self.until = self.name[first], self.start[first], owner[first], self.end[first]
 
     def find(self, k: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For windows (by number): whether a smaller id has it, where, and where that block ends."""
-        place = np.searchsorted(self.keys, self.hash[k])
-        at = self.at[place]
-        hit = self.id[place] < id_
-        ask = np.flatnonzero(hit)
-        if len(ask):  # the words themselves
-            span = np.arange(self.window)
-            same = (self.units[self.start[k[ask]][:, None] + span] == self.units[at[ask][:, None] + span]).all(axis=1)
-            hit[ask[~same]] = False
-        return hit, at, self.until[place]
+        place = np.searchsorted(self.keys, self.name[k])
+        return self.id[place] < id_, self.at[place], self.until[place]
+
+
+def named(units: np.ndarray, window: int) -> np.ndarray:
+    """A number for each run of ``window`` units, the same for equal runs only."""
+    name, width = np.unique(units, return_inverse=True)[1].astype(np.int64), 1
+    while width < window and len(name):
+        step = min(width, window - width)
+        name = np.unique(name[:-step] * (int(name.max()) + 1) + name[step:], return_inverse=True)[1].astype(np.int64)
+        width += step
+    return name
 
 
 def resolve(units: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:

@@ -69,5 +69,36 @@ def test_parsing_equals_comparing_all_windows():
     assert got.tolist() == [bool(first[c[k : k + w].tobytes()] < i) for c, i in zip(cut, ids) for k in range(len(c) - w + 1)]
 
 
+def thue_morse(k, a="a", b="b"):
+    """Two different words of 2**k letters whose polynomial hashes modulo 2**64 agree for every odd base."""
+    x, y = a, b
+    for _ in range(k):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("k", [8, 10, 12])
+def test_words_that_polynomial_hashes_confuse(spark, tmp_path, k):
+    x, y = thue_morse(k)
+    rows = [(1, " ".join([x, "z"] * 30)), (2, " ".join([y, "z"] * 30)), (3, " ".join([x, "z"] * 30) + " " + y), (4, " ".join(list(x))), (5, " ".join(list(y)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, op9_substring_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute(rows) and got[1][2] == 0
+
+
+def test_null_and_repeated_ids_and_a_long_text(spark, tmp_path):
+    """Rows of one id never remove from each other, wherever they are dealt; clashing columns change nothing."""
+    r = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(80))
+    own = lambda n=60: " ".join(r.choice("abcdefgh") + str(r.randint(0, 10**6)) for _ in range(n))
+    rows = [(None, own() + " " + passage) for _ in range(40)] + [(5, own() + " " + passage) for _ in range(40)] + [(6, own(30_000) + " " + passage), (9, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, op9_substring_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute(rows)
+    more = docs.selectExpr("doc_id", "text", "1 AS g", "2 AS id", "3 AS row", "4 AS bucket", "5 AS kept")
+    assert substring_dedup(more).select("row.row", "row.kept").distinct().collect() == [(3, 5)]
+
+
 def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
