@@ -44,8 +44,8 @@ DEPTHS = (3, 6, 10)
 MISS = 1e-5
 #: Texts in a block; about so many texts of small regions share a task's group.
 CELL, PACK = 512, 2000
-#: Columns of a block's matrix at a time.
-COLUMNS = 4096
+#: Cells of a block's matrix at a time.
+CELLS = 1 << 21
 #: Up to so many rows (under 100 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows at partitions' edges that one task of the second pass looks at.
@@ -176,6 +176,7 @@ def forest(classes: DataFrame, threshold: float, depth: int) -> DataFrame:
                 own = low[:, np.roll(turn, -depth)]
                 order[:, 2 + 2 * depth :] = own[:, ::2] << 4 | own[:, 1::2]
                 yield pa.RecordBatch.from_arrays([kernels.packed(order), *others], ["o", "node", "n", "part"])
+            kernels.settle()
 
     rows = classes.select("node", "n", "part", "signature").mapInArrow(run, "o binary, node long, n long, part long")
     return rows.repartitionByRange(common.shuffle_partitions(classes.sparkSession), "o", "node").sortWithinPartitions("o", "node")
@@ -237,7 +238,9 @@ def candidates(rows: DataFrame, threshold: float, depth: int, between: bool) ->
                 yield edge(LINK, node[i], _smallest(root, node)[i], None, None, None)
             if long.any():
                 yield edge(DENSE, np.unique(node[_unjoined(np.flatnonzero(long), key, part if between else root)]), None, None, None, None)
-            tail = tuple(x[-NEAR:] for x in now)
+            tail = tuple(x[-NEAR:].copy() for x in now)
+            del now, o, node, n, part, key, low
+        kernels.settle()
         if tail is not None:
             yield edge(EDGE, tail[1], None, tail[0], tail[2], tail[3])
 
@@ -319,17 +322,19 @@ def set_links(flat: np.ndarray, at: np.ndarray, own: np.ndarray, hundredths: int
     both = np.zeros((len(mine), n), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for first in range(0, int(place[-1]) + 1 if len(values) else 0, COLUMNS):
-        a, b = np.searchsorted(column, [first, first + COLUMNS])
-        m = np.zeros((n, COLUMNS), np.float32)
+    wide = max(64, CELLS // max(n, 1))
+    for first in range(0, int(place[-1]) + 1 if len(values) else 0, wide):
+        a, b = np.searchsorted(column, [first, first + wide])
+        m = np.zeros((n, wide), np.float32)
         m[row[a:b], column[a:b] - first] = 1
         both += m[mine] @ m.T
-    counts = both.astype(np.int64)
-    linked = (counts > 0) & (100 * counts >= hundredths * (size[mine][:, None] + size[None, :] - counts))
-    i, j = np.nonzero(linked)
-    i = mine[i]
     root = np.arange(n)
-    _joined(root, i[i != j], j[i != j])
+    for k in range(0, len(mine), 64):  # a few rows at a time: counts need more bytes than their products
+        own, counts = mine[k : k + 64], both[k : k + 64].astype(np.int64)
+        i, j = np.nonzero((counts > 0) & (100 * counts >= hundredths * (size[own][:, None] + size[None, :] - counts)))
+        i = own[i]
+        fit = root[i] != root[j]
+        _joined(root, i[fit], j[fit])
     return root
 
 
@@ -370,6 +375,17 @@ def first_cells(members: DataFrame, packs: int) -> DataFrame:
     return members.select("*", F.explode(to).alias("to")).select("node", "region", cell.alias("cell"), (F.col("block") == F.col("to")).alias("own"))
 
 
+def pair_cells(pairs: DataFrame, torn: DataFrame) -> DataFrame:
+    """(node, region, own) of candidate pairs (a, b): a pair's blocks name the group in which its texts meet.
+
+    So a text is sent once for each block that it has candidates in, and never more often than it has candidates.
+    """
+    ends = lambda x: torn.select(F.col("node").alias(x), F.struct("region", "block").alias(f"{x}_block"))
+    group = F.xxhash64("a_block", "b_block").alias("region")
+    both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("own")), F.struct(F.col("b").alias("node"), F.lit(False).alias("own")))).alias("x")
+    return pairs.join(ends("a"), "a").join(ends("b"), "b").select(group, both).groupBy("region", "x.node").agg(F.max("x.own").alias("own")).select("node", "region", "own")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id, n_shingles, component) for each row of ``docs``: the smallest id that links reach, the row's own included."""
     spark = docs.sparkSession
@@ -383,23 +399,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = common.written(regions.join(sizes, "region").select("node", "region", "blocks", block.alias("block")), "regions")
 
     def with_texts(rows: DataFrame) -> DataFrame:
-        rows = common.written(rows, "cells")
         few = rows.count() <= BROADCAST_ROWS
         return sets.select("node", "text").join(F.broadcast(rows) if few else rows, "node").select("cell", "region", "own", "node", "text")
 
     packs = max(4 * common.shuffle_partitions(spark), -(-members.count() // PACK))
-    links = common.written(links_in_cells(with_texts(first_cells(members, packs)), size, threshold), "links")
+    cells = common.written(first_cells(members, packs), "cells")
+    links = common.written(links_in_cells(with_texts(cells), size, threshold), "links")
     roots = components(links)
     # large regions in several parts: candidates between different parts are compared on their sets
-    large = members.where("blocks > 1").join(roots.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").select("node", "region", F.coalesce("part", "node").alias("part"))
+    large = members.where("blocks > 1").join(roots.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").select("node", "region", "block", F.coalesce("part", "node").alias("part"))
     several = large.groupBy("region").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("region")
     torn = common.written(large.join(several, "region", "left_semi"), "torn")
     if not torn.isEmpty():
         again = classes.drop("part").join(torn.select("node", "part"), "node").select("node", "n", "part", "signature")
         pairs = common.written(pairs_of_forest(again, threshold, between=True), "pairs")
-        cells = max(1, pairs.count() // CELL)
-        cell = F.concat(F.lit("c"), F.pmod(F.xxhash64("a", F.lit(17)), F.lit(cells)).cast("string"))
-        rows = pairs.select(cell.alias("cell"), F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.lit(0).cast("long").alias("region"), "cell", F.lit(True).alias("own"))
+        cells = common.written(pair_cells(pairs, torn), "cells")
+        packs = max(4 * common.shuffle_partitions(spark), -(-cells.count() // PACK))
+        rows = cells.select("node", "region", F.pmod(F.col("region"), F.lit(packs)).cast("string").alias("cell"), "own")
         roots = components(links.unionAll(links_in_cells(with_texts(rows), size, threshold)))
     return _answer(sets, classes, _ends(roots))
 
