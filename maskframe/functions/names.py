@@ -91,7 +91,8 @@ def instance_stem(id_: Column) -> Column:
 
 
 def instance_number(id_: Column) -> Column:
-    return blank_to_null(F.regexp_extract(id_, r"^(.+)_(\d+)$", 2)).cast("long")
+    """The number; null where there is none, or where it has more digits than a long holds."""
+    return blank_to_null(F.regexp_extract(id_, r"^(.+)_(\d+)$", 2)).try_cast("long")
 
 
 def number_list(text: Column, kind: str = "double") -> Column:

@@ -90,9 +90,20 @@ def decode(text: str, h: int = 2048, w: int = 2048) -> np.ndarray:
     return flat.reshape(w, h).T
 
 
+def label_runs(labels: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Column-major runs of each label from 1 that has a pixel, ascending; one pass over the raster."""
+    flat = labels.T.ravel()
+    edge = np.flatnonzero(np.diff(flat, prepend=0, append=0))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if flat[s] > 0:
+            out.setdefault(int(flat[s]), []).append((s, e))
+    return dict(sorted(out.items()))
+
+
 def label_counts(labels: np.ndarray) -> list[str]:
     """Counts text of each label from 1 that has a pixel, ascending."""
-    return [encode(labels == k) for k in range(1, int(labels.max(initial=0)) + 1) if (labels == k).any()]
+    return [text_of(counts_of(runs, labels.size)) for runs in label_runs(labels).values()]
 
 
 def _udf(kind: str):

@@ -22,6 +22,17 @@ def rq(tp: Column, fp: Column, fn: Column) -> Column:
     return _share(tp, tp + 0.5 * fp + 0.5 * fn, 0.0)
 
 
+def positive(target: Column) -> Column:
+    """A soft target as 0 or 1: a half counts, so one of two raters is enough; null is 0."""
+    return F.when(target >= 0.5, 1).otherwise(0)
+
+
+def pooled_dice(pred: Column, target: Column) -> Column:
+    """An aggregate: Dice of the places where probability and soft target reach a half."""
+    p, t = positive(pred), positive(target)
+    return dice(F.coalesce(F.sum(p * t), F.lit(0)), F.coalesce(F.sum(p + t), F.lit(0)))
+
+
 def dice(both: Column, total: Column) -> Column:
     """Pooled Dice of an intersection and the sum of both areas; 1 where both are empty."""
     return _share(2.0 * both, total, 1.0)

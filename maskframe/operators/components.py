@@ -26,42 +26,44 @@ def trace_components(bits: DataFrame, keys: list[str], at: str, bit, reach: int
     return ones.withColumn("new", new).withColumn("label", label).groupBy(*keys, "label").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum(F.col("e") - F.col("s")).alias("area"))
 
 
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component under the links (a, b): hooking and pointer jumping."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return root
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
 def raster_labels(mask: np.ndarray) -> np.ndarray:
-    """8-connected components of a raster (h, w), numbered by their smallest column-major offset; 0 is background."""
+    """8-connected components of a raster (h, w), numbered by their smallest column-major offset; 0 is background.
+
+    Column runs are the nodes; runs of neighbouring columns touch if their ends do, corners included.
+    """
     h, w = mask.shape
-    columns: list[list[list[int]]] = []
-    parent: list[int] = []
-
-    def find(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for x in range(w):
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask[:, x].astype(np.int8), [0]))))
-        own = []
-        for y0, y1 in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            own.append([y0, y1, len(parent)])
-            parent.append(len(parent))
-        k = 0
-        before = columns[-1] if columns else []
-        for y0, y1, me in own:  # spans of neighbouring columns touch if their ends do, corners included
-            while k < len(before) and before[k][1] < y0:
-                k += 1
-            j = k
-            while j < len(before) and before[j][0] <= y1:
-                a, b = find(before[j][2]), find(me)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                j += 1
-        columns.append(own)
-    out = np.zeros((h, w), np.int32)
-    number: dict[int, int] = {}
-    for x, own in enumerate(columns):
-        for y0, y1, me in own:
-            out[y0:y1, x] = number.setdefault(find(me), len(number) + 1)
-    return out
+    flat = np.zeros((w, h + 1), np.int8)  # columns one after another, with a blank between
+    flat[:, :h] = mask.T
+    edge = np.flatnonzero(np.diff(flat.ravel(), prepend=0, append=0))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros((h, w), np.int32)
+    before = start // (h + 1) * (h + 1) - (h + 1)
+    lo, hi = np.searchsorted(end, before + start % (h + 1)), np.searchsorted(start, before + end - start // (h + 1) * (h + 1), "right")
+    count = np.maximum(hi - lo, 0)
+    run = np.repeat(np.arange(len(start)), count)
+    root = joined(len(start), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - lo, count), run)
+    label = np.unique(root, return_inverse=True)[1].astype(np.int32) + 1
+    step = np.zeros(w * (h + 1) + 1, np.int32)
+    step[start], step[end] = label, -label
+    return np.cumsum(step[:-1], dtype=np.int32).reshape(w, h + 1)[:, :h].T
 
 
 def grown(mask: np.ndarray, reach: int) -> np.ndarray:
@@ -102,23 +104,44 @@ def _renumbered(labels: np.ndarray) -> np.ndarray:
 def filter_components(labels: np.ndarray, min_area: int, max_instances: int = 60) -> np.ndarray:
     """Labels of at least ``min_area`` pixels, the largest ``max_instances`` (ties to the smaller label), numbered 1..k in order."""
     sizes = np.bincount(labels.ravel())
-    kept = [k for k in range(1, len(sizes)) if sizes[k] >= min_area and sizes[k] > 0]
-    kept = sorted(sorted(kept, key=lambda k: (-sizes[k], k))[:max_instances])
+    kept = np.flatnonzero(sizes >= max(min_area, 1))
+    kept = kept[kept > 0]
+    kept = np.sort(kept[np.lexsort((kept, -sizes[kept]))][:max_instances])
     table = np.zeros(len(sizes), np.int32)
     table[kept] = np.arange(1, len(kept) + 1)
     return table[labels]
 
 
+def label_spans(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, s, e) of the column-major spans of a raster of labels, by place."""
+    flat = labels.T.ravel()
+    edge = np.flatnonzero(np.diff(flat, prepend=0, append=0))
+    s, e = edge[:-1], edge[1:]
+    on = flat[s] > 0 if len(s) else np.zeros(0, bool)
+    return flat[s[on]] if len(s) else flat[:0], s[on], e[on]
+
+
 def instances(prob: np.ndarray, disk: np.ndarray | None, config) -> np.ndarray:
     labels = label_components(prob, disk, config.threshold, config.merge_dist, config.use_disk)
     return filter_components(labels, config.min_area, config.max_instances)
 
 
-def raster_instances(rasters: DataFrame, keys: list[str], values: str, height: int, configs: list) -> DataFrame:
+def _frames(column: pa.Array) -> list[np.ndarray | None]:
+    """The values of each row of an array column as NumPy; None where the row or one of its values is null."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, at = column.values, column.offsets.to_numpy()
+    holes = np.append(0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))) if flat.null_count else None
+    values = flat.fill_null(False if pa.types.is_boolean(flat.type) else 0).to_numpy(zero_copy_only=False)
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    return [values[a:b] if ok and (holes is None or holes[a] == holes[b]) else None for a, b, ok in zip(at[:-1], at[1:], there, strict=True)]
+
+
+def raster_instances(rasters: DataFrame, keys: list[str], values: str, height: int, configs: list, disk: str | None = None) -> DataFrame:
     """(keys, config, label, s, e): column-major spans of each raster's instances under each configuration.
 
-    ``values``: an array column in column-major order. Components are shared by configurations that differ only in the
-    sizes they keep. Rasters that are null or whose length is no multiple of the height have no instance.
+    ``values``: an array column in column-major order; ``disk``: one of booleans, for configurations that use it (null: the
+    whole raster). Components are shared by configurations that differ only in the sizes they keep. Rasters that are null,
+    hold a null, or whose length is no multiple of the height (or not the disk's) have no instance.
     """
     kinds = {f.name: f for f in rasters.schema.fields}
     schema = T.StructType([*[kinds[k] for k in keys], *[T.StructField(n, T.IntegerType()) for n in ("config", "label", "s", "e")]])
@@ -128,18 +151,21 @@ def raster_instances(rasters: DataFrame, keys: list[str], values: str, height: i
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            out: list[tuple] = []
-            for place, v in enumerate(batch.column(len(keys)).to_pylist()):
-                if not v or len(v) % height or any(x is None for x in v):
+            frames = _frames(batch.column(len(keys)))
+            disks = _frames(batch.column(len(keys) + 1)) if disk else [None] * len(frames)
+            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for place, (v, on) in enumerate(zip(frames, disks, strict=True)):
+                if v is None or not len(v) or len(v) % height or (on is not None and len(on) != len(v)):
                     continue
-                prob = np.array(v, float).reshape(-1, height).T
+                prob = v.astype(float).reshape(-1, height).T
+                where = None if on is None else on.astype(bool).reshape(-1, height).T
                 for (threshold, merge, use_disk), members in group.items():
-                    labels = label_components(prob, None, threshold, merge, use_disk)
+                    labels = label_components(prob, where, threshold, merge, use_disk)
                     for number, c in members:
-                        flat = filter_components(labels, c.min_area, c.max_instances).T.ravel()
-                        edge = np.flatnonzero(np.diff(flat, prepend=0, append=0))
-                        out += [(place, number, int(flat[s]), int(s), int(e)) for s, e in zip(edge[:-1], edge[1:], strict=True) if flat[s]]
-            at = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(len(keys))], *[pa.array([o[k] for o in out], pa.int32()) for k in range(1, 5)]], schema.names)
+                        label, s, e = label_spans(filter_components(labels, c.min_area, c.max_instances))
+                        for to, x in zip(parts, (np.full(len(s), place), np.full(len(s), number), label, s, e), strict=True):
+                            to.append(x)
+            at, *rest = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in parts)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(at)) for k in range(len(keys))], *[pa.array(x.astype(np.int32)) for x in rest]], schema.names)
 
-    return rasters.select(*keys, values).mapInArrow(run, schema)
+    return rasters.select(*keys, values, *([disk] if disk else [])).mapInArrow(run, schema)

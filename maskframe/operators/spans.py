@@ -48,12 +48,16 @@ def intersection(left: DataFrame, right: DataFrame, keys: list[str], bucket: int
 
 
 def complement(spans: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans of each frame (keys, size) that no span covers."""
-    merged = union(spans, keys)
-    following = F.lead("s").over(_by(keys).orderBy("s"))
-    gaps = merged.join(frames, keys).select(*keys, F.col("e").alias("s"), F.coalesce(following, F.col("size")).alias("e"))
-    heads = frames.join(merged.groupBy(*keys).agg(F.min("s").alias("first")), keys, "left").select(*keys, F.lit(0).cast("long").alias("s"), F.coalesce("first", "size").alias("e"))
-    return present(gaps.select(*keys, F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")).unionByName(heads.select(*keys, "s", F.col("e").cast("long").alias("e"))))
+    """Spans of each frame (keys, size) that no span covers; spans of keys without a frame count for nothing.
+
+    One sweep: a frame is a span of no length at its end, and a gap lies before each span that begins beyond all ends so far.
+    """
+    one = lambda df, s, e, size: df.select(*keys, s.cast("long").alias("s"), e.cast("long").alias("e"), size.cast("long").alias("size"))
+    both = one(present(spans), F.col("s"), F.col("e"), F.lit(None)).unionByName(one(frames, F.col("size"), F.col("size"), F.col("size")))
+    order = _by(keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.greatest(F.coalesce(F.max("e").over(order), F.lit(0)), F.lit(0))
+    swept = both.withColumn("ahead", ahead).withColumn("side", F.max("size").over(_by(keys)))
+    return swept.where("side is not null").select(*keys, F.col("ahead").alias("s"), F.least("s", "side").alias("e")).where("s < e")
 
 
 def area(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,5 +118,9 @@ def dilate(spans: DataFrame, keys: list[str], height: int, width: int, reach: in
 
 
 def ellipse(reach: int) -> list[tuple[int, int]]:
-    """Column offset and half height of an elliptic kernel of side 2 * reach + 1."""
-    return [(dx, round((reach * reach - dx * dx) ** 0.5)) for dx in range(-reach, reach + 1)]
+    """Column offset and half height of an elliptic kernel of side 2 * reach + 1.
+
+    The kernel is made row by row: half a row's width is sqrt(reach**2 - dy**2), rounded. A column holds the rows that reach it.
+    """
+    width = [round((reach * reach - dy * dy) ** 0.5) for dy in range(reach + 1)]
+    return [(dx, max(dy for dy in range(reach + 1) if width[dy] >= abs(dx))) for dx in range(-reach, reach + 1)]

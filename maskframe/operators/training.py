@@ -64,6 +64,25 @@ class UNet:
         self.down = [(conv(a, b), conv(b, b)) for a, b in zip([1, *widths[:-1]], widths, strict=True)]
         self.up = [(conv(a + b, b), conv(b, b)) for a, b in zip(widths[:0:-1], widths[-2::-1], strict=True)]
         self.head = conv(base, 1, 1)
+        self.base, self.depth = base, depth
+        # each normalisation's scale, shift, and the mean and variance it was left with by training
+        fresh = lambda n: [np.ones(n, np.float32), np.zeros(n, np.float32), np.zeros(n, np.float32), np.ones(n, np.float32)]
+        self.norms = [fresh(len(b)) for pair in [*self.down, *self.up] for _, b in pair]
+
+    def weights(self) -> dict[str, np.ndarray]:
+        """All numbers by name, for a checkpoint."""
+        out = {f"{side}.{k}.{j}.{n}": x for side in ("down", "up") for k, pair in enumerate(getattr(self, side)) for j, c in enumerate(pair) for n, x in zip("wb", c, strict=True)}
+        out |= {f"norm.{k}.{n}": x for k, norm in enumerate(self.norms) for n, x in zip(("scale", "shift", "mean", "variance"), norm, strict=True)}
+        return out | {"head.w": self.head[0], "head.b": self.head[1], "size": np.array([self.base, self.depth], np.float32)}
+
+    @classmethod
+    def of(cls, weights: dict[str, np.ndarray]) -> UNet:
+        """A network with a checkpoint's numbers; a missing or misshapen one raises."""
+        base, depth = (int(x) for x in weights["size"])
+        out = cls(base, depth)
+        for name, x in out.weights().items():
+            x[...] = np.asarray(weights[name], np.float32).reshape(x.shape)
+        return out
 
     def parameters(self) -> int:
         """Numbers in convolutions and in the scale and shift of each one's normalisation; the head has a bias instead."""
@@ -78,11 +97,11 @@ class UNet:
         view = np.lib.stride_tricks.sliding_window_view(x, w.shape[-2:], axis=(2, 3))
         return np.einsum("nchwij,ocij->nohw", view, w, optimize=True) + b[:, None, None]
 
-    def _block(self, x, pair):
-        for c in pair:
-            x = self._conv(x, c)
-            mean, var = x.mean(axis=(0, 2, 3), keepdims=True), x.var(axis=(0, 2, 3), keepdims=True)
-            x = np.maximum((x - mean) / np.sqrt(var + 1e-5), 0)
+    def _block(self, x, pair, norms):
+        """Normalised by stored figures, so a frame's result doesn't depend on its neighbours in the batch."""
+        for c, norm in zip(pair, norms, strict=True):
+            scale, shift, mean, var = (v[:, None, None] for v in norm)
+            x = np.maximum((self._conv(x, c) - mean) / np.sqrt(var + 1e-5) * scale + shift, 0)
         return x
 
     def __call__(self, stack: np.ndarray) -> np.ndarray:
@@ -96,9 +115,9 @@ class UNet:
         for k, pair in enumerate(self.down):
             if k:
                 x = x.reshape(*x.shape[:2], x.shape[2] // 2, 2, x.shape[3] // 2, 2).max(axis=(3, 5))
-            x = self._block(x, pair)
+            x = self._block(x, pair, self.norms[2 * k : 2 * k + 2])
             skips.append(x)
-        for pair, skip in zip(self.up, skips[-2::-1], strict=True):
+        for k, (pair, skip) in enumerate(zip(self.up, skips[-2::-1], strict=True), len(self.down)):
             grown = np.stack([[bilinear(c, *skip.shape[2:]) for c in frame] for frame in x]).astype(np.float32)
-            x = self._block(np.concatenate([skip, grown], axis=1), pair)
+            x = self._block(np.concatenate([skip, grown], axis=1), pair, self.norms[2 * k : 2 * k + 2])
         return self._conv(x, self.head)[:, 0, :h, :w]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import ANNOTATORS, COUNTS, FRAME_DAYS, GRID, ORIGIN, PREDICTION, TILINGS, WEIGHTS
+from .queries import ANNOTATORS, COUNTS, FRAME_DAYS, GRID, MERGES, ORIGIN, PREDICTION, TILINGS, WEIGHTS
 
 FRAMES = r"""
 frames AS (
@@ -14,6 +14,12 @@ stems AS (
   SELECT *, 'img/' || base AS path,
          coalesce(nullif(regexp_extract(base, '(\d{14}[A-Za-z]h)', 1), ''), regexp_extract(regexp_replace(base, '^(.+)\.[^.]*$', '\1'), '([^-]*)$', 1)) AS stem
   FROM frames)"""
+#: Elliptic kernels of sides 3, 5 and 7, row by row.
+KERNELS = {
+    1: (".#.", "###", ".#."),
+    2: ("..#..", "#####", "#####", "#####", "..#.."),
+    3: ("...#...", ".#####.", "#######", "#######", "#######", ".#####.", "...#..."),
+}
 PIXELS = "px AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"
 INTERVALS = f"""
 iv AS (
@@ -40,15 +46,17 @@ FROM (SELECT {keys}, {at}, {at} - row_number() OVER (PARTITION BY {keys} ORDER B
 
 def _instances(configs) -> str:
     """CTEs ending in inst(config, vec_id, label, pos): recursion over neighbours, the smallest offset names a component."""
-    rows = ", ".join(f"({k}, {c.threshold}::DOUBLE, {c.min_area}, {c.merge_dist}, {c.max_instances})" for k, c in enumerate(configs))
+    rows = ", ".join(f"({k}, {c.threshold}::DOUBLE, {c.min_area}, {c.merge_dist}, {c.max_instances}, {c.use_disk})" for k, c in enumerate(configs))
     return f"""
 {PIXELS},
-cfg(config, threshold, min_area, merge, most) AS (VALUES {rows}),
-fg AS (SELECT config, vec_id, pos, pos // 8 AS x, pos % 8 AS y, merge FROM px JOIN cfg ON v >= threshold),
+cfg(config, threshold, min_area, merge, most, disk) AS (VALUES {rows}),
+kernel(reach, dx, dy) AS (VALUES {_values((reach, x - reach, y - reach) for reach, rows in KERNELS.items() for y, row in enumerate(rows) for x, c in enumerate(row) if c == "#")}),
+fg AS (
+  SELECT config, vec_id, pos, pos // 8 AS x, pos % 8 AS y, merge FROM px JOIN cfg ON v >= threshold AND (NOT disk OR (pos // 8 - 3.5) ** 2 + (pos % 8 - 3.5) ** 2 <= 13)),
 grown AS (
   SELECT config, vec_id, pos, x, y FROM fg WHERE merge = 0
-  UNION SELECT config, vec_id, (x + dx) * 8 + y + dy, x + dx, y + dy FROM fg, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) AS k(dx, dy)
-  WHERE merge = 1 AND x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7),
+  UNION SELECT config, vec_id, (x + dx) * 8 + y + dy, x + dx, y + dy FROM fg JOIN kernel ON merge = reach
+  WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7),
 reach AS (
   SELECT config, vec_id, pos, x, y, pos AS seed FROM grown
   UNION
@@ -98,7 +106,7 @@ def _mask_spans() -> str:
 
 #: Columns that the queries give as 32-bit integers and DuckDB would count in 64 bits.
 NARROW = {
-    "dilate_merge": "label pos", "grid_tune": "config", "instance_filter": "label", "instances_from_prob": "label s e", "iou_matrix": "pred truth", "label_components_2d": "label pos",
+    "dilate_merge": "config label pos", "filaments_min_mean_max": "least most", "grid_tune": "config", "instance_filter": "label", "instances_from_prob": "label s e", "iou_matrix": "pred truth", "label_components_2d": "label pos",
     "mask_rle_runs": "s e", "pq_match": "rater pred truth", "soft_target": "pos", "threshold_mask": "pos", "top_k_instances": "label", "tta_mean": "pos",
 }
 
@@ -116,8 +124,8 @@ def _sql() -> dict[str, str]:
     return {
         "image_stem_parse": f"WITH {FRAMES} SELECT o_orderkey, stem, substr(stem, 1, 6) AS month, substr(stem, 1, 4) AS year FROM stems",
         "annotator_coalesce": """
-SELECT event_id, coalesce(nullif(json_extract_string(props, '$.annotator'), ''), nullif(json_extract_string(props, '$.rater'), ''),
-       nullif(CASE WHEN event_id % 3 <> 0 THEN json_extract_string(props, '$.k') END, ''), nullif(CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END, ''), 'img' || event_id) AS annotator
+SELECT event_id, coalesce(CASE WHEN event_id % 5 = 0 THEN CAST(event_id AS VARCHAR) END, CASE WHEN event_id % 3 <> 0 THEN json_extract_string(props, '$.k') END,
+       CASE WHEN event_id % 7 <> 0 THEN nullif(event_type, '') END, 'img' || event_id) AS annotator
 FROM events""",
         "prefix_annotator": f"WITH {FRAMES} SELECT o_orderkey, nullif(regexp_replace(split_part(base, stem, 1), '^[-_ ]+|[-_ ]+$', '', 'g'), '') AS annotator FROM stems",
         "submission_ids": f"WITH {NUMBERED} SELECT o_orderkey, filament_id FROM nb",
@@ -128,25 +136,37 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE))
 SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 2 END AS rings_kept, CASE WHEN vec_id % 3 = 0 THEN 8 ELSE 14 END AS numbers, CASE WHEN vec_id % 3 = 0 THEN v[1] ELSE v[13] END AS last_first
 FROM v""",
         "config_list_parse": "SELECT r_regionkey, place, CASE place WHEN 0 THEN 0.3::DOUBLE WHEN 1 THEN r_regionkey + 0.5::DOUBLE ELSE 0.6::DOUBLE END AS value FROM region, (VALUES (0), (1), (2)) AS p(place)",
-        "find_annotation_rank": "SELECT url FROM pages ORDER BY NOT contains(lower(url), 'page'), NOT contains(lower(url), 'blog'), length(url), url LIMIT 1",
+        "find_annotation_rank": """
+WITH f AS (
+  SELECT (['train_annotation_set', 'plain', 'de-ep/er'])[page_id % 3 + 1] || '/' || (['labels', 'Annotation', 'Train-Annotations', 'train'])[page_id % 4 + 1] || '_' || page_id || '.json' AS path FROM pages),
+n AS (SELECT path, lower(regexp_extract(path, '[^/]*$')) AS low FROM f)
+SELECT path FROM n ORDER BY NOT contains(low, 'annotation'), NOT contains(low, 'train'), length(path), string_split(path, '/') LIMIT 1""",
         "list_images_filter": f"WITH {FRAMES} SELECT stem, max(path) AS path FROM stems WHERE lower(path) SIMILAR TO '.*\\.(jpg|jpeg|png|tif|tiff)' GROUP BY stem",
         "first_n_images": f"WITH {FRAMES} SELECT o_orderkey, stem FROM stems ORDER BY stem, o_orderkey LIMIT 25",
         "load_records": """
-SELECT source, lang, arg_min(n_chars, d.doc_id) AS first_chars, min(d.doc_id) AS first_doc, count(l.doc_id) AS annotations,
-       coalesce(string_agg(CASE WHEN l.doc_id IS NOT NULL THEN d.doc_id || ':' || quality || ':' || toxic END, ',' ORDER BY d.doc_id, quality, toxic), '') AS marks
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source, lang""",
+WITH im AS (
+  SELECT doc_id, doc_id // 2 AS k, strftime(make_timestamp((1400000000 + doc_id // 2 * 3600) * 1000000), '%Y%m%d%H%M%S') || 'Bh' AS stem, 'A' || doc_id % 3 AS own,
+         CASE WHEN doc_id % 5 <> 0 THEN 64 + doc_id % 7 ELSE 2048 END AS height
+  FROM documents),
+rows AS (
+  SELECT im.*, l.doc_id AS ann, coalesce(CASE WHEN toxic = 1 THEN 'T' END, own) AS annotator
+  FROM im LEFT JOIN (SELECT * FROM labels WHERE doc_id % 4 <> 3) l ON im.doc_id = l.doc_id WHERE k % 7 <> 0)
+SELECT stem, annotator, 'img/' || stem || '.jpg' AS path, CAST(arg_min(height, doc_id) AS INTEGER) AS height, 48 AS width, CAST(count(ann) AS INTEGER) AS segmentations,
+       CAST(coalesce(sum(CASE WHEN ann % 4 = 0 THEN 1 WHEN ann IS NOT NULL THEN 2 END), 0) AS INTEGER) AS rings, CAST(arg_min(ann % 9, doc_id) AS DOUBLE) AS first
+FROM rows GROUP BY stem, annotator""",
         "loader_report": """
-WITH m AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
-SELECT (SELECT count(*) FROM documents) AS images, (SELECT count(DISTINCT source) FROM documents) AS annotators, (SELECT count(*) FROM labels) AS annotations, (SELECT count(*) FROM m) AS missing,
-       (SELECT string_agg(doc_id, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM m ORDER BY doc_id LIMIT 5)) AS missing_examples""",
+WITH m AS (SELECT printf('%09d', doc_id) AS stem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+r AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT (SELECT count(*) FROM documents) AS images, (SELECT count(*) FROM labels) AS annotations, (SELECT count(*) FROM r) AS records, (SELECT count(DISTINCT doc_id) FROM r) AS physical_images,
+       (SELECT count(DISTINCT source) FROM r) AS annotators, (SELECT count(*) FROM m) AS missing, (SELECT string_agg(stem, ',' ORDER BY stem) FROM (SELECT stem FROM m ORDER BY stem LIMIT 5)) AS missing_examples""",
         "group_by_stem": "SELECT conv_id, count(*) AS n, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS turns FROM conversations GROUP BY conv_id",
         "annotators_per_image": "SELECT roles, count(*) AS conversations FROM (SELECT conv_id, count(DISTINCT role) AS roles FROM conversations GROUP BY 1) GROUP BY roles",
         "top_annotators": "SELECT user_id, n FROM (SELECT user_id, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1) ORDER BY n DESC, f LIMIT 10",
-        "filaments_min_mean_max": "SELECT min(n) AS least, round_even(avg(n), 2) AS mean, max(n) AS most FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)",
+        "filaments_min_mean_max": "SELECT count(*) AS records, count(*) AS frames, count(DISTINCT a) AS annotators, min(n) AS least, round_even(avg(n), 2) AS mean, max(n) AS most FROM (SELECT count(*) AS n, min(role) AS a FROM conversations GROUP BY conv_id)",
         "images_per_year": f"WITH {FRAMES} SELECT substr(stem, 1, 4) AS year, count(*) AS images FROM stems GROUP BY 1",
         "known_image_check": """
-SELECT 'unknown' AS rule, o_custkey AS image FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
-UNION ALL SELECT 'undetected', c_custkey FROM customer WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
+SELECT 'unknown' AS rule, CAST(o_custkey AS VARCHAR) AS image FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
+UNION ALL SELECT 'undetected', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
         "split_holdout_months": """
 WITH m AS (SELECT strftime(o_orderdate, '%Y%m') AS month, count(*) AS n FROM orders GROUP BY 1),
 b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY md5(month) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, greatest(1, round_even(0.15::DOUBLE * sum(n) OVER (), 0)) AS target FROM m)
@@ -162,7 +182,7 @@ lv AS (SELECT user_id, quantile_cont(v, 0.99) AS level FROM sm GROUP BY 1),
 hi AS (SELECT user_id, i FROM sm JOIN lv USING (user_id) WHERE v > 0.25::DOUBLE * level OR level <= 0),
 rn AS ({_runs("hi", "user_id", "i")})
 SELECT user_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY e - s DESC, s) AS r FROM rn) WHERE r = 1""",
-        "soft_target": f"WITH {PIXELS} SELECT vec_id // 4 AS image, pos, round_even(avg(CASE WHEN v >= 0.05::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM px GROUP BY 1, 2",
+        "soft_target": f"WITH {PIXELS} SELECT vec_id // 4 AS image, pos, round_even(avg(CASE WHEN v >= 0.05::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM px GROUP BY 1, 2 HAVING max(v) >= 0.05::DOUBLE",
         "soft_target_sweep": f"""
 WITH {INTERVALS}, {_islands("iv", "u", "l_orderkey, rater")},
 n AS (SELECT l_orderkey, count(DISTINCT rater) AS raters FROM iv GROUP BY 1),
@@ -192,7 +212,7 @@ n AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY user_id ORDER BY s) <= 1
 l AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS label FROM n)
 SELECT user_id, CAST(label AS BIGINT) AS label, min(s) AS s, max(e) AS e, CAST(sum(e - s) AS BIGINT) AS area FROM l GROUP BY 1, 2""",
         "label_components_2d": f"WITH RECURSIVE {_instances_of(0.05, 0, 0, 64)} SELECT vec_id, label, pos FROM inst",
-        "dilate_merge": f"WITH RECURSIVE {_instances_of(0.15, 0, 1, 64)} SELECT vec_id, label, pos FROM inst",
+        "dilate_merge": f"WITH RECURSIVE {_instances(MERGES)} SELECT config, vec_id, label, pos FROM inst",
         "top_k_instances": f"WITH RECURSIVE {_instances_of(0.1, 1, 0, 2)} SELECT vec_id, label, count(*) AS area FROM inst GROUP BY 1, 2",
         "instances_from_prob": f"WITH RECURSIVE {_instances([PREDICTION])} {_runs('inst', 'vec_id, label', 'pos')}",
         "iou_matrix": f"""
@@ -203,7 +223,9 @@ FROM iv a JOIN iv r ON a.l_orderkey = r.l_orderkey AND a.flag = 'A' AND r.flag =
         "pq_match": f"WITH RECURSIVE {_panoptic([PREDICTION])} SELECT vec_id, rater, pred, truth, round_even(iou, 6) AS iou FROM found",
         "pq_pooled": f"WITH RECURSIVE {_panoptic([PREDICTION])} SELECT tp, fp, fn, round_even(pq, 5) AS pq, round_even(sq, 5) AS sq, round_even(rq, 5) AS rq FROM pooled",
         "grid_tune": f"WITH RECURSIVE {_panoptic(GRID)}, g(config, threshold, min_area, merge_dist) AS (VALUES {grid_rows}) SELECT config, threshold, min_area, merge_dist, round_even(pq, 5) AS pq FROM pooled JOIN g USING (config) ORDER BY round_even(pq, 5) DESC, config LIMIT 5",
-        "dice_score": "SELECT CASE WHEN sum(quality + toxic) = 0 THEN 1.0 ELSE round_even(2.0::DOUBLE * sum(quality * toxic) / sum(quality + toxic), 6) END AS dice, count(*) AS n FROM labels",
+        "dice_score": """
+WITH l AS (SELECT CASE WHEN quality >= 0.5 THEN 1 ELSE 0 END AS p, CASE WHEN (quality + toxic) / 2.0::DOUBLE >= 0.5 THEN 1 ELSE 0 END AS t FROM labels)
+SELECT CASE WHEN sum(p + t) = 0 THEN 1.0 ELSE round_even(2.0::DOUBLE * sum(p * t) / sum(p + t), 6) END AS dice, count(*) AS n FROM l""",
         "bce_dice_loss": """
 WITH e AS (SELECT event_type, (value - 100) / 50 AS z, CAST(event_id % 2 AS DOUBLE) AS t FROM events),
 p AS (SELECT *, 1 / (1 + exp(-z)) AS p FROM e)

@@ -11,17 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, rle, scores
-from ..operators import components, panoptic, raster, split, training, validate
+from .. import session
+from ..operators import components, ingest, panoptic, raster, split, training, validate
 from ..operators import spans as sp
 from ..operators.panoptic import PostConfig
-from ..sources import submission, synthetic
+from ..sources import images, layout, submission, synthetic
+from . import stages
 
 ORIGIN, FRAME_DAYS = "1990-01-01", 5000
 #: Four masks of an 8 by 8 frame as counts; the last doesn't cover the frame.
 COUNTS = ([10, 5, 49], [12, 9, 43], [40, 8, 16], [10, 5, 40])
-GRID = panoptic.grid((0.04, 0.07, 0.1), (1, 3), (0, 1), max_instances=4)
+GRID = panoptic.grid((0.04, 0.07, 0.1), (1, 3), (0, 2, 3), max_instances=4)
+MERGES = [PostConfig(0.15, 0, reach, False, 64) for reach in (1, 2, 3)]
 ANNOTATORS = [PostConfig(0.04, 1, 0, False, 6), PostConfig(0.06, 1, 0, False, 6), PostConfig(0.08, 1, 0, False, 6)]
-PREDICTION = PostConfig(0.07, 2, 0, False, 5)
+PREDICTION = PostConfig(0.07, 2, 0, True, 5)
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -69,10 +72,12 @@ def image_stem_parse(spark, sf):
 
 
 def annotator_coalesce(spark, sf):
-    e = _t(spark, sf, "events")
-    key = lambda k: F.get_json_object("props", f"$.{k}")
-    named = names.first_filled(key("annotator"), key("rater"), F.when(F.col("event_id") % 3 != 0, key("k")), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("event_type")))
-    return e.select("event_id", names.default_annotator(named, image_id=F.col("event_id")).alias("annotator"))
+    """Annotators named under several keys of a JSON object, as text, number or not at all."""
+    k, e = F.col("event_id"), _t(spark, sf, "events")
+    entry = F.struct(
+        F.when(k % 4 == 0, "").alias("annotator"), F.when(k % 5 == 0, k).alias("annotator_name"), F.when(k % 3 != 0, F.get_json_object("props", "$.k").cast("long")).alias("rater"),
+        F.when(k % 7 != 0, F.col("event_type")).alias("user_id"), F.lit("x").alias("other"))
+    return e.select("event_id", names.default_annotator(names.annotator_of(F.parse_json(F.to_json(entry))), image_id=k).alias("annotator"))
 
 
 def prefix_annotator(spark, sf):
@@ -114,33 +119,57 @@ def config_list_parse(spark, sf):
 
 
 def find_annotation_rank(spark, sf):
-    p = _t(spark, sf, "pages").select("url", F.lower("url").alias("low"))
-    return p.orderBy(~F.contains("low", F.lit("page")), ~F.contains("low", F.lit("blog")), F.length("url"), "url").limit(1).select("url")
+    """The annotation file among many, some in folders whose names would rank first if they counted."""
+    k = F.col("page_id")
+    folder = F.element_at(F.array(*map(F.lit, ("train_annotation_set", "plain", "de-ep/er"))), (k % 3 + 1).cast("int"))
+    file = F.element_at(F.array(*map(F.lit, ("labels", "Annotation", "Train-Annotations", "train"))), (k % 4 + 1).cast("int"))
+    return layout.first_annotations(_t(spark, sf, "pages").select(F.concat(folder, F.lit("/"), file, F.lit("_"), k.cast("string"), F.lit(".json")).alias("path")))
 
 
 def list_images_filter(spark, sf):
-    f = frames(spark, sf).where(names.is_image(F.col("path"))).select(names.image_stem(F.col("path")).alias("stem"), "path")
-    return f.groupBy("stem").agg(F.max("path").alias("path"))
+    return images.index_images(frames(spark, sf).where(names.is_image(F.col("path"))))
 
 
 def first_n_images(spark, sf):
     return frames(spark, sf).select("o_orderkey", names.image_stem(F.col("path")).alias("stem")).orderBy("stem", "o_orderkey").limit(25)
 
 
+def documents_as_annotations(spark, sf) -> DataFrame:
+    """(doc variant): JSON annotation documents of 50 images each, with the labels as annotations.
+
+    An image has one of three annotators before its frame id, every fifth no size; annotations come in three layouts, some of
+    them empty, some with an annotator of their own.
+    """
+    d, a = _t(spark, sf, "documents").select("doc_id", "n_chars"), _t(spark, sf, "labels").withColumnRenamed("doc_id", "image_id")
+    k, part = F.col("doc_id"), F.floor(F.col("doc_id") / 50)
+    file = F.concat(F.lit("d/A"), (k % 3).cast("string"), F.lit("-"), _stem_of(k), F.lit(".jpg"))
+    image = F.struct(k.alias("id"), file.alias("file_name"), F.when(k % 5 != 0, 64 + k % 7).alias("height"), F.lit(48).alias("width"))
+    ring = F.array(*[(F.col("image_id") % 9 + x).cast("double") for x in (0, 1, 20, 1, 20, 30)])
+    flat, deep, none = (F.to_json(x) for x in (ring, F.array(ring, F.transform(ring, lambda v: v + 5)), F.array().cast("array<double>")))
+    seg = F.when(F.col("image_id") % 4 == 0, flat).when(F.col("image_id") % 4 == 3, none).otherwise(deep)
+    by = F.when(F.col("toxic") == 1, F.lit(',"labeler":"T"')).otherwise(F.lit(""))
+    annotation = F.concat(F.lit('{"image_id":'), F.col("image_id").cast("string"), by, F.lit(',"segmentation":'), seg, F.lit("}"))
+    listed = lambda rows, key, x: rows.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), x.alias("x")))), lambda y: y["x"]), ",").alias(key))
+    made = listed(d.withColumn("part", part), "doc_id", F.to_json(image)).join(listed(a.withColumn("part", F.floor(F.col("image_id") / 50)), "image_id", annotation), "part", "left")
+    return made.select(F.parse_json(F.concat(F.lit('{"images":['), "doc_id", F.lit('],"annotations":['), F.coalesce("image_id", F.lit("")), F.lit("]}"))).alias("doc"))
+
+
+def _stem_of(k: Column) -> Column:
+    """The frame id of two neighbouring documents."""
+    return F.concat(F.date_format(F.timestamp_seconds(F.lit(1_400_000_000) + F.floor(k / 2) * 3600), "yyyyMMddHHmmss"), F.lit("Bh"))
+
+
 def load_records(spark, sf):
-    d, a = _t(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars"), _t(spark, sf, "labels").withColumnRenamed("doc_id", "image_id")
-    rows = d.join(a, d.doc_id.eqNullSafe(a.image_id), "left")
-    first = F.struct("doc_id", F.coalesce("quality", F.lit(-1)))
-    marks = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("image_id").isNotNull(), F.struct("doc_id", "quality", "toxic")))), lambda x: F.concat_ws(":", x["doc_id"], x["quality"], x["toxic"])), ",")
-    return rows.groupBy("source", "lang").agg(F.min_by("n_chars", first).alias("first_chars"), F.min("doc_id").alias("first_doc"), F.count("image_id").alias("annotations"), marks.alias("marks"))
+    d = _t(spark, sf, "documents").select(_stem_of(F.col("doc_id")).alias("stem"), F.floor(F.col("doc_id") / 2).alias("k")).distinct().where("k % 7 <> 0")
+    found = ingest.load_records(documents_as_annotations(spark, sf), d.select("stem", F.concat(F.lit("img/"), "stem", F.lit(".jpg")).alias("path")))
+    rings = F.aggregate("segmentations", F.lit(0), lambda n, s: n + F.size(s["polys"]))
+    first = F.get(F.get(F.get(F.col("segmentations"), F.lit(0))["polys"], F.lit(0)), F.lit(0))
+    return found.select("stem", "annotator", "path", "height", "width", F.size("segmentations").alias("segmentations"), rings.alias("rings"), first.alias("first"))
 
 
 def loader_report(spark, sf):
-    d, a = _t(spark, sf, "documents").select("doc_id", "source"), _t(spark, sf, "labels")
-    missing = d.join(a, "doc_id", "left_anti")
-    first = missing.select("doc_id").orderBy("doc_id").limit(5).agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("missing_examples"))
-    one = lambda df, *c: df.agg(*c)
-    return one(d, F.count("*").alias("images"), F.count_distinct("source").alias("annotators")).crossJoin(one(a, F.count("*").alias("annotations"))).crossJoin(one(missing, F.count("*").alias("missing"))).crossJoin(first)
+    d, a = _t(spark, sf, "documents").select(F.format_string("%09d", "doc_id").alias("stem"), F.col("source").alias("annotator")), _t(spark, sf, "labels").select(F.format_string("%09d", "doc_id").alias("stem"))
+    return ingest.report(d, a, d.join(a, "stem", "left_semi"), ingest.missing_images(d, a))
 
 
 def group_by_stem(spark, sf):
@@ -160,8 +189,8 @@ def top_annotators(spark, sf):
 
 
 def filaments_min_mean_max(spark, sf):
-    per = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    return per.agg(F.min("n").alias("least"), _rounded(F.avg("n"), 2).alias("mean"), F.max("n").alias("most"))
+    per = _t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("stem")).agg(F.min("role").alias("annotator"), F.collect_list("turn").alias("segmentations"))
+    return stages.inspect(per)
 
 
 def images_per_year(spark, sf):
@@ -169,8 +198,9 @@ def images_per_year(spark, sf):
 
 
 def known_image_check(spark, sf):
-    o, c = _t(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("image")).distinct(), _t(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("image"))
-    return o.join(c, "image", "left_anti").select(F.lit("unknown").alias("rule"), "image").unionAll(c.join(o, "image", "left_anti").select(F.lit("undetected").alias("rule"), "image"))
+    rows = _t(spark, sf, "orders").where("o_orderstatus = 'F'").select(names.instance_id(F.col("o_custkey").cast("string"), F.col("o_orderkey")).alias("filament_id"))
+    known = _t(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").cast("string").alias("image"))
+    return validate.unknown(rows, known).select(F.lit("unknown").alias("rule"), "image").unionAll(validate.undetected(rows, known).select(F.lit("undetected").alias("rule"), "image"))
 
 
 def split_holdout_months(spark, sf):
@@ -189,8 +219,11 @@ def disk_mask_1d(spark, sf):
 
 
 def soft_target(spark, sf):
-    p = pixels(spark, sf)
-    return p.groupBy(F.floor(F.col("vec_id") / 4).alias("image"), "pos").agg(_rounded(F.avg(F.when(F.col("v") >= 0.05, 1.0).otherwise(0.0))).alias("share"))
+    """Four raters' masks of an image, pixel by pixel where any of them marks it."""
+    image = F.floor(F.col("vec_id") / 4)
+    raters = _t(spark, sf, "embeddings").select(image.alias("image"), F.col("vec_id").alias("rater"))
+    share = sp.soft_target(_mask_runs(spark, sf).select(image.alias("image"), F.col("vec_id").alias("rater"), "s", "e"), raters, ["image"], "rater")
+    return share.select("image", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("pos"), _rounded(F.col("share")).alias("share"))
 
 
 def soft_target_sweep(spark, sf):
@@ -209,7 +242,8 @@ def _on_disk(pos: Column) -> Column:
 
 
 def threshold_mask(spark, sf):
-    return pixels(spark, sf).where((F.col("v") >= 0.1) & _on_disk(F.col("pos"))).select("vec_id", "pos")
+    """Pixels on the disk that reach the threshold: all instances, whatever their size, touching ones as one."""
+    return _instances(spark, sf, [PostConfig(0.1, 0, 0, True, 64)]).select("vec_id", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("pos"))
 
 
 def _mask_runs(spark, sf, threshold: float = 0.05) -> DataFrame:
@@ -248,7 +282,8 @@ def mask_area_bbox(spark, sf):
 
 
 def _instances(spark, sf, configs) -> DataFrame:
-    return components.raster_instances(rasters(spark, sf), ["vec_id"], "v", 8, configs)
+    disk = F.transform(F.sequence(F.lit(0), F.lit(63)), _on_disk).alias("disk")
+    return components.raster_instances(rasters(spark, sf).select("*", disk), ["vec_id"], "v", 8, configs, "disk")
 
 
 def instance_filter(spark, sf):
@@ -264,7 +299,7 @@ def label_components_2d(spark, sf):
 
 
 def dilate_merge(spark, sf):
-    return _instances(spark, sf, [PostConfig(0.15, 0, 1, False, 64)]).select("vec_id", "label", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("pos"))
+    return _instances(spark, sf, MERGES).select("config", "vec_id", "label", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("pos"))
 
 
 def top_k_instances(spark, sf):
@@ -284,7 +319,8 @@ def iou_matrix(spark, sf):
 def _sides(spark, sf, configs) -> tuple[DataFrame, DataFrame]:
     """Predictions of every configuration and truths of every annotator, both by (vec_id, rater, config)."""
     n = len(configs)
-    both = _instances(spark, sf, [*configs, *ANNOTATORS])
+    # labelled once: what follows reads the instances several times
+    both = session.written(_instances(spark, sf, [*configs, *ANNOTATORS]), "instances")
     pred = both.where(F.col("config") < n).select("vec_id", F.explode(F.array(*map(F.lit, range(len(ANNOTATORS))))).alias("rater"), "config", F.col("label").alias("pred"), "s", "e")
     truth = both.where(F.col("config") >= n).select("vec_id", (F.col("config") - n).alias("rater"), F.explode(F.array(*map(F.lit, range(n)))).alias("config"), F.col("label").alias("truth"), "s", "e")
     return pred, truth
@@ -317,7 +353,8 @@ def grid_tune(spark, sf):
 
 def dice_score(spark, sf):
     l = _t(spark, sf, "labels")  # noqa: E741
-    return l.agg(_rounded(scores.dice(F.sum(F.col("quality") * F.col("toxic")), F.sum(F.col("quality") + F.col("toxic")))).alias("dice"), F.count("*").alias("n"))
+    target = (F.col("quality") + F.col("toxic")) / 2  # two raters' soft target
+    return l.agg(_rounded(scores.pooled_dice(F.col("quality"), target)).alias("dice"), F.count("*").alias("n"))
 
 
 def bce_dice_loss(spark, sf):

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import names, poly
-from ..functions.rle import encode
+from ..functions.rle import counts_of, label_runs, text_of
 from ..operators import components, panoptic, raster, validate
 from ..operators.panoptic import PostConfig
 from ..sources import images, submission
@@ -46,10 +47,9 @@ def frame_instances(frames: DataFrame, load: Load, configs: list[PostConfig], sc
                     if key not in shared:
                         shared[key] = components.label_components(prob, disk, *key)
                     labels = components.filter_components(shared[key], c.min_area, c.max_instances)
-                    for k in range(1, int(labels.max(initial=0)) + 1):
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], (labels == k).T.ravel().astype(np.int8), [0]))))
-                        spans = [{"s": int(s), "e": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
-                        out.append({"stem": row["stem"], "file_stem": row["file_stem"], "h": frame.shape[0], "w": frame.shape[1], "config": number, "label": k, "counts": encode(labels == k), "spans": spans})
+                    for k, runs in label_runs(labels).items():
+                        spans = [{"s": s, "e": e} for s, e in runs]
+                        out.append({"stem": row["stem"], "file_stem": row["file_stem"], "h": frame.shape[0], "w": frame.shape[1], "config": number, "label": k, "counts": text_of(counts_of(runs, frame.size)), "spans": spans})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     rows = frames.select(names.image_stem(F.col("path")).alias("stem"), names.file_stem(F.col("path")).alias("file_stem"), "height", "width", "pixels")
@@ -69,16 +69,18 @@ def tune(frames: DataFrame, records: DataFrame, load: Load, configs: list[PostCo
     Every annotator of a frame is scored against the frame's instances; sums are pooled over all of them.
     """
     raters = records.select("stem", "annotator").distinct()
-    made = frame_instances(frames, load, configs, scale, **tiling).select("stem", "config", F.col("label").alias("pred"), F.explode("spans").alias("r"))
+    # inference runs once: what follows reads the instances several times
+    made = session.written(frame_instances(frames, load, configs, scale, **tiling).select("stem", "config", "label", "spans"), "instances")
+    made = made.select("stem", "config", F.col("label").alias("pred"), F.explode("spans").alias("r"))
     pred = made.join(raters, "stem").select("stem", "annotator", "config", "pred", F.col("r.s").alias("s"), F.col("r.e").alias("e"))
-    truth = truth_spans(records).withColumn("config", F.explode(F.array(*map(F.lit, range(len(configs))))))
+    truth = session.written(truth_spans(records), "truth").withColumn("config", F.explode(F.array(*map(F.lit, range(len(configs))))))
     keys = ["stem", "annotator", "config"]
     found = panoptic.match(panoptic.iou(pred, truth, keys), keys)
     return panoptic.pooled(panoptic.statistics(found, pred, truth, keys), ["config"]).orderBy(F.col("pq").desc(), "config")
 
 
 def predict(folder_frames: DataFrame, load: Load, config: PostConfig, path: str, scale: float = 0.5, **tiling) -> DataFrame:
-    """Write the submission of all frames below ``path``; returns the summary row."""
+    """Write the submission of all frames below ``path``; returns the summary row. Inference runs once."""
     made = frame_instances(folder_frames, load, [config], scale, **tiling)
     rows = made.select(names.instance_id(F.col("file_stem"), F.col("label")).alias("filament_id"), F.col("counts").alias("segmentation_rle"))
     submission.write_submission(rows, path)
@@ -92,21 +94,39 @@ def check(path: str, frames: DataFrame, height: int = 2048, width: int = 2048) -
     return validate.violations(rows, frames.select(names.file_stem(F.col("path")).alias("image")), height, width)
 
 
-def drawings(frames: DataFrame, instances: DataFrame) -> DataFrame:
-    """(file_stem, png): each frame with its instances' outlines."""
+def drawings(frames: DataFrame, instances: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """(file_stem, png): each frame with its instances' outlines.
+
+    With ``records`` there are three panels: the frame, the first annotator's masks outlined in green, the instances.
+    """
     spans = instances.groupBy("file_stem").agg(F.collect_list(F.struct("label", "spans")).alias("instances"))
-    rows = frames.select(names.file_stem(F.col("path")).alias("file_stem"), "height", "width", "pixels").join(spans, "file_stem", "left")
+    rows = frames.select(names.file_stem(F.col("path")).alias("file_stem"), names.image_stem(F.col("path")).alias("stem"), "height", "width", "pixels").join(spans, "file_stem", "left")
+    three = records is not None
+    if three:
+        first = truth_spans(records).groupBy("stem", "annotator").agg(F.collect_list(F.struct("truth", "s", "e")).alias("truth"))
+        rows = rows.join(first.groupBy("stem").agg(F.min_by("truth", "annotator").alias("truth")), "stem", "left")
+    else:
+        rows = rows.withColumn("truth", F.lit(None).cast("array<struct<truth:int,s:int,e:int>>"))
 
     def run(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                frame = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"])
-                flat = np.zeros(frame.size, np.int32)
-                for i in row["instances"] or []:
-                    for r in i["spans"]:
-                        flat[r["s"] : r["e"]] = i["label"]
-                out.append(images.png(images.outlined(frame, flat.reshape(row["width"], row["height"]).T)))
+                h, w = row["height"], row["width"]
+                frame = np.frombuffer(row["pixels"], np.uint8).reshape(h, w)
+                painted = lambda spans: _painted(spans, h, w)
+                panels = [images.outlined(frame, painted((i["label"], r["s"], r["e"]) for i in row["instances"] or [] for r in i["spans"]))]
+                if three:
+                    truth = painted((t["truth"] + 1, t["s"], t["e"]) for t in row["truth"] or [])
+                    panels = [images.outlined(frame, np.zeros((h, w), int)), images.outlined(frame, truth, (images.GREEN,)), *panels]
+                out.append(images.png(np.concatenate(panels, axis=1)))
             yield pa.RecordBatch.from_arrays([batch.column("file_stem"), pa.array(out, pa.binary())], ["file_stem", "png"])
 
-    return rows.mapInArrow(run, "file_stem string, png binary")
+    return rows.select("file_stem", "height", "width", "pixels", "instances", "truth").mapInArrow(run, "file_stem string, png binary")
+
+
+def _painted(spans, h: int, w: int) -> np.ndarray:
+    flat = np.zeros(h * w, np.int32)
+    for label, s, e in spans:
+        flat[s:e] = label
+    return flat.reshape(w, h).T

@@ -1,13 +1,16 @@
-"""Python workers need this package: ship it with the session where their path doesn't have it."""
+"""What a session needs: the package on Python workers' paths, and a shared folder for tables between steps."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -30,3 +33,53 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(ROOT.rglob("*.py")):
             z.write(f, f.relative_to(ROOT.parent))
     sc.addPyFile(str(path))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset a local session gets a temporary folder, deleted at exit; on a cluster that would be a folder of each
+    machine's own, so it raises there.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="maskframe-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(root)
+    return root
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path below the application's folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/maskframe-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application wrote between steps; results that still read from it are gone then."""
+    delete(spark, f"{shared_dir(spark).rstrip('/')}/maskframe-{spark.sparkContext.applicationId}")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder as Parquet and read it back."""
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._written_to)

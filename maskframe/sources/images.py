@@ -53,8 +53,13 @@ def png(pixels: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def outlined(frame: np.ndarray, labels: np.ndarray, palette=((230, 60, 60), (60, 200, 60), (70, 120, 250), (240, 200, 40), (200, 80, 220), (60, 210, 220))) -> np.ndarray:
-    """A colour frame with each instance's border in one of six colours."""
+# The colours of instances, in turn, and that of annotators' outlines.
+PALETTE = ((255, 99, 71), (65, 105, 225), (255, 215, 0), (186, 85, 211), (0, 206, 209), (255, 140, 0))
+GREEN = (0, 255, 0)
+
+
+def outlined(frame: np.ndarray, labels: np.ndarray, palette=PALETTE) -> np.ndarray:
+    """A colour frame with each instance's border in one of the palette's colours."""
     out = np.repeat(frame[..., None], 3, axis=2).astype(np.uint8)
     for k in range(1, int(labels.max(initial=0)) + 1):
         m = np.pad(labels == k, 1)

@@ -6,8 +6,12 @@ import os
 from dataclasses import dataclass
 from pathlib import Path
 
-# The variable, the places that are searched, and the folders' names.
-VARIABLE, PLACES = "SOLARSEG_DATA", ("/kaggle/input", "./data")
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+VARIABLE = "MASKFRAME_DATA"
+# The places that are searched, and the folders' names.
+PLACES = ("/kaggle/input", "./data")
 TRAIN, TEST = "train_images", "test_images"
 
 
@@ -38,9 +42,17 @@ def find_root(explicit: str | None = None, places: tuple[str, ...] = PLACES) ->
 
 
 def annotation_rank(path: str) -> tuple:
-    """Sort key: names with 'annotation' first, then with 'train', then shorter paths, then by text."""
-    low = path.lower()
-    return ("annotation" not in low, "train" not in low, len(path), path)
+    """Sort key: file names with 'annotation' first, then with 'train', then shorter paths, then by the path's parts."""
+    parts = path.split("/")
+    low = parts[-1].lower()
+    return ("annotation" not in low, "train" not in low, len(path), parts)
+
+
+def first_annotations(files: DataFrame, path: str = "path") -> DataFrame:
+    """The row of ``files`` whose path comes first by ``annotation_rank``."""
+    parts = F.split(path, "/")
+    low = F.lower(F.element_at(parts, -1))
+    return files.orderBy(~F.contains(low, F.lit("annotation")), ~F.contains(low, F.lit("train")), F.length(path), parts).limit(1)
 
 
 def find_annotations(root: Path) -> Path:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,18 @@ def load_config(spark: SparkSession, path: str) -> PostConfig:
     return PostConfig.of(json.loads(text))
 
 
+def save_weights(spark: SparkSession, path: str, weights: dict[str, np.ndarray]) -> None:
+    """A checkpoint as a table: one row an array (name, shape, values as little-endian floats)."""
+    rows = [(name, list(x.shape), bytearray(np.ascontiguousarray(x, "<f4").tobytes())) for name, x in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    """A checkpoint's arrays by name: a network's size, whatever the tables' size."""
+    rows = spark.read.schema("name string, shape array<int>, data binary").parquet(path).collect()
+    return {r["name"]: np.frombuffer(bytes(r["data"]), "<f4").reshape(r["shape"]) for r in rows}
+
+
 def save_split(frames: DataFrame, path: str) -> None:
     frames.select("stem", "split").write.mode("overwrite").partitionBy("split").json(path)
 

@@ -19,7 +19,8 @@ def write_submission(rows: DataFrame, path: str) -> int:
     head = rows.sparkSession.createDataFrame([(0, None, None, HEADER)], "part int, stem string, n long, value string")
     # the format is one file with a header, so one task writes it
     head.unionByName(lines).repartition(1).sortWithinPartitions("part", "stem", "n").select("value").write.mode("overwrite").text(path)
-    return rows.count()
+    # what was written is counted, not what it was made from: that may be a whole run's inference
+    return rows.sparkSession.read.text(path).count() - 1
 
 
 def read_submission(spark: SparkSession, path: str) -> DataFrame:

@@ -107,6 +107,12 @@ def test_layout(tmp_path, monkeypatch):
         (base / f).write_text("{}")
     assert layout.find_root(places=(str(tmp_path / "in"),)) == tmp_path / "in" / "set"
     assert layout.find_root(str(base)) == base
+    # a folder's name ranks nothing
+    odd = tmp_path / "train_annotation_set"
+    (odd / "sub").mkdir(parents=True)
+    for f in (odd / "a.json", odd / "sub" / "train_annotations.json"):
+        f.write_text("{}")
+    assert layout.find_annotations(odd).name == "train_annotations.json"
     paths = layout.resolve(base)
     assert paths.annotations.name == "train_annotations.json" and paths.test_images == base / layout.TEST
     with pytest.raises(FileNotFoundError):
@@ -115,6 +121,23 @@ def test_layout(tmp_path, monkeypatch):
     assert layout.find_root() == base
 
 
+def test_first_annotations_as_a_table(spark):
+    paths = ["train_annotation_set/a.json", "x/b/Train_annotation.json", "x/b-/train_Annotation.json", "annotation_of_trains.json", "x/annotation.json", "t.json"]
+    for k in range(len(paths)):
+        own = paths[k:]
+        assert layout.first_annotations(spark.createDataFrame([(p,) for p in own], "path string")).first()["path"] == min(own, key=layout.annotation_rank)
+
+
+def test_violations_of_odd_rows(spark):
+    good = "0" * 0 + "T2"
+    rows = [("a_1", None), ("a_1", None), ("a_99999999999999999999", good), (None, good), ("plain", "1,2"), ("b_1", "")]
+    known = spark.createDataFrame([("a",), ("a",)], "image string")
+    got = sorted((r["rule"], r["image"] or "", r["detail"] or "") for r in validate.violations(spark.createDataFrame(rows, "filament_id string, segmentation_rle string"), known, 8, 8).collect())
+    broken = [("undecodable", i, d) for i, d in (("a", "a_1"), ("a", "a_1"), ("a", "a_99999999999999999999"), ("", ""), ("", "plain"), ("b", "b_1"))]
+    assert got == sorted([*broken, ("duplicate_id", "a", "a_1"), ("bad_id", "", ""), ("bad_id", "", "plain"), ("illegal_characters", "", "plain"), ("unknown_image", "b", "b_1")])
+    assert spark.range(1).select(names.instance_number(F.lit("a_99999999999999999999")).alias("n"), names.instance_stem(F.lit("a_99999999999999999999")).alias("s")).first() == (None, "a")
+
+
 def test_image_files_and_stream(spark, tmp_path):
     folder = tmp_path / "img"
     (folder / "deep").mkdir(parents=True)
@@ -129,7 +152,7 @@ def test_image_files_and_stream(spark, tmp_path):
     assert [(r["height"], r["width"]) for r in got] == [(5, 7)] and bytes(got[0]["pixels"]) == x.tobytes()
     labels = np.pad(np.ones((3, 3), int), ((1, 1), (1, 3)))
     drawn = images.outlined(x, labels)
-    assert drawn.shape == (5, 7, 3) and (drawn[2, 2] == x[2, 2]).all() and tuple(drawn[1, 1]) == (230, 60, 60)
+    assert drawn.shape == (5, 7, 3) and (drawn[2, 2] == x[2, 2]).all() and tuple(drawn[1, 1]) == images.PALETTE[0]
     (folder / "broken.png").write_bytes(b"nothing")
     with pytest.raises(Exception, match="not an image"):
         images.read_images(spark, f"{folder}/broken.png").collect()

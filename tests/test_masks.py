@@ -139,6 +139,56 @@ def test_span_dilation_equals_pixel_dilation(spark):
         assert {p for _, p in got} == set(np.flatnonzero(c.grown(m, reach).T.ravel()).tolist())
 
 
+def test_elliptic_kernels():
+    """Row by row, as OpenCV's ellipse."""
+    five = ["..#..", "#####", "#####", "#####", "..#.."]
+    seven = ["...#...", ".#####.", "#######", "#######", "#######", ".#####.", "...#..."]
+    for reach, want in ((2, five), (3, seven)):
+        dot = np.zeros((9, 9), bool)
+        dot[4, 4] = True
+        got = c.grown(dot, reach)[4 - reach : 5 + reach, 4 - reach : 5 + reach]
+        assert ["".join(".#"[int(x)] for x in row) for row in got] == want
+    # a gap of four rows closes at reach 5, as does one of four columns
+    gap = np.zeros((100, 100))
+    gap[40:45, 10:30] = gap[40:45, 34:60] = 0.9
+    for prob in (gap, gap.T):
+        assert c.instances(prob, None, PostConfig(0.5, 10)).max() == 2 and c.instances(prob, None, PostConfig(0.5, 10, 5)).max() == 1
+
+
+def test_raster_instances_with_a_disk(spark):
+    r = np.random.default_rng(4)
+    rows, configs = [], [PostConfig(0.5, 2, 0, True, 3), PostConfig(0.5, 1, 2, True, 9), PostConfig(0.5, 1, 2, False, 9)]
+    for k in range(30):
+        p, d = r.random((6, 7)), r.random((6, 7)) < 0.7
+        rows.append((k, p.T.ravel().tolist(), None if k % 5 == 0 else d.T.ravel().tolist()))
+    rows += [(30, None, None), (31, [], []), (32, [0.9] * 41 + [None], None), (33, [0.9] * 41, None), (34, [0.9] * 42, [True] * 6), (35, [float("nan")] * 42, None)]
+    df = spark.createDataFrame(rows, "k int, v array<double>, d array<boolean>").repartition(3)
+    got = {}
+    for x in c.raster_instances(df, ["k"], "v", 6, configs, "d").collect():
+        got.setdefault((x["k"], x["config"]), {}).update({p: x["label"] for p in range(x["s"], x["e"])})
+    want = {}
+    for k, p, d in rows[:30]:
+        prob, disk = np.array(p).reshape(7, 6).T, None if d is None else np.array(d).reshape(7, 6).T
+        for n, config in enumerate(configs):
+            flat = c.instances(prob, disk, config).T.ravel()
+            if flat.any():
+                want[(k, n)] = {int(q): int(flat[q]) for q in np.flatnonzero(flat)}
+    assert got == want
+
+
+def test_label_runs():
+    labels = np.array([[1, 1, 0], [2, 1, 0], [2, 0, 3]])
+    assert rle.label_runs(labels) == {1: [(0, 1), (3, 5)], 2: [(1, 3)], 3: [(8, 9)]}
+    assert [(rle.decode(t, 3, 3) == (labels == k)).all() for k, t in enumerate(rle.label_counts(labels), 1)] == [True] * 3
+
+
+def test_complement_of_odd_frames(spark):
+    spans = spark.createDataFrame([(1, 5, 8), (1, 2, 3), (1, 30, 40), (2, 0, 10), (3, 7, 7), (9, 1, 2), (4, None, 3)], "k int, s long, e long")
+    frames = spark.createDataFrame([(1, 10), (2, 10), (3, 4), (4, 6), (5, 0)], "k int, size int")
+    got = sorted(tuple(r) for r in sp.complement(spans, frames, ["k"]).collect())
+    assert got == [(1, 0, 2), (1, 3, 5), (1, 8, 10), (3, 0, 4), (4, 0, 6)]
+
+
 def pq(spark, pred: list, truth: list):
     schema = "k int, {} int, s long, e long"
     rows = lambda masks: [(0, i, s, e) for i, m in enumerate(masks) for _, s, e in spans_of({0: m.T.ravel()})]
@@ -198,3 +248,20 @@ def test_network_shape_and_size():
 
     assert UNet(8, 2)(np.zeros((2, 20, 13))).shape == (2, 20, 13)
     assert UNet().parameters() == 7_849_025
+
+
+def test_network_from_a_checkpoint(spark, tmp_path):
+    from maskframe.operators.training import UNet
+    from maskframe.sources import runs
+
+    r = np.random.default_rng(1)
+    net = UNet(4, 2, seed=3)
+    for norm in net.norms:
+        for x in norm:
+            x[...] = r.uniform(0.5, 1.5, x.shape)
+    runs.save_weights(spark, f"{tmp_path}/w", net.weights())
+    back = UNet.of(runs.load_weights(spark, f"{tmp_path}/w"))
+    frames = r.normal(size=(3, 12, 9))
+    assert np.array_equal(back(frames), net(frames)) and not np.allclose(UNet(4, 2, seed=4)(frames), net(frames))
+    # a frame's result doesn't depend on its neighbours
+    assert np.allclose(net(frames)[:1], net(frames[:1]), atol=1e-5)

@@ -35,6 +35,8 @@ def test_from_files_to_a_checked_submission(spark, tmp_path):
     made = stages.frame_instances(frames, dark_on_bright, [best], 1.0, tile=64, overlap=16)
     drawn = stages.drawings(frames, made).collect()
     assert len(drawn) == 4 and all(bytes(r["png"]).startswith(b"\x89PNG") for r in drawn)
+    panels = stages.drawings(frames, made, records).collect()
+    assert len(panels) == 4 and all(int.from_bytes(bytes(r["png"])[16:20], "big") == 3 * SIDE for r in panels)
 
 
 def test_truth_scores_itself(spark):
