@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete, done, scratch, shared_dir, written
+
 #: One word: a run of anything but ASCII white space (Java and RE2 syntax alike).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ids are compared as longs; a null id sorts after every other one.
@@ -19,34 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session has none, as in a bare local test, a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="maskframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(root)
-    return root
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder as Parquet and read it back."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Words of ``text`` (null: no words)."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
@@ -68,3 +40,6 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+__all__ = ["NULL_ID", "WORD", "delete", "done", "group_count", "scratch", "shared_dir", "shuffle_partitions", "table", "unused", "words", "written"]

@@ -40,5 +40,6 @@ def components(links: DataFrame) -> DataFrame:
     """
     now = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     while not _done(now):
-        now = common.written(_small_star(_large_star(now)), "links")
+        before, now = now, common.written(_small_star(_large_star(now)), "links")
+        common.done(before)
     return now

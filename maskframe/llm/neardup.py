@@ -274,12 +274,14 @@ def pairs_of_forest(classes: DataFrame, threshold: float, between: bool = False)
         edges = edges.select("o", F.col("a").alias("node"), "n", "part").repartitionByRange(few, "o", "node").sortWithinPartitions("o", "node")
         more = candidates(edges, threshold, depth, between).where(F.col("kind") == LINK).select("a", "b")
         here = found.where(F.col("kind") == LINK).select("a", "b").unionAll(more)
+        here = common.written(here.where("a <> b").distinct(), "pairs")
         links = here if links is None else links.unionAll(here)
-        dense = found.where(F.col("kind") == DENSE).select(F.col("a").alias("node")).distinct()
+        dense = common.written(found.where(F.col("kind") == DENSE).select(F.col("a").alias("node")).distinct(), "dense")
+        common.done(found)
         if dense.isEmpty():
             break
         now = classes.join(dense, "node", "left_semi")
-    return links.where("a <> b").distinct()
+    return links.distinct()
 
 
 def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
