@@ -28,6 +28,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions(spark: SparkSession, rows: int, each: int) -> int:
+    """How many partitions give about ``each`` rows to one; the session's number at most."""
+    return max(1, min(shuffle_partitions(spark), -(-rows // each)))
+
+
 def group_count(docs: DataFrame, text: str, bytes_per_group: int) -> int:
     """How many hash groups keep a group of texts near ``bytes_per_group``; follows the whole input's size."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
@@ -42,4 +47,4 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["NULL_ID", "WORD", "delete", "done", "group_count", "scratch", "shared_dir", "shuffle_partitions", "table", "unused", "words", "written"]
+__all__ = ["NULL_ID", "WORD", "delete", "done", "group_count", "partitions", "scratch", "shared_dir", "shuffle_partitions", "table", "unused", "words", "written"]

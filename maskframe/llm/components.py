@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps (Kiveris et al. 2014).
 
-Only partial minima and splittable joins, so a hub with any number of links is dealt over tasks; each round is written
-to the shared folder, and a round's links never exceed the round before plus one a node.
+A hub's links stay where they are, and its smallest neighbour is broadcast to them; each half round is written to the
+shared folder, and a round's links never exceed the round before plus one a node.
 """
 
 from __future__ import annotations
@@ -12,25 +12,45 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+#: Links for a partition, about; and a node of more links than the second has its rows joined where they lie, by broadcast.
+LINKS, HUB = 20_000, 200_000
+
+
+def _with_least(rows: DataFrame, k: int, hubs: bool) -> DataFrame:
+    """``rows`` (x, y) with the smallest y of each x as ``m``.
+
+    There are at most rows / HUB hubs, so their broadcast is small: 24 bytes for each 3 MB of links.
+    """
+    least = rows.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("size")).withColumnRenamed("x", "n")
+    same = F.col("x") == F.col("n")
+    if not hubs:
+        # grouped where the join needs the rows anyway: one and the same exchange
+        own = rows.repartition(k, "x")
+        return own.join(own.groupBy("x").agg(F.min("y").alias("m")).withColumnRenamed("x", "n").hint("merge"), same).select("x", "y", "m")
+    least = common.written(least, "least")
+    many = F.broadcast(least.where(F.col("size") > HUB))
+    few = rows.join(many, same, "left_anti").repartition(k, "x").join(least.where(F.col("size") <= HUB).repartition(k, "n").hint("merge"), same)
+    return rows.join(many, same).select("x", "y", "m").unionAll(few.select("x", "y", "m"))
+
+
+def _large_star(links: DataFrame, k: int, hubs: bool) -> DataFrame:
     both = links.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(links.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("n"), F.least("x", "m").alias("m"))
-    return both.join(least.hint("merge"), F.col("x") == F.col("n")).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, k, hubs).where("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
-    joined = down.join(least.hint("merge"), F.col("u") == F.col("n"))
-    moved = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
+def _small_star(links: DataFrame, k: int, hubs: bool) -> DataFrame:
+    down = links.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).where("x > y")
+    # each link y of x goes to the smallest one, as does x itself
+    moved = _with_least(down, k, hubs).select(F.when(F.col("y") > F.col("m"), F.col("y")).otherwise(F.col("x")).alias("u"), F.col("m").alias("v"))
+    return moved.repartition(k, "u", "v").distinct()
 
 
-def _done(links: DataFrame) -> bool:
-    """Whether every node has one link down, or links up only: then each component is a star around its smallest node."""
+def _state(links: DataFrame) -> tuple[bool, int]:
+    """Whether a node has more than one link down, or one and links up (else each component is a star around its smallest node); most links of a node."""
     ends = links.select(F.col("u").alias("n"), F.lit(1).alias("down")).unionAll(links.select(F.col("v").alias("n"), F.lit(0).alias("down")))
     nodes = ends.groupBy("n").agg(F.sum("down").alias("down"), F.count("*").alias("all"))
-    return nodes.where("down > 1 or (down = 1 and all > 1)").isEmpty()
+    state = nodes.agg(F.coalesce(F.bool_or(F.expr("down > 1 or (down = 1 and all > 1)")), F.lit(False)).alias("open"), F.coalesce(F.max("all"), F.lit(0)).alias("most")).first()
+    return state["open"], state["most"]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,8 +58,14 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links``: long columns a and b. Loops and repeated links do nothing; no links give no rows.
     """
+    spark = links.sparkSession
     now = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
-    while not _done(now):
-        before, now = now, common.written(_small_star(_large_star(now)), "links")
-        common.done(before)
-    return now
+    while True:
+        open_, most = _state(now)
+        if not open_:
+            return now
+        k = common.partitions(spark, now.count(), LINKS)
+        middle = common.written(_large_star(now, k, most > HUB), "links")
+        after = common.written(_small_star(middle, k, most > HUB), "links")
+        common.done(now, middle)
+        now = after

@@ -8,10 +8,10 @@
    neighbours in it, up to ``NEAR`` rows apart, whose whole signatures agree well enough are candidates.
 3. The depth adapts to the region: texts of a run of more than ``NEAR`` rows that its candidates didn't join for the most
    part are sorted again, with deeper prefixes in more trees, so that their runs get short.
-4. Candidates, joined to components, are *regions*. Inside a small region all links are found on the full sets. A large
-   one is dealt into blocks, each compared within itself and with block 0. What that left in several parts is sorted in the
-   trees once more, and the candidates between different parts are compared on the full sets, so a region costs its own
-   size, not its square. Sets are compared as products of 0/1 matrices over shingles; shingles are numbered by their words
+4. Candidates, joined to components, are *regions*. Inside one of up to ``BLOCKS`` blocks all links are found on the full
+   sets. A larger one has each block compared within itself and with block 0. What that left in several parts is sorted in
+   the trees once more, and the candidates between different parts are compared on the full sets, so a region costs its
+   own size, not its square. Sets are compared as products of 0/1 matrices over shingles; shingles are numbered by their words
    themselves, without a hash. Only one link for each text to the smallest one it was joined with leaves a task.
 
 Two sets at the similarity threshold share a tree's prefix with probability J**depth; the number of trees is chosen so
@@ -44,6 +44,10 @@ DEPTHS = (3, 6, 10)
 MISS = 1e-5
 #: Texts in a block; about so many texts of small regions share a task's group.
 CELL, PACK = 512, 2000
+#: A region of up to so many blocks is compared block with block, so that a text is sent so many times at most.
+BLOCKS = 16
+#: Rows of the sorted trees, and rows of small tables, for a partition.
+SORTED, SMALL = 50_000, 20_000
 #: Cells of a block's matrix at a time.
 CELLS = 1 << 21
 #: Up to so many rows (under 100 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
@@ -156,8 +160,8 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, text string, n long, digest binary, signature binary").withColumn("node", F.monotonically_increasing_id())
 
 
-def forest(classes: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """One row a class (node, n, part, signature) and tree, sorted over all partitions: o, node, n, part.
+def forest(classes: DataFrame, n: int, threshold: float, depth: int) -> DataFrame:
+    """One row a class (of ``n``) (node, n, part, signature) and tree, sorted over all partitions: o, node, n, part.
 
     ``o`` orders: the tree, ``depth`` values, then the low halves of all 256 values' bytes in the tree's order.
     """
@@ -179,7 +183,8 @@ def forest(classes: DataFrame, threshold: float, depth: int) -> DataFrame:
             kernels.settle()
 
     rows = classes.select("node", "n", "part", "signature").mapInArrow(run, "o binary, node long, n long, part long")
-    return rows.repartitionByRange(common.shuffle_partitions(classes.sparkSession), "o", "node").sortWithinPartitions("o", "node")
+    k = common.partitions(classes.sparkSession, n * count, SORTED)
+    return rows.repartitionByRange(k, "o", "node").sortWithinPartitions("o", "node")
 
 
 LINK, DENSE, EDGE = 0, 1, 2
@@ -266,21 +271,25 @@ def _unjoined(at: np.ndarray, key: np.ndarray, root: np.ndarray) -> np.ndarray:
 
 def pairs_of_forest(classes: DataFrame, threshold: float, between: bool = False) -> DataFrame:
     """(a, b) candidates of all passes over ``classes`` (node, n, part, signature)."""
-    links, now = None, classes
+    spark = classes.sparkSession
+    links, now, n = None, classes, classes.count()
     for depth in DEPTHS:
-        found = common.written(candidates(forest(now, threshold, depth), threshold, depth, between), "candidates")
+        found = common.written(candidates(forest(now, n, threshold, depth), threshold, depth, between), "candidates")
         edges = found.where(F.col("kind") == EDGE)
-        few = max(1, edges.count() // EDGES)
+        counts = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+        few = max(1, counts.get(EDGE, 0) // EDGES)
         edges = edges.select("o", F.col("a").alias("node"), "n", "part").repartitionByRange(few, "o", "node").sortWithinPartitions("o", "node")
         more = candidates(edges, threshold, depth, between).where(F.col("kind") == LINK).select("a", "b")
         here = found.where(F.col("kind") == LINK).select("a", "b").unionAll(more)
-        here = common.written(here.where("a <> b").distinct(), "pairs")
+        small = lambda rows, *keys: rows.repartition(common.partitions(spark, counts.get(LINK, 0) + counts.get(DENSE, 0), SMALL), *keys).distinct()
+        here = common.written(small(here.where("a <> b"), "a", "b"), "pairs")
         links = here if links is None else links.unionAll(here)
-        dense = common.written(found.where(F.col("kind") == DENSE).select(F.col("a").alias("node")).distinct(), "dense")
+        dense = common.written(small(found.where(F.col("kind") == DENSE).select(F.col("a").alias("node")), "node"), "dense")
         common.done(found)
-        if dense.isEmpty():
+        n = dense.count()
+        if not n:
             break
-        now = classes.join(dense, "node", "left_semi")
+        now = classes.join(F.broadcast(dense) if n <= BROADCAST_ROWS else dense, "node", "left_semi")
     return links.distinct()
 
 
@@ -370,11 +379,16 @@ def _ends(roots: DataFrame) -> DataFrame:
 
 
 def first_cells(members: DataFrame, packs: int) -> DataFrame:
-    """(node, region, cell, own) from (node, region, blocks, block): small regions in packs, the blocks of large ones with block 0."""
+    """(node, region, cell, own) from (node, region, blocks, block).
+
+    Regions of one block in packs, those of a few block with block (the first one's texts ask), the blocks of large ones with block 0.
+    """
     alone = F.concat(F.lit("p"), F.pmod(F.xxhash64("region", F.lit(13)), F.lit(packs)).cast("string"))
-    to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = F.transform(every, lambda x: F.concat_ws("-", F.least("block", x), F.greatest("block", x)))
+    to = F.when(F.col("blocks") <= BLOCKS, pairs).when(F.col("block") == 0, F.transform(every, lambda x: F.concat(x.cast("string"), F.lit("-0")))).otherwise(F.array(F.concat(F.col("block").cast("string"), F.lit("-0"))))
     cell = F.when(F.col("blocks") == 1, alone).otherwise(F.concat_ws("-", "region", "to"))
-    return members.select("*", F.explode(to).alias("to")).select("node", "region", cell.alias("cell"), (F.col("block") == F.col("to")).alias("own"))
+    return members.select("*", F.explode(to).alias("to")).select("node", "region", cell.alias("cell"), F.startswith("to", F.concat(F.col("block").cast("string"), F.lit("-"))).alias("own"))
 
 
 def pair_cells(pairs: DataFrame, torn: DataFrame) -> DataFrame:
@@ -409,7 +423,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = common.written(links_in_cells(with_texts(cells), size, threshold), "links")
     roots = components(links)
     # large regions in several parts: candidates between different parts are compared on their sets
-    large = members.where("blocks > 1").join(roots.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").select("node", "region", "block", F.coalesce("part", "node").alias("part"))
+    large = members.where(F.col("blocks") > BLOCKS).join(roots.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").select("node", "region", "block", F.coalesce("part", "node").alias("part"))
     several = large.groupBy("region").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("region")
     torn = common.written(large.join(several, "region", "left_semi"), "torn")
     if not torn.isEmpty():

@@ -127,9 +127,11 @@ def test_numbered_sets_are_the_shingles():
         assert by_hash.tolist() == at.tolist()
 
 
-def test_large_regions_in_blocks(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("blocks", [1, 16])
+def test_large_regions_in_blocks(spark, tmp_path, monkeypatch, blocks):
     """A group of near copies, a chain of edits and unlinked texts over one passage, with regions of many blocks."""
     monkeypatch.setattr(neardup, "CELL", 32)
+    monkeypatch.setattr(neardup, "BLOCKS", blocks)
     monkeypatch.setattr(neardup, "PACK", 64)
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", 100)
     r = random.Random(3)
@@ -177,6 +179,28 @@ def test_dense_background(spark, monkeypatch):
     assert sum(sent) < 4 * 24_000
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    import maskframe.llm.components as m
+
+    monkeypatch.setattr(m, "HUB", 10)
+    monkeypatch.setattr(m, "LINKS", 40)
+    r = random.Random(4)
+    links = [(500, k) for k in range(100, 160)] + [(k, k + 1) for k in range(60)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)] + [(30, 500)]
+    root = {x: x for p in links for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["u"]: r["v"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(200, 200), (300, 301), (301, 300)]
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
