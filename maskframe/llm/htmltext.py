@@ -5,7 +5,8 @@
    count, is the same are copies, and count once however many they are.
 3. Subtrees that recur with at least ``PAGES`` articles and with ``SHARE`` of a host's articles are its template and are deleted,
    as are elements that say themselves that they aren't content (menus, headers, footers, sidebars, notices, adverts,
-   forms, comments, scripts and so on: by tag, role, or a word of class or id). Inside a page's article only blocks
+   forms, comments, scripts and so on: by tag, role, or a class or id that names such a box; but in an article no class
+   or id deletes headings, paragraphs, items or cells, or what is inline in them). Inside a page's article only blocks
    that are no paragraph, heading, list or table of it are open to the count, or ones with ``ARTICLE_SHARE`` of the
    articles; inline elements aren't. Without an article, neither are paragraphs, headings, and what is inline in text.
 4. What is left of the article elements (else of main, else of the body) is its blocks' text: character references
@@ -13,13 +14,15 @@
 
 A null page or url: empty text, and an unnamed host. Pages that repeat an id are pages of their own. Hosts are
 lower-cased, without port or user. Malformed markup never fails: stray end tags are ignored, open elements end with
-their parents, and a paragraph ends where the next block begins.
+their parents, a paragraph ends where the next block begins, and a tag or quoted value that never ends takes the rest of
+the page with it, as in browsers. Parsing is linear in the page's length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -47,85 +50,160 @@ TEXT = PROSE | frozenset("li dt dd td th figcaption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "thead"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Words of class and id that mark what isn't the article.
+# Words of class and id that mark what isn't the article, and words that only say what kind of box it is.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager sidebar "
     "aside widget footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended comment comments respond reply replies disqus discussion form search skip legal copyright disclaimer".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+BOXES = frozenset(
+    "area bar block body bottom box button buttons card container content desktop global group holder icons inner item items js left links list listing mobile outer page panel primary "
+    "right row secondary section site slot text thread top unit wrap wrapper".split()
+)
+# Ids of sections that are never made from a heading's words.
+READERS = frozenset("comments respond disqus_thread".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)[\s/]*+(>?)")
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(\"?)|'([^']*+)('?)|([^\s>]*+)))?+[\s/]*+")
+CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("children", "hash", "marked", "parent", "tag")
+    __slots__ = ("block", "children", "hash", "marked", "tag")
+
+    def __init__(self, tag: str, block: str, marked: bool):
+        self.tag, self.block, self.marked, self.children, self.hash = tag, block, marked, [], 0
+
+
+def _is_mark(name: str) -> bool:
+    """Whether a class or id names such a box: words of ``MARKS``, and nothing but those and ``BOXES``."""
+    words = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
+    return not MARKS.isdisjoint(words) and all(w in MARKS or w in BOXES for w in words)
 
-    def __init__(self, tag: str, parent, marked: bool):
-        self.tag, self.parent, self.marked, self.children, self.hash = tag, parent, marked, [], 0
 
+def _marked(tag: str, attributes: dict[str, str], inside: bool, block: str) -> bool:
+    """Whether an element says itself that it isn't content; ``inside`` an article, ``block`` being the block around it.
 
-def _marked(tag: str, attributes: str) -> bool:
-    if not attributes or attributes.isspace():
-        return tag in DROP
+    In an article class and id say nothing about headings, paragraphs, lists' items, cells and what is inline in them, and
+    ids of sections mean headings mostly.
+    """
     if tag in DROP:
         return True
-    if HIDDEN.search(re.sub(r"(class|id)\s*=\s*(\"[^\"]*\"|'[^']*')", "", attributes)):
+    if not attributes:
+        return False
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+        return True
+    if attributes.get("role", "").strip().lower() in ROLES:
         return True
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-        if name in ("class", "id") and tag == "article" and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+    if tag in ("html", "body", "main") or (inside and (tag in TEXT or (tag not in BLOCK and block in TEXT))):
+        return False
+    if any(map(_is_mark, attributes.get("class", "").split())):
+        return True
+    own = attributes.get("id", "").strip()
+    if tag in PROSE or (inside and tag == "section"):
+        return own in READERS
+    return _is_mark(own)
+
+
+class _Open:
+    """The elements open at a place, with where each name and each block stands among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place and all in it; every element is closed once, so this is linear over a page."""
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+        while self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first_after(self, tags, at: int) -> int | None:
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, at)) < len(p)]
+        return min(found, default=None)
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes from a place inside a tag, by HTML's own states, and where the tag ends (after the page: it never does)."""
+    out: dict[str, str] = {}
+    while at < len(page) and page[at] != ">":
+        m = ATTRIBUTE.match(page, at)
+        at = m.end()
+        if (m[2] is not None and not m[3]) or (m[4] is not None and not m[5]):
+            return out, len(page) + 1
+        value = m[2] if m[2] is not None else m[4] if m[4] is not None else m[6]
+        out.setdefault(m[1].lower(), html.unescape(value) if value else "")
+    return out, at + 1
 
 
 def parse(page: str) -> Node:
-    root = Node("#root", None, False)
-    at, here, end = 0, root, len(page)
+    """The page's tree. Time is linear in the page, whatever is left open or closed twice; a tag that never ends is no text."""
+    root = Node("#root", "", False)
+    open_, at, end = _Open(root), 0, len(page)
     while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
+        here = open_.nodes[-1]
+        k = page.find("<", at)
+        if k < 0:
             here.children.append(page[at:])
             break
-        if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                here.children.append(html.escape(m[0][9:].removesuffix("]]>")))
+        m = TAG.match(page, k)
+        if m is None:
+            kind = page[k + 1 : k + 2]
+            if kind not in ("!", "?", "/") or (kind == "/" and k + 2 >= end):  # a sign, not a tag
+                here.children.append(page[at : k + 1])
+                at = k + 1
+                continue
+            if k > at:
+                here.children.append(page[at:k])
+            if page.startswith("<!--", k):
+                if page.startswith(("<!-->", "<!--->"), k):
+                    at = page.index(">", k) + 1
+                else:
+                    stop = page.find("-->", k + 4)
+                    at = stop + 3 if stop >= 0 else end
+            elif page.startswith("<![CDATA[", k):
+                stop = page.find("]]>", k)
+                here.children.append(html.escape(page[k + 9 : stop if stop >= 0 else end]))
+                at = stop + 3 if stop >= 0 else end
+            else:
+                stop = page.find(">", k)
+                at = stop + 1 if stop >= 0 else end
             continue
-        tag = tag.lower()
+        if k > at:
+            here.children.append(page[at:k])
+        tag, at = m[2].lower(), m.end()
+        attributes: dict[str, str] = {}
+        if not m[3]:
+            attributes, at = _attributes(page, at)
+            if at > end:
+                break
         if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if open_.places.get(tag):
+                open_.cut(open_.places[tag][-1])
             continue
-        if tag in BLOCK:  # an open paragraph, with what is open in it, ends here
-            node = here
-            while node is not root and (node.tag not in BLOCK or node.tag == "p"):
-                if node.tag == "p":
-                    here = node.parent
-                node = node.parent
+        if tag in BLOCK and open_.nodes[open_.blocks[-1]].tag == "p":  # an open paragraph, with what is open in it, ends here
+            open_.cut(open_.blocks[-1])
         if tag in CLOSES:
-            node = here
-            while node is not root and node.tag not in SCOPE[tag]:
-                if node.tag in CLOSES[tag]:
-                    here = node.parent
-                node = node.parent
-        new = Node(tag, here, _marked(tag, m[3]))
-        here.children.append(new)
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            first = open_.first_after(CLOSES[tag], open_.last(SCOPE[tag]))
+            if first is not None:
+                open_.cut(first)
+        block = open_.nodes[open_.blocks[-1]].tag
+        new = Node(tag, block, _marked(tag, attributes, bool(open_.places.get("article")), block))
+        open_.nodes[-1].children.append(new)
+        closed = page[at - 2] == "/"
+        if tag in RAW and not closed:
+            stop = CLOSING[tag].search(page, at)
             at = stop.end() if stop else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            here = new
+        elif tag not in VOID and not closed:
+            open_.push(new)
     return root
 
 
@@ -168,20 +246,12 @@ def _articles(root: Node, tag: str) -> list[Node]:
     return out
 
 
-def _in_text(node: Node) -> bool:
-    """Whether an inline element is part of a paragraph, heading, list item or cell."""
-    node = node.parent
-    while node.parent is not None and node.tag not in BLOCK:
-        node = node.parent
-    return node.tag in TEXT
-
-
 def _open(node: Node, template: set[int], common_most: set[int], inside: bool) -> bool:
     """Whether the count alone deletes an element."""
     if node.hash not in template and node.hash not in common_most:
         return False
     if node.tag not in BLOCK:
-        return not inside and not _in_text(node)
+        return not inside and node.block not in TEXT
     return node.hash in common_most or node.tag not in (CONTENT if inside else PROSE)
 
 

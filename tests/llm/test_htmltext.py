@@ -31,6 +31,32 @@ def test_odd_markup():
     assert text("<table><tr><td>a<td>b<tr><td>c</table>") == "a\nb\nc"
 
 
+def test_classes_and_ids_in_an_article():
+    page = '<article><h2 id="discussion">Discussion</h2><p>A</p><h2 id="related-work">Related</h2><p class="share-price">B</p><section id="legal"><p>Body</p></section>' \
+        '<div class="related-work">C</div><pre>x <span class="comment"># why</span></pre><ul><li class="notice">D</li></ul><section id="comments" class="x"><p>First!</p></section>' \
+        '<div class="social-share-buttons">S</div><div class="ad box">Buy</div><section class="comments"><p>Nice</p></section><table class="menu"><tr><td>z</table></article>'
+    assert text(page) == "Discussion\nA\nRelated\nB\nBody\nC\nx # why\nD"
+
+
+def test_attributes_by_their_states():
+    assert text("<p>One <a title=it's>two</a> three</p><p>it's four</p>") == "One two three\nit's four"
+    assert text("<p>One <a title=it's>two</a> three</p>") == "One two three"
+    assert text("<p a='>' b=\">\" c = x/y d>in</p><p =a>b</p>") == "in\nb"
+    assert text("<p>kept</p><a href='never closed>lost</a>") == "kept" and text("<p>kept</p><a href") == "kept"
+    assert text("a</>b</3>c<!>d<?x?>e<!---->f<!-->g") == "abcdefg" and text("a<") == "a<" and text("</") == "</"
+    assert text("<div hidden>a</div><div class=x hidden=until>b</div><div style='display: none'>c</div><div data-hidden=1>d</div>") == "d"
+
+
+def test_time_is_linear():
+    import time
+
+    n = 100_000
+    for page in ("<a " * n, "<div>" * n + "</x>" * n, "<b>" * n + "<p>x" * n, "<li>" * n, "<table><td>" * n, "<p><b>" * n, "<!--" * n, "<x a='" * n, "<" * n, "<script>" * n, "</" * n, "<article>" * n):
+        began = time.perf_counter()
+        text(page)
+        assert time.perf_counter() - began < 20
+
+
 def test_hashes_ignore_white_space():
     a, b, c = (hashed(parse(x)) for x in ("<div><p>a b</p></div>", "<div>\n<p>a  b</p>\n</div>", "<div><p>a c</p></div>"))
     assert {n.hash for n in a} == {n.hash for n in b} and not {n.hash for n in a} & {n.hash for n in c}
@@ -57,6 +83,46 @@ def test_templates_by_host(spark, tmp_path):
     assert extract(pages.limit(0)).count() == 0
 
 
+def test_counts_by_host_against_brute_force(spark):
+    """Subtrees are counted by what they hold, written out, and pages by the text of their articles."""
+    import random
+
+    from maskframe.llm import htmltext as m
+
+    r = random.Random(11)
+    word = lambda: r.choice("ab cd ef gh ij".split())
+
+    def page(host):
+        parts = [f"<p>{word()} {word()} {r.randint(0, 3)}</p>", f"<div>Follow {host}</div>", f"<div><i>{word()}</i></div>", f"<h2>{word()}</h2>", f"<ul><li>{word()}</li></ul>", f"<p>Every {host}</p>", f"<span>{word()}</span>"]
+        inner = "".join(r.sample(parts, r.randint(2, 6)))
+        return f"<body><div>Site {host}</div>{f'<article>{inner}</article>' if r.random() < 0.7 else inner}<div>{word()}</div></body>"
+
+    rows = [(k, f"http://{h}.org/{k}", page(h)) for h, n in (("x", 60), ("y", 25), ("z", 9), ("w", 3)) for k in range(n)]
+    rows += [(100 + k, "http://x.org/", rows[0][2]) for k in range(40)]
+
+    def written(node):
+        inside = "".join("".join(c.split()) if isinstance(c, str) else written(c) for c in node.children)
+        return f"<{node.tag}>{inside}" if inside else ""
+
+    articles, holders = {}, {}
+    for _, url, html in rows:
+        host, root = url.split("/")[2], parse(html)
+        article = m._text(root)
+        articles.setdefault(host, set()).add(article)
+        for node in hashed(root):
+            if node.hash:
+                holders.setdefault((host, written(node)), set()).add(article)
+    want = []
+    for k, url, html in rows:
+        host, root = url.split("/")[2], parse(html)
+        n = {x.hash: len(holders[host, written(x)]) for x in hashed(root) if x.hash}
+        total = len(articles[host])
+        template = {h for h, c in n.items() if c >= m.PAGES and c >= m.SHARE * total}
+        want.append((k, url, main_text(html, template, {h for h in template if n[h] >= m.ARTICLE_PAGES and n[h] >= m.ARTICLE_SHARE * total})))
+    got = [(x["page_id"], x["url"], x["text"]) for x in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()]
+    assert sorted(got) == sorted(want) and any(t != main_text(h, set(), set()) for (_, _, t), (_, _, h) in zip(want, rows))
+
+
 def test_copies_of_an_article_stay(spark):
     """Copies count once, with chrome of their own too, and recurring inline or paragraph content isn't a template."""
     one = "<article><h1>T</h1><p>Copied <b>words</b>.</p><div>A div of it.</div></article>"
