@@ -1,18 +1,20 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Vectors (integer components) are hashed into groups of blocks; queries into batches. For each group and batch a task
-walks the group's blocks. In a block every dimension has its list of vectors sorted by that component. A query reads its
-64 lists from the favourable end (from the top where its component is positive, from the bottom where it is negative),
-all to the same depth, in a few growing steps; what it has seen is scored in full, and it stops when the threshold, the
-score that a vector at all lists' present depth would have, is below its kth best score so far, or when nothing is
-unseen. The kth best is carried from block to block, so a block whose threshold at depth 0 is too low costs a query
-nothing. Lists and depths are shared by all queries of a batch: what a list has shown at a depth is one bit mask.
+Vectors (integer components) are hashed into groups; queries into batches. In a group, long vectors come first, in blocks;
+in a block every dimension has its list of vectors sorted by that component. A query reads its lists from the favourable
+end (from the top where its component is positive, from the bottom where it is negative, not at all where it is 0), all to
+the same depth, in growing steps. Only ids that a list has newly shown are scored, in full and exactly; the query stops
+when the threshold, the score that a vector at all lists' present depth would have, is below its kth best score so far, or
+when nothing is unseen. The kth best is carried from block to block, so a block whose threshold at depth 0 is too low costs
+a query nothing, and long vectors first make it high early.
 
 Groups' best k are then ranked by Spark. Equal scores go to the smaller id.
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id. Vectors of another
 length than the query's are not its candidates. Rows that repeat an id count once, with the smallest vector. A query with
-fewer candidates than k gets all of them; one without any has no row.
+fewer candidates than k gets all of them; one without any has no row. Products are integers throughout: doubles are only
+used where every sum stays below 2**53, Python's own integers where one may leave 64 bits. A score outside 64 bits among a
+query's best raises an error.
 """
 
 from __future__ import annotations
@@ -25,80 +27,78 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Vectors in a block, blocks in a group (about), queries in a batch (about).
-BLOCK, BLOCKS, BATCH = 2048, 64, 2048
+BLOCK, BLOCKS, BATCH = 8192, 16, 2048
 #: Fewer vectors than this aren't worth a group of their own: every group returns k rows a query.
 SMALL = 256
-#: Depths at which seen vectors are scored and the threshold is tested, as shares of the block.
-DEPTHS = (1 / 64, 1 / 16, 1 / 4, 1 / 2)
+#: How deep the lists are read first, and by what factor each step goes deeper.
+DEPTH, DEEPER = 8, 2
+
+
+def exact(vectors: np.ndarray, queries: np.ndarray) -> type:
+    """The number type in which inner products of these integers, and sums of them, are exact."""
+    most = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    bound = 2 * most(vectors) * most(queries) * max(vectors.shape[1], 1)
+    return np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
 
 
 class Lists:
-    """A block's sorted lists: component values by depth, and what each list has shown at each step, as bits."""
+    """A block's sorted lists: for each dimension the vectors' places by falling component, and the components."""
 
     def __init__(self, vectors: np.ndarray):
-        n, dims = vectors.shape
-        order = np.argsort(-vectors, axis=0, kind="stable")
-        self.falling = np.take_along_axis(vectors, order, axis=0)
-        self.depths = sorted({max(1, int(n * d)) for d in DEPTHS} | {n})
-        self.shown = []
-        for depth in self.depths:
-            top, low = np.zeros((dims, n), bool), np.zeros((dims, n), bool)
-            np.put_along_axis(top, order[:depth].T, True, axis=1)
-            np.put_along_axis(low, order[n - depth :].T, True, axis=1)
-            self.shown.append((np.packbits(top, axis=1), np.packbits(low, axis=1)))
-
-    def threshold(self, queries: np.ndarray, depth: int) -> np.ndarray:
-        """The best score that a vector not shown by any list before ``depth`` can have."""
+        self.vectors = vectors
+        self.order = np.argsort(-vectors, axis=0, kind="stable")
+        self.falling = np.take_along_axis(vectors, self.order, axis=0)
+
+    def threshold(self, query: np.ndarray, depth: int):
+        """The best score that a vector not shown by any list before ``depth`` can have; None if there is no such vector."""
         n = len(self.falling)
         if depth >= n:
-            return np.full(len(queries), -np.inf)
-        return np.maximum(queries, 0) @ self.falling[depth] + np.minimum(queries, 0) @ self.falling[n - 1 - depth]
+            return None
+        return int((np.where(query > 0, self.falling[depth], self.falling[n - 1 - depth]) * query).sum())
 
-    def seen(self, queries: np.ndarray, step: int) -> np.ndarray:
-        top, low = self.shown[step]
-        out = np.zeros((len(queries), top.shape[1]), np.uint8)
-        for d in range(queries.shape[1]):
-            out |= np.where(queries[:, d : d + 1] >= 0, top[d], low[d])
-        return np.unpackbits(out, axis=1, count=len(self.falling)).view(bool)
+    def shown(self, query: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Places that the query's lists show between two depths, repeated ones too."""
+        n, up, down = len(self.falling), query > 0, query < 0
+        if not (up.any() or down.any()):  # all scores are 0: any list shows the vectors
+            return np.arange(start, min(end, n))
+        return np.concatenate((self.order[start:end, up].ravel(), self.order[max(n - end, 0) : n - start, down].ravel()))
 
 
 class Search:
-    """The best k so far of each query of a batch."""
+    """The best k so far of each query of a batch, as (score, id) by rank, and how many products that took."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries.astype(np.float64), k
-        self.score = np.full((len(ids), k), -np.inf)
-        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.ids, self.queries, self.k, self.products = ids, queries, k, 0
+        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
 
     def block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        vectors = vectors.astype(np.float64)
-        lists = Lists(vectors)
-        live = np.flatnonzero(lists.threshold(self.queries, 0) >= self.score[:, -1])
-        done = np.zeros((len(live), len(ids)), bool)
-        for step, depth in enumerate(lists.depths):
-            if not len(live):
-                return
-            own = self.queries[live]
-            seen = lists.seen(own, step)
-            new = seen & ~done & (self.ids[live][:, None] != ids[None, :])
-            self.offer(live, ids, np.where(new, own @ vectors.T, -np.inf))
-            go = (lists.threshold(own, depth) >= self.score[live, -1]) & ~seen.all(axis=1)
-            live, done = live[go], seen[go]
-
-    def offer(self, live: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        scores = np.concatenate((self.score[live], scores), axis=1)
-        all_ids = np.concatenate((self.found[live], np.broadcast_to(ids, (len(live), len(ids)))), axis=1)
-        if scores.shape[1] > 4 * self.k:  # all that reach the kth score, ties included
-            kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            rows = []
-            for r in range(len(live)):
-                c = np.flatnonzero(scores[r] >= kth[r])
-                rows.append(c[np.lexsort((all_ids[r, c], -scores[r, c]))][: self.k])
-            best = np.array(rows)
-        else:
-            best = np.lexsort((all_ids, -scores), axis=1)[:, : self.k]
-        self.score[live] = np.take_along_axis(scores, best, axis=1)
-        self.found[live] = np.take_along_axis(all_ids, best, axis=1)
+        kind = exact(vectors, self.queries)
+        lists, queries = Lists(vectors.astype(kind)), self.queries.astype(kind)
+        for q, query in enumerate(queries):
+            self.one(q, query, lists, ids)
+
+    def one(self, q: int, query: np.ndarray, lists: Lists, ids: np.ndarray) -> None:
+        best, n = self.best[q], len(ids)
+        seen, start, end = np.zeros(n, bool), 0, DEPTH
+        while True:
+            most = lists.threshold(query, start)
+            if most is None or (len(best) == self.k and most < best[-1][0]):
+                break
+            places = lists.shown(query, start, end)
+            new = np.unique(places[~seen[places]])
+            seen[new] = True
+            new = new[ids[new] != self.ids[q]]
+            scores = lists.vectors[new] @ query
+            self.products += len(new)
+            if len(best) == self.k:  # equal scores may have a smaller id
+                new, scores = new[scores >= best[-1][0]], scores[scores >= best[-1][0]]
+            if len(new) > 4 * self.k and scores.dtype != object:
+                high = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+                new, scores = new[high], scores[high]
+            best += zip(map(int, scores.tolist()), ids[new].tolist(), strict=True)
+            best.sort(key=lambda x: (-x[0], x[1]))
+            del best[self.k :]
+            start, end = end, end * DEEPER
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -114,20 +114,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     right = queries.select(dims.alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("vb"), place("id", batches, 6).alias("qb"), "id", "v")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["query_id", "found", "scores"]
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "found": pa.array([], pa.list_(pa.int64())), "scores": pa.array([], pa.list_(pa.int64()))})
+        empty = not a.num_rows or not b.num_rows
         flat = lambda t: (t.column("id").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1))
-        ids, v = flat(a)
-        order = np.argsort(ids)
-        ids, v = ids[order], v[order]
-        search = Search(*flat(b), k)
-        for at in range(0, len(ids), BLOCK):
-            search.block(ids[at : at + BLOCK], v[at : at + BLOCK])
-        have = search.score > -np.inf
-        found = [i[h] for i, h in zip(search.found, have, strict=True)]
-        scores = [s[h].astype(np.int64) for s, h in zip(search.score, have, strict=True)]
-        return pa.table([pa.array(search.ids), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.int64()))], names=names)
+        found, scores, ids_ = [], [], []
+        if not empty:
+            ids, v = flat(a)
+            order = np.lexsort((ids, -np.abs(v.astype(np.float64)).max(axis=1)))
+            ids, v = ids[order], v[order]
+            search = Search(*flat(b), k)
+            for at in range(0, len(ids), BLOCK):
+                search.block(ids[at : at + BLOCK], v[at : at + BLOCK])
+            ids_, scores, found = search.ids, *([[x[j] for x in best] for best in search.best] for j in (0, 1))
+        return pa.table({"query_id": pa.array(ids_, pa.int64()), "found": pa.array(found, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.int64()))})
 
     keys = ["dims", "vb", "qb"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, found array<long>, scores array<long>")
@@ -154,7 +152,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: CAST(p[1] AS HUGEINT) * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
