@@ -12,42 +12,46 @@ from pyspark.sql import functions as F
 from . import common
 
 
-#: Links for a partition, about; and a node of more links than the second has its rows joined where they lie, by broadcast.
-LINKS, HUB = 20_000, 200_000
+#: Links for a partition, about; so many links have their nodes' minima broadcast (32 bytes each); and of more, a node of
+#: more links than ``HUB`` has.
+LINKS, FEW, HUB = 20_000, 200_000, 200_000
 
 
-def _with_least(rows: DataFrame, k: int, hubs: bool) -> DataFrame:
-    """``rows`` (x, y) with the smallest y of each x as ``m``.
+def _with_least(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """``rows`` (x, y), ``n`` of them or twice so many, with the smallest y of each x as ``m``; no x has more than ``most`` rows.
 
-    There are at most rows / HUB hubs, so their broadcast is small: 24 bytes for each 3 MB of links.
+    There are at most 2 * n / HUB hubs, so their broadcast is small: 32 bytes for each 3 MB of links.
     """
-    least = rows.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("size")).withColumnRenamed("x", "n")
     same = F.col("x") == F.col("n")
-    if not hubs:
-        # grouped where the join needs the rows anyway: one and the same exchange
-        own = rows.repartition(k, "x")
-        return own.join(own.groupBy("x").agg(F.min("y").alias("m")).withColumnRenamed("x", "n").hint("merge"), same).select("x", "y", "m")
+    if n <= FEW:
+        least = rows.repartition(common.partitions(rows.sparkSession, n, LINKS), "x").groupBy("x").agg(F.min("y").alias("m"))
+        return rows.join(F.broadcast(least.withColumnRenamed("x", "n")), same).select("x", "y", "m")
+    least = rows.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("size")).withColumnRenamed("x", "n")
+    if most <= HUB:
+        return rows.join(least.hint("merge"), same).select("x", "y", "m")
     least = common.written(least, "least")
     many = F.broadcast(least.where(F.col("size") > HUB))
-    few = rows.join(many, same, "left_anti").repartition(k, "x").join(least.where(F.col("size") <= HUB).repartition(k, "n").hint("merge"), same)
-    return rows.join(many, same).select("x", "y", "m").unionAll(few.select("x", "y", "m"))
+    others = rows.join(many, same, "left_anti").join(least.where(F.col("size") <= HUB).hint("merge"), same)
+    return rows.join(many, same).select("x", "y", "m").unionAll(others.select("x", "y", "m"))
 
 
-def _large_star(links: DataFrame, k: int, hubs: bool) -> DataFrame:
+def _large_star(links: DataFrame, n: int, most: int) -> DataFrame:
     both = links.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(links.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    return _with_least(both, k, hubs).where("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v"))
+    return _with_least(both, n, most).where("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v"))
 
 
-def _small_star(links: DataFrame, k: int, hubs: bool) -> DataFrame:
+def _small_star(links: DataFrame, n: int, most: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).where("x > y")
     # each link y of x goes to the smallest one, as does x itself
-    moved = _with_least(down, k, hubs).select(F.when(F.col("y") > F.col("m"), F.col("y")).otherwise(F.col("x")).alias("u"), F.col("m").alias("v"))
-    return moved.repartition(k, "u", "v").distinct()
+    moved = _with_least(down, n, most).select(F.when(F.col("y") > F.col("m"), F.col("y")).otherwise(F.col("x")).alias("u"), F.col("m").alias("v"))
+    return moved.repartition(common.partitions(links.sparkSession, n, LINKS), "u", "v").distinct()
 
 
-def _state(links: DataFrame) -> tuple[bool, int]:
+def _state(links: DataFrame, n: int) -> tuple[bool, int]:
     """Whether a node has more than one link down, or one and links up (else each component is a star around its smallest node); most links of a node."""
     ends = links.select(F.col("u").alias("n"), F.lit(1).alias("down")).unionAll(links.select(F.col("v").alias("n"), F.lit(0).alias("down")))
+    if n <= FEW:
+        ends = ends.repartition(common.partitions(links.sparkSession, n, LINKS), "n")
     nodes = ends.groupBy("n").agg(F.sum("down").alias("down"), F.count("*").alias("all"))
     state = nodes.agg(F.coalesce(F.bool_or(F.expr("down > 1 or (down = 1 and all > 1)")), F.lit(False)).alias("open"), F.coalesce(F.max("all"), F.lit(0)).alias("most")).first()
     return state["open"], state["most"]
@@ -58,14 +62,14 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links``: long columns a and b. Loops and repeated links do nothing; no links give no rows.
     """
-    spark = links.sparkSession
     now = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     while True:
-        open_, most = _state(now)
+        n = now.count()
+        open_, most = _state(now, n)
         if not open_:
             return now
-        k = common.partitions(spark, now.count(), LINKS)
-        middle = common.written(_large_star(now, k, most > HUB), "links")
-        after = common.written(_small_star(middle, k, most > HUB), "links")
+        middle = common.written(_large_star(now, n, most), "links")
+        # a half round can join all of a component to one node
+        after = common.written(_small_star(middle, n, n), "links")
         common.done(now, middle)
         now = after

@@ -179,11 +179,13 @@ def test_dense_background(spark, monkeypatch):
     assert sum(sent) < 4 * 24_000
 
 
-def test_components_with_hubs(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_with_hubs(spark, monkeypatch, few):
     import maskframe.llm.components as m
 
     monkeypatch.setattr(m, "HUB", 10)
     monkeypatch.setattr(m, "LINKS", 40)
+    monkeypatch.setattr(m, "FEW", few)
     r = random.Random(4)
     links = [(500, k) for k in range(100, 160)] + [(k, k + 1) for k in range(60)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)] + [(30, 500)]
     root = {x: x for p in links for x in p}
