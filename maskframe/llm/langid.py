@@ -1,6 +1,8 @@
 """Language identification by a mixture of languages for each document.
 
 Training counts hashed byte n-grams of letters for each language over a bounded sample of labelled rows and smooths them.
+The sample is bounded for each language, so a rare one is learned from all its rows however large the table is; and only
+the ``LANGUAGES`` labels with most rows are learned (ties to the smaller name), so a dirty label column can't fill the driver.
 A document is a mixture: expectation-maximisation estimates the languages' proportions from its n-grams' likelihoods, and
 the set of languages is the one with the best penalised likelihood. The sets tried are nested: languages enter by their
 proportion in the full mixture. The prediction is the selected set's largest language, the score its proportion.
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common, kernels
 
-#: Labelled rows that are learned from, about, over all languages; a fixed hash of their ids picks them.
-SAMPLE = 20_000
+#: Labelled rows of a language that are learned from, about; a fixed hash of their ids and texts picks them. And the most
+#: languages learned: each is BUCKETS floats in the model, so it has 50 MB at most.
+SAMPLE, LANGUAGES = 5_000, 200
 BUCKETS, SIZES = 1 << 16, (2, 3)
 #: Neighbouring n-grams overlap: so much of the log likelihood counts as independent evidence.
 EVIDENCE = 1 / 4
@@ -69,11 +72,14 @@ def _chunks(batch: pa.RecordBatch, column: int):
 
 
 def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihoods by language and bucket) from about ``sample`` rows."""
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = usable.count()
-    if n > sample:
-        usable = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    """(languages, log likelihoods by language and bucket) from about ``sample`` rows of each language."""
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
+    rows = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    share = {r["lang"]: min(1.0, sample / r["n"]) for r in rows.collect()}  # LANGUAGES rows at most
+    if not share:
+        return [], np.zeros((0, BUCKETS), np.float32)
+    kept = F.element_at(F.create_map(*[F.lit(x) for name, s in share.items() for x in (name, int((1 << 30) * s))]), F.col("lang"))
+    usable = usable.where(F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(1 << 30)) < F.coalesce(kept, F.lit(0)))
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -88,16 +94,16 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counts = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, bucket int, n long")
-    # at most ``sample`` languages and BUCKETS numbers each
+    counts = usable.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long")
+    # at most LANGUAGES languages and BUCKETS numbers each
     got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
-    model = np.full((len(names), BUCKETS), ALPHA)
+    model = np.full((len(names), BUCKETS), ALPHA, np.float32)
     if names:
         row = np.searchsorted(np.array(names, object), np.array(got.column("lang").to_pylist(), object))
         model[row, got.column("bucket").to_numpy()] += got.column("n").to_numpy()
-        model = np.log(model / model.sum(axis=1, keepdims=True))
-    return names, model.astype(np.float32)
+        model = np.log(model / model.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32)
+    return names, model
 
 
 def em(like: np.ndarray, counts: np.ndarray, start: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -146,10 +152,14 @@ def mixture(buckets: np.ndarray, model: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, names: list[str], model: np.ndarray, text_col: str, keep: list, with_text: bool = False) -> DataFrame:
-    """``keep`` columns (by alias) with lang_pred, score and langs (the selected set with proportions); ``with_text`` adds the text as ``__text``."""
+    """``keep`` columns (by alias) with lang_pred, score and langs (the selected set with proportions); ``with_text`` adds the text as ``__text``.
+
+    The added columns get underscores where a kept one has their name.
+    """
     from pyspark.sql import types as T
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    added = [common.unused(rows, x) for x in ("lang_pred", "score", "langs")]
     by_bucket = np.ascontiguousarray(model.T)
     shared = docs.sparkSession.sparkContext.broadcast(by_bucket) if names else None
 
@@ -173,11 +183,11 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray, text_col: str,
                     score.append(min(1.0, float(share[top])))
                     sets.append([{"lang": names[j], "share": float(share[j])} for j in np.flatnonzero(share > 0)])
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)], [*part.schema.names[:kept], "lang_pred", "score", "langs"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)], [*part.schema.names[:kept], *added])
             kernels.settle()
 
     langs = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
-    schema = T.StructType([*(rows.schema.fields if with_text else rows.schema.fields[:-1]), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", langs)])
+    schema = T.StructType([*(rows.schema.fields if with_text else rows.schema.fields[:-1]), *[T.StructField(c, kind) for c, kind in zip(added, (T.StringType(), T.DoubleType(), langs), strict=True)]])
     return rows.mapInArrow(run, schema)
 
 

@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import numpy as np
@@ -34,6 +36,95 @@ def test_nothing_learned(spark):
     assert identify(docs.limit(0), [F.col("doc_id")]).count() == 0
 
 
+def naive_grams(text):
+    """n-gram buckets of a text, byte by byte."""
+    raw = [c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()]
+    out = []
+    for size in (2, 3):
+        for k in range(len(raw) - size + 1):
+            own = raw[k : k + size]
+            if (own[0] != 32 or own[-1] != 32) and 32 not in own[1:-1]:
+                code = 0
+                for c in own:
+                    code = code * 257 + c
+                out.append((code * 0x9E3779B1 % 2**32) >> 16)
+    return out
+
+
+def naive_prediction(text, model):
+    """(language, share, languages) by EM and the penalised likelihood, one number at a time; ``model``: log p by language and bucket."""
+    grams = naive_grams(text or "")
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, 0
+    names, n = sorted(model), len(grams)
+
+    def fit(own, start):
+        share, last = start, -math.inf
+        for _ in range(25):
+            total, new = 0.0, [0.0] * len(own)
+            for g in grams:
+                parts = [s * math.exp(model[x][g]) for s, x in zip(share, own)]
+                total += math.log(sum(parts))
+                new = [a + p / sum(parts) for a, p in zip(new, parts)]
+            share, now = [x / n for x in new], total / n
+            if now - last < 1e-5:
+                break
+            last = now
+        return [x / sum(share) for x in share], now
+
+    single = {x: sum(model[x][g] for g in grams) / n for x in names}
+    first = max(names, key=lambda x: (single[x], -names.index(x)))
+    best, found = single[first] * n / 4, {first: 1.0}
+    cost = math.log(max(n / 4, 2.0)) / 2
+    share, mean = fit(names, [1 / len(names)] * len(names))
+    if mean * n / 4 - cost > best:
+        order = sorted(range(len(names)), key=lambda k: -share[k])
+        for size in range(2, len(names) + 1):
+            own = order[:size]
+            part, mean = fit([names[k] for k in own], [share[k] / sum(share[j] for j in own) for k in own])
+            if mean * n / 4 - cost * (size - 1) > best:
+                best, found = mean * n / 4 - cost * (size - 1), {names[k]: p for k, p in zip(own, part)}
+    top = max(sorted(found), key=lambda x: found[x])
+    return top, found[top], len(found)
+
+
+def test_against_a_naive_version(spark):
+    r = random.Random(6)
+    words = {"en": "the cat dog went with that thing over there".split(), "de": "der hund und katze gingen nicht auf einer straße".split(), "es": "el gato y perro que fueron con aquella niña".split()}
+    rows = []
+    for k in range(60):
+        lang = r.choice(list(words))
+        rows.append((k, " ".join(r.choice(words[lang]) for _ in range(r.randint(1, 40))), lang))
+    for k in range(60, 100):
+        rows.append((k, " ".join(r.choice(words[r.choice(list(words)[: r.randint(1, 3)])]) for _ in range(r.randint(1, 60))) + r.choice([".", " 12", "\n"]), None))
+    rows += [(100, None, None), (101, "... 7", None), (102, "ß", None), (103, "Ünï", "de")]
+    counts = {x: {} for x in words}
+    for k, text, lang in rows:
+        if lang is not None and zlib.crc32(str(k).encode()) % 3 != 1:
+            for g in naive_grams(text):
+                counts[lang][g] = counts[lang].get(g, 0) + 1
+    model = {}
+    for x, c in counts.items():
+        total = sum(c.values()) + 0.5 * 65536
+        model[x] = {g: math.log((c.get(g, 0) + 0.5) / total) for g in {g for _, t, _ in rows for g in naive_grams(t or "")}}
+    got = {q["doc_id"]: q for q in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), [F.col("doc_id")]).collect()}
+    for k, text, _ in rows:
+        lang, share, n = naive_prediction(text, model)
+        assert (got[k]["lang_pred"], len(got[k]["langs"])) == (lang, n) and abs(got[k]["score"] - share) < 1e-4, (k, text)
+
+
+def test_rare_languages_and_clashing_columns(spark, monkeypatch):
+    """A language keeps its rows however many another has; labels beyond the most frequent ones aren't learned."""
+    monkeypatch.setattr("maskframe.llm.langid.LANGUAGES", 3)
+    rows = [(k, "the cat and the dog went there", "en", 1, "x", "y") for k in range(3000)] + [(5000 + k, "der hund und die katze gingen", "de", 1, "x", "y") for k in range(30)]
+    rows += [(6000 + k, "el gato y el perro", "es", 1, "x", "y") for k in range(20)] + [(7000, "zzz qqq", "dirty", 1, "x", "y"), (7001, "el perro y el gato", None, 1, "x", "y"), (7002, "katze und hund", None, 1, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, langs string, lang_pred string")
+    found = identify(docs, [F.col(c) for c in ("doc_id", "score", "langs", "lang_pred")], sample=50)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert got[7001]["lang_pred_"] == "es" and got[7002]["lang_pred_"] == "de" and got[7000]["lang_pred_"] != "dirty"
+    assert got[5]["score"] == 1 and got[5]["langs"] == "x" and got[5]["lang_pred"] == "y" and got[5]["score_"] > 0
+
+
 def test_em_finds_known_proportions():
     r = np.random.default_rng(1)
     p = r.dirichlet(np.full(400, 0.3), size=3) * 0.98 + 0.02 / 400
