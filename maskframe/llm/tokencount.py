@@ -7,14 +7,16 @@ each starts a word of its own; pieces' scores are added in double precision; of
 begins first wins; a character that is no piece may be an unknown of (smallest score - 10); neighbouring unknowns are one
 token, or one for each UTF-8 byte where the vocabulary has all byte pieces.
 
-The vocabulary comes from a sentencepiece model file, whose path is a parameter. The installed one is a BPE model whose
-scores are negative merge ranks: they stand in for log probabilities, and counts are not those of the BPE model's own
-tokenizer. Null and empty texts have 0 tokens.
+The vocabulary comes from a sentencepiece model file, whose path is a parameter; the driver reads it and its pieces go to
+the tasks. The installed one is a BPE model whose scores are negative merge ranks, not log probabilities: counts under it
+are those of a unigram search over its pieces and ranks, and not the counts of the BPE model's own tokenizer. Null and
+empty texts have 0 tokens. Memory for a word doesn't grow with its length beyond the word itself.
 """
 
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,8 @@ class Counter(dict):
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min((s for _, s in vocabulary), default=0.0) - PENALTY
         known = {p for p, _ in vocabulary}
+        self.longest = max((len(p) for p in known), default=1)
+        self.held = 1 << 16 if self.longest < 1 << 15 else 2 * self.longest
         self.by_bytes = all(f"<0x{b:02X}>" in known for b in range(256))
 
     def __missing__(self, word: str) -> int:
@@ -64,26 +68,32 @@ class Counter(dict):
 
     def search(self, word: str) -> int:
         size = len(word)
-        best, count, loose = [0.0] * (size + 1), [0] * (size + 1), [False] * (size + 1)
+        best, count, loose, base = [0.0], [0], [False], 0
         found = self.pieces.iter(word)
         end, piece = next(found, (size, None))
         for at in range(size):
             top, tokens, open_ = None, 0, False
             while end == at:  # longest first: the earliest start wins a tie
                 length, score = piece
-                start = at + 1 - length
+                start = at + 1 - length - base
                 candidate = score + best[start]
                 if top is None or candidate > top:
                     top, tokens, open_ = candidate, count[start] + 1, False
                 end, piece = next(found, (size, None))
             c = word[at]
             if c not in self.single:
-                candidate = self.unknown + best[at]
+                candidate = self.unknown + best[at - base]
                 if top is None or candidate > top:
                     top, open_ = candidate, True
-                    tokens = count[at] + (len(c.encode("utf-8", "surrogatepass")) if self.by_bytes else 0 if loose[at] else 1)
-            best[at + 1], count[at + 1], loose[at + 1] = top, tokens, open_
-        return count[size]
+                    tokens = count[at - base] + (len(c.encode("utf-8", "surrogatepass")) if self.by_bytes else 0 if loose[at - base] else 1)
+            best.append(top)
+            count.append(tokens)
+            loose.append(open_)
+            if len(best) > self.held:  # only the longest piece looks back; very long words need no more memory than that
+                gone = len(best) - self.longest - 1
+                del best[:gone], count[:gone], loose[:gone]
+                base += gone
+        return count[size - base]
 
     def text(self, text: str | None) -> int:
         if not text:
@@ -94,17 +104,20 @@ class Counter(dict):
         return sum(map(self.__getitem__, [MARK + w for w in words]))
 
 
-_counters: dict[str, Counter] = {}
+_counters: dict[tuple, Counter] = {}
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", *, vocabulary: str = VOCABULARY, name: str = "n_tokens") -> DataFrame:
     """``docs`` with the token count of the whole text; other columns pass through, whatever their names."""
     name = common.unused(docs, name)
+    pieces = read_vocabulary(vocabulary)
+    key = (vocabulary, len(pieces), zlib.crc32(repr(pieces).encode("utf-8", "surrogatepass")))
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary: some MB, whatever the tables' size
 
     def run(batches):
-        if vocabulary not in _counters:
-            _counters[vocabulary] = Counter(read_vocabulary(vocabulary))
-        counter = _counters[vocabulary]
+        if key not in _counters:
+            _counters[key] = Counter(shared.value)
+        counter = _counters[key]
         place = docs_columns.index(text_col)
         for batch in batches:
             n = np.fromiter((counter.text(t.as_py()) for t in batch.column(place)), np.int64, batch.num_rows)

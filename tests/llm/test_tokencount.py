@@ -51,15 +51,14 @@ def test_rows_and_columns(spark, tmp_path):
     assert token_counts(docs.limit(0)).count() == 0
 
 
-def test_a_real_unigram_model_gives_its_own_counts(tmp_path, spark):
-    """The same code under log probabilities: a small trained unigram model, against its own library."""
-    import sentencepiece
-
-    texts = [" ".join(r.text.split()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect() if r.text]
-    (tmp_path / "t.txt").write_text("\n".join(texts))
-    sentencepiece.SentencePieceTrainer.train(
-        input=f"{tmp_path}/t.txt", model_prefix=f"{tmp_path}/u", model_type="unigram", vocab_size=600, hard_vocab_limit=False, byte_fallback=True,
-        normalization_rule_name="identity", remove_extra_whitespaces=False, num_threads=1, minloglevel=2, max_sentence_length=100_000)
-    own = sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/u.model")
-    counter = Counter(read_vocabulary(f"{tmp_path}/u.model"))
-    assert [counter.text(t) for t in texts] == [len(own.encode(t)) for t in texts]
+def test_very_long_words():
+    """Held figures are cut while a word goes on; counts are those of the whole word."""
+    vocabulary = read_vocabulary(VOCABULARY)
+    r = random.Random(2)
+    word = "".join(r.choice("abcdeé漢_") for _ in range(60_000))
+    counter = Counter(vocabulary)
+    counts = []
+    for held in (1 << 20, 100, counter.longest + 1):
+        counter.held = held
+        counts.append(counter.search("▁" + word))
+    assert counts[0] == counts[1] == counts[2] == exact(vocabulary, True)(word)
