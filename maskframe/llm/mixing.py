@@ -4,14 +4,15 @@ Sources, by code point with null last, weigh 5, 2, 1, repeating. Together they s
 target stops at ``most`` times its source's words and the excess is shared again by weight: that is the level at which
 min(most * size, level * weight) sums to the total, found from cumulative sums over the sources' table.
 
-Within a source documents come in the order of a hash of their id. The hash's leading bits are the ranges of a range
+Within a source documents come in the order of a hash of their id (of their text, where they have none). The hash's leading bits are the ranges of a range
 sort: sums by (source, range) and their running sums give every range its offset, and a window within the range does the
 rest, so neither a large source nor a large range is one task's work. The number of ranges grows with the square root of
 the rows, which keeps both levels small. A source's whole repeats are floor(budget / size); the rest is cut at exactly
 the remaining words, so one document of each source may be taken in part.
 
-Null texts have no words and are never taken; rows that repeat an id and a size are interchangeable; ids that are null
-sort first. No rows: no rows. Reruns agree, since the order depends on nothing but ids and sizes.
+Null texts have no words and are never taken; rows that repeat an id and a size are interchangeable. No rows: no rows.
+Reruns agree, since the order depends on nothing but ids, texts and sizes. Sources are few by nature: their own table, one
+row each, is one task's work.
 """
 
 from __future__ import annotations
@@ -45,10 +46,15 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return leveled.withColumn("target", F.when(F.col("level") <= F.col("ratio"), F.least(F.col("cap"), F.col("weight") * first)).otherwise(F.col("cap"))).select("source", "source_size", "target")
 
 
+def hash_key(id_: Column, text: Column) -> Column:
+    """The hash that orders documents: of the id, and without one of the text, so that null ids spread too."""
+    return F.md5(F.coalesce(id_.cast("string"), F.concat(F.lit("|"), text), F.lit("")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """(row, size, source_size, target, taken): ``row`` holds all columns of ``docs``."""
     spark = docs.sparkSession
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = hash_key(F.col(id_col), F.col(text_col))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), F.col(id_col).cast("long").alias("id"), key.alias("key"), word_count(F.col(text_col)).alias("size"))
     return _mixed(rows, spark, docs, **shares)
 
@@ -76,15 +82,16 @@ def _mixed(rows: DataFrame, spark, docs: DataFrame, **shares) -> DataFrame:
 def op6_mix_sources(spark, sf_dir) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     light = docs.select("doc_id", "source", "text")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = hash_key(F.col("doc_id"), F.col("text"))
     rows = light.select(F.struct("doc_id").alias("row"), "source", F.col("doc_id").cast("long").alias("id"), key.alias("key"), word_count(F.col("text")).alias("size"))
-    return _mixed(rows, spark, docs).select("row.doc_id", "size", "source_size", "target", "taken")
+    # sizes are counted once: what follows reads the light rows twice
+    return _mixed(common.written(rows, "sizes"), spark, docs).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 #: The same in DuckDB. Sources are few, so the level is found by trying each source as the first that isn't capped.
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '|' || text, '')) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

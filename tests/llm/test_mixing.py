@@ -25,7 +25,7 @@ def brute(rows):
         capped |= over
     out = []
     for s in names:
-        own = sorted((hashlib.md5(("" if d is None else str(d)).encode()).hexdigest(), -1 if d is None else d, n, d) for (d, _, x), n in zip(rows, size) if x == s)
+        own = sorted((hashlib.md5((("" if t is None else "|" + t) if d is None else str(d)).encode()).hexdigest(), -1 if d is None else d, n, d) for (d, t, x), n in zip(rows, size) if x == s)
         budget = math.floor(target[s] + 1e-9)
         epochs, rest = divmod(budget, total[s]) if total[s] else (0, 0)
         for _, _, n, d in own:
