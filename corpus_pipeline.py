@@ -20,9 +20,14 @@ from maskframe.llm import common, decontaminate, langid, mixing, neardup, suffix
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; nothing else is dropped, and columns stay as they are."""
+    """Documents with a language; nothing else is dropped, and columns stay as they are.
+
+    Without a labelled row there is nothing to tell languages by: then every text with a letter stays.
+    """
     session.ship(spark)
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    if docs.where(langid.usable(docs)).isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs, [others], with_text=True).where(F.col("lang_pred") != langid.UND)
     return found.select(*[F.col("__text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
