@@ -73,13 +73,13 @@ def _chunks(batch: pa.RecordBatch, column: int):
 
 def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihoods by language and bucket) from about ``sample`` rows of each language."""
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
-    rows = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
-    share = {r["lang"]: min(1.0, sample / r["n"]) for r in rows.collect()}  # LANGUAGES rows at most
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    share = {r["lang"]: min(1.0, sample / r["n"]) for r in most.collect()}  # LANGUAGES rows at most
     if not share:
         return [], np.zeros((0, BUCKETS), np.float32)
     kept = F.element_at(F.create_map(*[F.lit(x) for name, s in share.items() for x in (name, int((1 << 30) * s))]), F.col("lang"))
-    usable = usable.where(F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(1 << 30)) < F.coalesce(kept, F.lit(0)))
+    rows = rows.where(F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(1 << 30)) < F.coalesce(kept, F.lit(0)))
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -94,7 +94,7 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counts = usable.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long")
+    counts = rows.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long")
     # at most LANGUAGES languages and BUCKETS numbers each
     got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
@@ -195,9 +195,14 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
+def usable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
+    """Whether a row can be learned from: it has a text and a label, and isn't held out."""
+    return ~F.coalesce(held_out(id_col), F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+
+
 def identify(docs: DataFrame, keep: list, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, with_text: bool = False) -> DataFrame:
     """Learn from the labelled rows that aren't held out, then predict every row."""
-    labelled = docs.where(~F.coalesce(held_out(id_col), F.lit(False)))
+    labelled = docs.where(usable(docs, id_col, text_col, lang_col))
     names, model = learn(labelled, text_col, lang_col, id_col, sample)
     return predict(docs, names, model, text_col, keep, with_text)
 
