@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors in a block, blocks in a group (about), queries in a batch (about).
-BLOCK, BLOCKS, BATCH = 8192, 16, 2048
-#: Fewer vectors than this aren't worth a group of their own: every group returns k rows a query.
-SMALL = 256
+#: Vectors in a block, blocks in a group (at most, about), queries in a batch (at most, about).
+BLOCK, BLOCKS, BATCH = 8192, 16, 16384
+#: Fewer vectors than this aren't worth a group of their own: every group returns k rows a query, and lists save more the longer they are.
+SMALL = 4096
 #: How deep the lists are read first, and by what factor each step goes deeper.
-DEPTH, DEEPER = 8, 2
+DEPTH, DEEPER = 16, 3
 
 
 def exact(vectors: np.ndarray, queries: np.ndarray) -> type:
@@ -49,19 +49,20 @@ class Lists:
         self.order = np.argsort(-vectors, axis=0, kind="stable")
         self.falling = np.take_along_axis(vectors, self.order, axis=0)
 
-    def threshold(self, query: np.ndarray, depth: int):
-        """The best score that a vector not shown by any list before ``depth`` can have; None if there is no such vector."""
+    def threshold(self, query: np.ndarray, depth: int) -> int:
+        """The best score that a vector not shown by any list before ``depth`` can have."""
         n = len(self.falling)
-        if depth >= n:
-            return None
         return int((np.where(query > 0, self.falling[depth], self.falling[n - 1 - depth]) * query).sum())
 
     def shown(self, query: np.ndarray, start: int, end: int) -> np.ndarray:
-        """Places that the query's lists show between two depths, repeated ones too."""
+        """Which vectors the query's lists show between two depths."""
         n, up, down = len(self.falling), query > 0, query < 0
+        out = np.zeros(n, bool)
         if not (up.any() or down.any()):  # all scores are 0: any list shows the vectors
-            return np.arange(start, min(end, n))
-        return np.concatenate((self.order[start:end, up].ravel(), self.order[max(n - end, 0) : n - start, down].ravel()))
+            out[start:end] = True
+        out[self.order[start:end, up]] = True
+        out[self.order[max(n - end, 0) : n - start, down]] = True
+        return out
 
 
 class Search:
@@ -74,19 +75,21 @@ class Search:
     def block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         kind = exact(vectors, self.queries)
         lists, queries = Lists(vectors.astype(kind)), self.queries.astype(kind)
+        # the best scores that the block's vectors can have at all
+        most = np.maximum(queries, 0) @ lists.falling[0] + np.minimum(queries, 0) @ lists.falling[-1]
         for q, query in enumerate(queries):
-            self.one(q, query, lists, ids)
+            if len(self.best[q]) < self.k or most[q] >= self.best[q][-1][0]:
+                self.one(q, query, lists, ids)
 
     def one(self, q: int, query: np.ndarray, lists: Lists, ids: np.ndarray) -> None:
         best, n = self.best[q], len(ids)
-        seen, start, end = np.zeros(n, bool), 0, DEPTH
-        while True:
-            most = lists.threshold(query, start)
-            if most is None or (len(best) == self.k and most < best[-1][0]):
+        seen, unseen, start, end = np.zeros(n, bool), n, 0, DEPTH
+        while unseen:
+            if start and len(best) == self.k and lists.threshold(query, start) < best[-1][0]:
                 break
-            places = lists.shown(query, start, end)
-            new = np.unique(places[~seen[places]])
+            new = np.flatnonzero(lists.shown(query, start, end) & ~seen)
             seen[new] = True
+            unseen -= len(new)
             new = new[ids[new] != self.ids[q]]
             scores = lists.vectors[new] @ query
             self.products += len(new)
@@ -106,8 +109,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     n = vectors.count()
     parts = common.shuffle_partitions(spark)
-    groups = max(min(parts, -(-n // SMALL)), -(-n // (BLOCK * BLOCKS)), 1)
-    batches = max(1, -(-queries.count() // BATCH))
+    asked = queries.count()
+    # about so many tasks as partitions, with the fewest copies of vectors and queries: n * batches + asked * groups
+    batches = max(1, -(-asked // BATCH), round((parts * asked / max(n, 1)) ** 0.5))
+    groups = max(1, -(-n // (BLOCK * BLOCKS)), min(-(-parts // batches), -(-n // SMALL)))
     dims = F.size("v")
     place = lambda c, m, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(m)).cast("int")
     left = vectors.select(dims.alias("dims"), place("id", groups, 5).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("qb"), "id", "v")
