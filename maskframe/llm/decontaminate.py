@@ -6,7 +6,8 @@ weighted five-word shingles: the sum of the smaller counts over the sum of the l
 * A window that shares no shingle with any item has similarity 0 with all, so only windows at places that hold an item's
   shingle are built. Moving a window right to the first such place in it never loses a shared shingle, so one window for
   each place and item size is enough: it starts there, or, near the end, is the text's last window (the whole text, where
-  the text is shorter). Places travel as numbers; words are cut out of the few documents that have any, once.
+  the text is shorter). Windows with too few such places to reach the threshold are left out. Places travel as numbers;
+  words are cut out of the few documents that have a window, once.
 * Windows and items get 64-bit SimHash fingerprints of their shingles, a repeated shingle's occurrences being numbered, so
   that fingerprints measure the very sets that similarity compares.
 * Fingerprints are cut into 8 blocks. If two differ in at most ``RADIUS`` = 23 bits, some block differs in at most 2; the
@@ -60,10 +61,11 @@ def _numbered(s: Column) -> Column:
 def simhash(h: Column) -> Column:
     """64-bit SimHash of an array of hashes, each weighing one: bits set in more than half of them.
 
-    Bits are counted several in one long: in four lanes of 16 bits, or in two of 32 where there are too many hashes for that.
+    Bits are counted several in one long: in eight lanes of 8 bits, or fewer and wider ones where the hashes are too many.
     """
 
-    def counted(lanes: int, width: int) -> Column:
+    def counted(width: int) -> Column:
+        lanes = sum(1 << k for k in range(0, 64, width))
         half = 1 << width - 2
         over = F.lit(lanes) * (F.lit(half - 1).cast("long") - F.floor(F.size(h) / 2))
 
@@ -73,7 +75,7 @@ def simhash(h: Column) -> Column:
 
         return reduce(lambda a, b: a.bitwiseOR(b), map(part, range(width)))
 
-    return F.when(F.size(h) < 1 << 14, counted(0x0001000100010001, 16)).otherwise(counted(0x0000000100000001, 32))
+    return F.when(F.size(h) < 1 << 6, counted(8)).when(F.size(h) < 1 << 14, counted(16)).otherwise(counted(32))
 
 
 def _blocks(f: Column) -> Column:
@@ -84,7 +86,7 @@ def prepared(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, words, shingles, numbered, fingerprint) of items with a shingle."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item"), _hashes(F.col(text_col)).alias("h")).where(F.size("h") >= SHINGLE)
     items = items.select("item", F.size("h").alias("words"), _shingles(F.col("h")).alias("shingles")).withColumn("numbered", _numbered(F.col("shingles")))
-    return items.withColumn("fingerprint", simhash(F.col("numbered")))
+    return items.withColumn("fingerprint", F.coalesce(simhash(F.col("numbered")), F.lit(0)))
 
 
 def _mask(keys: DataFrame) -> tuple[list[int], int] | None:
@@ -110,8 +112,9 @@ def places(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Dat
     keys = items.select(F.explode("shingles").alias("s"), "words").distinct()
     mask = _mask(keys)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), _hashes(F.col(text_col)).alias("h"))
-    rows = rows.where(F.size("h") >= SHINGLE).select("id", "text_hash", F.size("h").alias("n"), _shingles(F.col("h")).alias("s"))
-    at = F.sequence(F.lit(0), F.size("s") - 1)
+    # each step is a column of its own, and none is filtered by: else Spark works the steps before it out again
+    rows = rows.select("id", "text_hash", F.size("h").alias("n"), _shingles(F.col("h")).alias("s"))
+    at = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array().cast("array<int>"))
     if mask is not None:
         longs, bits = F.lit(mask[0]), mask[1]
         low = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1))
@@ -121,8 +124,16 @@ def places(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Dat
     hits = rows.select("id", "text_hash", "n", F.explode(found).alias("x")).select("id", "text_hash", "n", "x.p", "x.s")
     side = keys.select(F.col("s").alias("k"), "words")
     hits = hits.join(F.broadcast(side) if mask is not None else side, F.col("s") == F.col("k"))
-    start = F.greatest(F.lit(0), F.least(F.col("p"), F.col("n") - F.col("words")))
-    return hits.groupBy("id", "text_hash").agg(F.collect_set(F.struct("words", start.alias("start"))).alias("windows"))
+    at = hits.groupBy("id", "text_hash", "words").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("p")).alias("p"))
+    # a match shares so many of the window's shingles with one item that so many places of the window must hold one
+    last = F.greatest(F.lit(0), F.col("n") - F.col("words"))
+    length = F.least("n", "words") - (SHINGLE - 1)
+    least = F.ceil(THRESHOLD / (1 + THRESHOLD) * (length + F.col("words") - (SHINGLE - 1)) - 1e-6).cast("int")
+    at = at.select("id", "text_hash", "words", "p", last.alias("last"), length.alias("length"), least.alias("least"))
+    inside = F.filter("p", lambda p, i: (p < F.col("last")) & (F.coalesce(F.get("p", i + F.col("least") - 1), F.lit(2**31 - 1)) < p + F.col("length")))
+    end = F.when(F.size(F.filter("p", lambda p: p >= F.col("last"))) >= F.col("least"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    at = at.select("id", "text_hash", "words", F.explode(F.concat(inside, end)).alias("start"))
+    return at.groupBy("id", "text_hash").agg(F.collect_list(F.struct("words", "start")).alias("windows"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -133,8 +144,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     texts = texts.join(_small(wanted, 48 + 24 * F.size("windows")), (F.col("id") == F.col("i")) & (F.col("text_hash") == F.col("t")))
     texts = texts.select("id", "text_hash", _hashes(F.col("text")).alias("h"), "windows")
     cut = F.transform("windows", lambda w: F.struct(w["words"].alias("words"), F.slice("h", w["start"] + 1, F.least(w["words"], F.size("h"))).alias("h")))
-    windows = texts.select("id", "text_hash", F.explode(cut).alias("x")).select("id", "text_hash", "x.words", _numbered(_shingles(F.col("x.h"))).alias("a"))
-    windows = windows.select("id", "text_hash", "words", "a", simhash(F.col("a")).alias("f"))
+    windows = texts.select("id", "text_hash", F.explode(cut).alias("x")).select("id", "text_hash", "x.words", _shingles(F.col("x.h")).alias("s"))
+    windows = windows.select("id", "text_hash", "words", F.coalesce(_numbered(F.col("s")), F.array().cast("array<long>")).alias("a"))
+    windows = windows.select("id", "text_hash", "words", "a", F.coalesce(simhash(F.col("a")), F.lit(0)).alias("f"))
     index = items.select("item", "words", "fingerprint", F.explode(_blocks(F.col("fingerprint"))).alias("b")).select(
         F.col("words").alias("w"), "item", "fingerprint", F.col("b.block").alias("ib"), F.explode(F.transform(F.lit(NEAR), lambda m: F.col("b.value").bitwiseXOR(m))).alias("iv"))
     keyed = windows.select("*", F.explode(_blocks(F.col("f"))).alias("b"))

@@ -75,6 +75,21 @@ def test_shuffled_path_and_counts(spark, tmp_path, monkeypatch):
     assert sorted(map(str, op5_decontaminate(spark, str(tmp_path)).collect())) == one and len(one) == len(rows)
 
 
+def test_long_items_and_texts(spark):
+    """Items of more words than narrow counters hold, texts longer still, and one word over and over."""
+    r = random.Random(7)
+    item = [f"w{r.randint(0, 500)}" for _ in range(2_000)]
+    near = list(item)
+    for k in range(0, 2_000, 60):
+        near[k] = "other"
+    far = [f"w{r.randint(0, 500)}" for _ in range(2_000)]
+    items = [(1, " ".join(item)), (2, " ".join(f"a{k}" for k in range(40))), (3, "dash " * 64 + " ".join(f"d{k}" for k in range(12)))]
+    texts = [" ".join(far[:900] + near + far), " ".join(far), " ".join(f"a{k}" for k in range(34)) + " -" * 6, "x " * 30 + "dash " * 64 + " ".join(f"e{k}" for k in range(8)), "dash " * 300]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {(x["id"], x["item"]) for x in matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(rows[2:], items[1:]) | {(0, 1)}
+
+
 def test_empty_and_columns(spark):
     docs = spark.createDataFrame([(1, "one two three four five six", 3, "k"), (2, "p q r s t u", 4, "l"), (None, None, 5, "m")], "doc_id long, text string, words int, item string")
     bench = spark.createDataFrame([(1, "One two three four FIVE six")], "item_id long, text string")
@@ -86,7 +101,7 @@ def test_fingerprint_bits(spark):
     from pyspark.sql import functions as F
 
     r = random.Random(3)
-    for n in (1, 2, 7, 300):
-        h = [r.getrandbits(64) - 2**63 for _ in range(n)]
-        got = spark.range(1).select(m.simhash(F.lit(h).cast("array<long>"))).first()[0] & (2**64 - 1)
-        assert got == sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in h) > n)
+    rows = [(n, [r.getrandbits(64) - 2**63 for _ in range(n)]) for n in (0, 1, 2, 7, 63, 64, 300, 16_383, 16_384, 20_000)]
+    got = {x["n"]: x["f"] for x in spark.createDataFrame(rows, "n int, h array<long>").select("n", m.simhash(F.col("h")).alias("f")).collect()}
+    for n, h in rows:
+        assert got[n] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in h) > n)
