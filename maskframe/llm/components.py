@@ -60,9 +60,11 @@ def _state(links: DataFrame, n: int) -> tuple[bool, int]:
 def components(links: DataFrame) -> DataFrame:
     """(u, v) for each node u that isn't the smallest of its component, with that smallest node v.
 
-    ``links``: long columns a and b. Loops and repeated links do nothing; no links give no rows.
+    ``links``: long columns a and b, of a table that is cheap to read twice. Loops and repeated links do nothing; no links
+    give no rows.
     """
-    now = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
+    k = common.partitions(links.sparkSession, links.count(), LINKS)
+    now = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").repartition(k, "u", "v").distinct(), "links")
     while True:
         n = now.count()
         open_, most = _state(now, n)

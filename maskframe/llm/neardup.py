@@ -290,7 +290,7 @@ def pairs_of_forest(classes: DataFrame, threshold: float, between: bool = False)
         if not n:
             break
         now = classes.join(F.broadcast(dense) if n <= BROADCAST_ROWS else dense, "node", "left_semi")
-    return links.distinct()
+    return links
 
 
 def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -408,11 +408,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = common.written(signed(docs, id_col, text_col, size), "sets")
     # one node for each distinct set: the row of the smallest number
     same = sets.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature"))
-    classes = common.written(same.withColumn("part", F.lit(0).cast("long")), "classes")
+    few = common.partitions(spark, sets.count(), SMALL)
+    classes = common.written(same.withColumn("part", F.lit(0).cast("long")).coalesce(few), "classes")
     regions = _ends(components(pairs_of_forest(classes, threshold))).withColumnRenamed("root", "region")
     sizes = regions.groupBy("region").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")
-    members = common.written(regions.join(sizes, "region").select("node", "region", "blocks", block.alias("block")), "regions")
+    members = common.written(regions.join(sizes, "region").select("node", "region", "blocks", block.alias("block")).coalesce(few), "regions")
 
     def with_texts(rows: DataFrame) -> DataFrame:
         few = rows.count() <= BROADCAST_ROWS
@@ -432,7 +433,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cells = common.written(pair_cells(pairs, torn), "cells")
         packs = max(4 * common.shuffle_partitions(spark), -(-cells.count() // PACK))
         rows = cells.select("node", "region", F.pmod(F.col("region"), F.lit(packs)).cast("string").alias("cell"), "own")
-        roots = components(links.unionAll(links_in_cells(with_texts(rows), size, threshold)))
+        roots = components(links.unionAll(common.written(links_in_cells(with_texts(rows), size, threshold), "links")))
     return _answer(sets, classes, _ends(roots))
 
 
