@@ -259,6 +259,11 @@ UNION ALL SELECT DISTINCT 'overlap', image, NULL FROM sp WHERE ahead > s""",
         "prediction_summary": "SELECT (SELECT count(*) FROM customer) AS images, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) AS rows, (SELECT CAST(count(*) AS INTEGER) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS undetected",
         "best_checkpoint": "SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NULL OR value > b",
         "epoch_log": "SELECT strftime(ts, '%Y-%m-%d') AS epoch, round_even(avg(value), 6) AS train_loss, count(*) AS steps FROM events GROUP BY 1",
+        "crop_sampling": f"WITH {PIXELS} SELECT vec_id, CAST(i AS INTEGER) AS i, true AS inside, true AS holds, max(v) >= 0.2::DOUBLE AS can FROM px, range(4) AS t(i) GROUP BY vec_id, i",
+        "synthetic_frames": """
+SELECT strftime(make_timestamp((1400000000 + k * 86400 * 9) * 1000000), '%Y%m%d%H%M%S') || (['B', 'C', 'L', 'M', 'T', 'U'])[k % 6 + 1] || 'h' AS stem, 'A' || a AS annotator, CAST(96 AS INTEGER) AS h, CAST(96 AS INTEGER) AS w,
+       true AS numbered, true AS filled, true AS disjoint
+FROM range(12) AS f(k), range(1, 4) AS r(a) WHERE a <= 1 + k % 3""",
         "scorer_predict": f"WITH {PIXELS} SELECT vec_id, round_even(1 / (1 + exp(-sum(v * ([{', '.join(map(str, WEIGHTS))}])[pos + 1]::DOUBLE))), 6) AS p FROM px GROUP BY vec_id",
     }
 

@@ -412,13 +412,27 @@ def epoch_log(spark, sf):
     return log.select("epoch", _rounded(F.col("train_loss")).alias("train_loss"), "steps")
 
 
-def crop_sampling(spark, sf):
+def _crops(spark, sf) -> tuple[DataFrame, DataFrame]:
     p = pixels(spark, sf).where("v >= 0.2").select("vec_id", (F.col("pos") % 8).cast("int").alias("y"), F.floor(F.col("pos") / 8).cast("int").alias("x"))
-    return training.crops(p, rasters(spark, sf).select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w")), ["vec_id"], 4, 4)
+    return p, training.crops(p, rasters(spark, sf).select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w")), ["vec_id"], 4, 4)
+
+
+def crop_sampling(spark, sf):
+    """Where the crops fall is hashed; what holds of each crop is told: inside the frame, near a positive pixel if it says so."""
+    p, made = _crops(spark, sf)
+    hit = (F.col("y") >= F.col("top")) & (F.col("y") < F.col("top") + 4) & (F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + 4)
+    inside = F.col("top").between(0, 4) & F.col("left").between(0, 4) & F.col("turns").between(0, 3) & F.col("gain").between(0.85, 1.15) & F.col("bias").between(-0.15, 0.15)
+    near = made.join(p, "vec_id", "left").groupBy("vec_id", "i").agg(F.first(inside).alias("inside"), F.first("positive").alias("positive"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("hit"), F.count("x").alias("pixels"))
+    return near.select("vec_id", "i", "inside", (~F.col("positive") | F.col("hit")).alias("holds"), (F.col("pixels") > 0).alias("can"))
 
 
 def synthetic_frames(spark, sf):
-    return synthetic.frames(spark, 12, 96)
+    """Each annotator's masks of each frame: numbered from 1, decodable, none empty, and the first annotator's disjoint."""
+    made = synthetic.frames(spark, 12, 96).withColumn("runs", rle.rle_decode(F.col("counts"), F.lit(96), F.lit(96)))
+    spans = made.select("stem", "annotator", F.explode("runs").alias("r")).select("stem", "annotator", F.col("r.s").alias("s"), F.col("r.e").alias("e"))
+    crossing = sp.overlapping(spans.where("annotator = 'A1'"), ["stem", "annotator"]).withColumn("crossing", F.lit(True))
+    told = made.groupBy("stem", "annotator").agg(F.max("h").alias("h"), F.max("w").alias("w"), (F.max("n") == F.count("*")).alias("numbered"), F.bool_and(F.coalesce(rle.runs_area(F.col("runs")) > 0, F.lit(False))).alias("filled"))
+    return told.join(crossing, ["stem", "annotator"], "left").select("stem", "annotator", "h", "w", "numbered", "filled", F.col("crossing").isNull().alias("disjoint"))
 
 
 WEIGHTS = [((k * 7) % 11 - 5) / 4 for k in range(64)]

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from maskframe.plans import oracle, queries
+from maskframe.sources import synthetic
 
 SF = "/root/testdata/sf0.01"
 SQL = oracle.oracle_sql()
@@ -35,10 +36,9 @@ def test_query_equals_its_sql(spark, duck, key):
 
 
 def test_rows_only(spark):
-    q = queries.queries()
-    crops = q["crop_sampling"](spark, SF)
+    crops = queries._crops(spark, SF)[1]
     got = crops.collect()
     assert len(got) == 4 * 500 and all(0 <= r["top"] <= 4 and 0 <= r["left"] <= 4 for r in got) and 0.3 < sum(r["positive"] for r in got) / len(got) < 0.9
     assert sorted(map(str, crops.repartition(3).collect())) == sorted(map(str, got))
-    frames = q["synthetic_frames"](spark, SF).collect()
+    frames = synthetic.frames(spark, 12, 96).collect()
     assert len({r["stem"] for r in frames}) == 12 and {r["annotator"] for r in frames} == {"A1", "A2", "A3"}
