@@ -39,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     name = common.unused(docs, "row_number")
     rows = common.written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
-    found = common.written(neardup.near_duplicates(rows, name, size=5, threshold=0.8), "groups")
+    found = common.written(neardup.near_duplicates(rows, name, size=5, threshold=0.8, numbered=True), "groups")
     several = found.where("id <> component").select("component").distinct()
     members = found.join(several, "component", "left_semi").select(F.col("id").alias("number"), "component")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.col(name).alias("number"))
