@@ -18,7 +18,7 @@ from . import kernels
 from .repeats import repeats
 
 #: Bytes of contexts that one suffix array covers; a larger shard is several blocks.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
