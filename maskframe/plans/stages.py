@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import session
-from ..functions import names, poly
+from ..functions import names, poly, scores
 from ..functions.rle import counts_of, label_runs, text_of
 from ..operators import components, panoptic, raster, validate
 from ..operators.panoptic import PostConfig
@@ -63,6 +63,46 @@ def truth_spans(records: DataFrame) -> DataFrame:
     return runs.select("stem", "annotator", "truth", F.explode("runs").alias("r")).select("stem", "annotator", "truth", F.col("r.s").alias("s"), F.col("r.e").alias("e"))
 
 
+def working_set(frames: DataFrame, records: DataFrame, scale: float = 0.5) -> DataFrame:
+    """(stem, height, width, x, target) at the working size, 16-bit floats in row order: prepared once, written, read by every epoch.
+
+    ``target`` is the share of the frame's annotators that mark a place. Frames without a record are left out.
+    """
+    spans = truth_spans(records).groupBy("stem").agg(F.collect_list(F.struct("annotator", "s", "e")).alias("spans"))
+    raters = records.groupBy("stem").agg(F.count_distinct("annotator").alias("raters")).join(spans, "stem", "left")
+    rows = frames.select(names.image_stem(F.col("path")).alias("stem"), "height", "width", "pixels").join(raters, "stem")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                frame = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"])
+                x, _ = raster.preprocess(frame, scale)
+                by: dict[str, np.ndarray] = {}
+                for r in row["spans"] or []:
+                    by.setdefault(r["annotator"], np.zeros(frame.size, bool))[r["s"] : r["e"]] = True
+                share = sum((m.astype(float) for m in by.values()), np.zeros(frame.size)) / row["raters"]
+                target = raster.area_resize(share.reshape(row["width"], row["height"]).T, *x.shape)
+                half = lambda a: pa.array([a.astype("<f2").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([row["stem"]]), *[pa.array([n], pa.int32()) for n in x.shape], half(x), half(target)], ["stem", "height", "width", "x", "target"])
+
+    return session.written(rows.mapInArrow(run, "stem string, height int, width int, x binary, target binary"), "working")
+
+
+def pooled_dice(working: DataFrame, load: Load, **tiling) -> DataFrame:
+    """(dice) of a scorer over a working set: places where probability and target reach a half, pooled over all frames."""
+
+    def run(batches):
+        score = load()
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, target = (np.frombuffer(row[c], "<f2").reshape(row["height"], row["width"]).astype(np.float32) for c in ("x", "target"))
+                pred, truth = raster.predict_prob(score, x, **tiling) >= 0.5, target >= 0.5
+                yield pa.RecordBatch.from_arrays([pa.array([int((pred & truth).sum())]), pa.array([int(pred.sum() + truth.sum())])], ["both", "total"])
+
+    counts = working.mapInArrow(run, "both long, total long").agg(F.coalesce(F.sum("both"), F.lit(0)).alias("both"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+    return counts.select(scores.dice(F.col("both"), F.col("total")).alias("dice"))
+
+
 def tune(frames: DataFrame, records: DataFrame, load: Load, configs: list[PostConfig], scale: float = 0.5, **tiling) -> DataFrame:
     """(config, tp, fp, fn, iou_sum, pq, sq, rq), best first; equal scores in the configurations' order.
 
