@@ -23,10 +23,9 @@ def _with_least(rows: DataFrame, n: int, most: int) -> DataFrame:
     There are at most 2 * n / HUB hubs, so their broadcast is small: 32 bytes for each 3 MB of links.
     """
     same = F.col("x") == F.col("n")
-    if n <= FEW:
-        least = rows.repartition(common.partitions(rows.sparkSession, n, LINKS), "x").groupBy("x").agg(F.min("y").alias("m"))
-        return rows.join(F.broadcast(least.withColumnRenamed("x", "n")), same).select("x", "y", "m")
     least = rows.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("size")).withColumnRenamed("x", "n")
+    if n <= FEW:
+        return rows.join(F.broadcast(least), same).select("x", "y", "m")
     if most <= HUB:
         return rows.join(least.hint("merge"), same).select("x", "y", "m")
     least = common.written(least, "least")
@@ -47,11 +46,9 @@ def _small_star(links: DataFrame, n: int, most: int) -> DataFrame:
     return moved.repartition(common.partitions(links.sparkSession, n, LINKS), "u", "v").distinct()
 
 
-def _state(links: DataFrame, n: int) -> tuple[bool, int]:
+def _state(links: DataFrame) -> tuple[bool, int]:
     """Whether a node has more than one link down, or one and links up (else each component is a star around its smallest node); most links of a node."""
     ends = links.select(F.col("u").alias("n"), F.lit(1).alias("down")).unionAll(links.select(F.col("v").alias("n"), F.lit(0).alias("down")))
-    if n <= FEW:
-        ends = ends.repartition(common.partitions(links.sparkSession, n, LINKS), "n")
     nodes = ends.groupBy("n").agg(F.sum("down").alias("down"), F.count("*").alias("all"))
     state = nodes.agg(F.coalesce(F.bool_or(F.expr("down > 1 or (down = 1 and all > 1)")), F.lit(False)).alias("open"), F.coalesce(F.max("all"), F.lit(0)).alias("most")).first()
     return state["open"], state["most"]
@@ -67,7 +64,7 @@ def components(links: DataFrame) -> DataFrame:
     now = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").repartition(k, "u", "v").distinct(), "links")
     while True:
         n = now.count()
-        open_, most = _state(now, n)
+        open_, most = _state(now)
         if not open_:
             return now
         middle = common.written(_large_star(now, n, most), "links")
