@@ -6,7 +6,7 @@ document with a smaller id? Comparing all windows would shuffle the corpus W tim
 * Every window picks the leftmost smallest hash of its grams (a minimizer). Equal windows pick equal grams, so all
   occurrences of one window meet in the bucket of that gram. Consecutive windows with one pick form a *context*.
 * Equal contexts (copies, however many) are collapsed to the smallest id per document group before they are shuffled. A
-  context is known by 96 bits of the xxh3 hash of its bytes (or of its words' 128-bit hashes), besides its gram's 32.
+  context is known by 80 bits of the xxh3 hash of its bytes (or of its words' 128-bit hashes), besides its gram's 32.
 * Where a gram occurs in several different contexts that agree on one side of it for half of what a window holds
   besides the gram (else no window can be in both), the contexts' bytes themselves go to a *shard* with the bucket, and the operator's own method (suffix arrays, or relative Lempel-Ziv parsing) decides every window there, on bytes or on whole words.
 
@@ -32,7 +32,7 @@ from . import common, kernels
 #: Windows are looked at in tiles of this many, so that a very long text needs bounded working memory.
 TILE = 1 << 19
 _TILE_BITS = np.uint64((1 << 20) - 1)
-ENTRY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("more", "<u4"), ("left", "<u2"), ("right", "<u2"), ("id", "<i8")])
+ENTRY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("more", "<u2"), ("left", "<u2"), ("right", "<u2")])
 META = np.dtype([("entry", "<u4"), ("units", "<u4"), ("id", "<i8")])
 
 
@@ -108,7 +108,7 @@ class Group:
             units = self.value[:, 0]
         c = contexts(units, self.unit_start, self.unit_end, self.window, spec["gram"])
         whole = kernels.slice_digests(self.bytes if self.value is None else self.value, c["first"], c["last"] + self.window)
-        c["context"], c["more"] = whole[:, 0], whole[:, 1].astype(np.uint32)
+        c["context"], c["more"] = whole[:, 0], whole[:, 1].astype(np.uint16)
         # distinct (gram, context), each with the smallest id: texts come by id, so the first occurrence has it
         order = np.lexsort((c["more"], c["context"]))
         x, y = c["context"][order], c["more"][order]
@@ -131,9 +131,13 @@ class Group:
         for name in ("context", "more", "left", "right"):
             out[name] = self.c[name][self.rep]
         out["gram"] = self.c["gram"][self.rep] >> np.uint64(32)
-        out["id"] = self.ids[self.c["text"][self.rep]]
         return out
 
+    def holders(self) -> list[bytes]:
+        """The entries' ids by bucket. Entries come by id, so steps from one to the next are small numbers."""
+        ids = self.ids[self.c["text"][self.rep]]
+        return [_steps(ids[a:b]) for a, b in zip(self.bucket_at, np.append(self.bucket_at[1:], len(ids)), strict=True)]
+
     def masks(self, rows: list[tuple[int, bytes]]) -> np.ndarray:
         """The entries' bits, from (bucket, packed bits) in any order."""
         bits, size = np.zeros(len(self.rep), bool), np.append(self.bucket_at[1:], len(self.rep)) - self.bucket_at
@@ -165,13 +169,25 @@ def _binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+def _steps(ids: np.ndarray) -> bytes:
+    """Ascending ids as the first one and the steps from there, in the narrowest type that holds them."""
+    step = np.diff(ids.astype(np.int64).view(np.uint64))
+    width = next(w for w in (1, 2, 4, 8) if int(step.max(initial=0)) < 1 << 8 * w)
+    return ids[:1].astype("<i8").tobytes() + bytes([width]) + step.astype(f"<u{width}").tobytes()
+
+
+def _ids(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate((np.frombuffer(blob[:8], "<u8"), np.frombuffer(blob[9:], f"<u{blob[8]}").astype(np.uint64))), dtype=np.uint64).view(np.int64)
+
+
 def _decide(table: pa.Table) -> pa.Table:
     """In a bucket: which entries occur in a smaller id, and which must be compared unit by unit."""
     blobs = table.column("entries").to_pylist()
     sizes = np.array([len(b) // ENTRY.itemsize for b in blobs])
     e = np.frombuffer(b"".join(blobs), ENTRY)
-    order = np.lexsort((e["id"], e["more"], e["context"], e["gram"]))
-    g, x, y, d = e["gram"][order], e["context"][order], e["more"][order], e["id"][order]
+    ids = np.concatenate([_ids(b) for b in table.column("ids").to_pylist()])
+    order = np.lexsort((ids, e["more"], e["context"], e["gram"]))
+    g, x, y, d = e["gram"][order], e["context"][order], e["more"][order], ids[order]
     new_g = np.concatenate(([True], g[1:] != g[:-1]))
     new = new_g | np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
     least = d[new]  # the smallest id of each context
@@ -223,7 +239,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
         group = Group(table, spec)
         values = kernels.packed(group.entries(), group.bucket_at)
         kernels.settle()
-        return pa.table({"g": pa.array(np.full(len(group.buckets), table.column("g")[0].as_py()), pa.int32()), "bucket": pa.array(group.buckets, pa.int32()), "entries": values})
+        return pa.table({"g": pa.array(np.full(len(group.buckets), table.column("g")[0].as_py()), pa.int32()), "bucket": pa.array(group.buckets, pa.int32()), "entries": values, "ids": _binary(group.holders())})
 
     def opened(left: pa.Table, right: pa.Table) -> pa.Table:
         """Contexts to compare, by bucket; and the copies' bits, which only pass through."""
@@ -304,7 +320,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"row": group.data.column("row"), "n_units": pa.array(group.unit_end - group.unit_start, pa.int64()), "spans": pa.array(spans, kind), "kept": _binary(kept)})
 
-    listing = rows.groupBy("g").applyInArrow(listed, "g int, bucket int, entries binary")
+    listing = rows.groupBy("g").applyInArrow(listed, "g int, bucket int, entries binary, ids binary")
     marks = listing.groupBy("bucket").applyInArrow(_decide, "g int, bucket int, copies binary, open binary")
     shown = rows.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(opened, "g int, bucket int, meta binary, units binary")
     settled = shown.groupBy("bucket").applyInArrow(compared, "g int, bucket int, meta binary, units binary")

@@ -119,3 +119,10 @@ def test_empty_and_extra_columns(spark):
     out = {r["row"]["doc_id"]: r for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string, g int, id string, row int")).collect()}
     assert out[2]["row"]["id"] == "b" and out[2]["row"]["g"] == 5 and out[2]["row"]["row"] == 7
     assert [(s["start"], s["end"]) for s in out[2]["spans"]] == [(1, 61)] and bytes(out[2]["kept"]) == b"q"
+
+
+def test_ids_as_steps():
+    from maskframe.llm.repeats import _ids, _steps
+
+    for ids in ([5], [0, 0, 255], [-(2**63), 2**62], [3, 2**40, 2**63 - 1], [1, 300, 70_000, 2**33], [7] * 5):
+        assert _ids(_steps(np.array(ids, np.int64))).tolist() == ids
