@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_folders: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,9 +55,27 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/maskframe-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the application's folder in the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/maskframe-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder in the shared one, which goes when the driver's process ends."""
+    folder = _folder(spark)
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_forget, spark, folder)
+    return f"{folder}/{what}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    if folder.startswith(("/", "file:")):
+        shutil.rmtree("/" + folder.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
+    try:
+        delete(spark, folder)
+    except Exception:  # the session has gone already: its folder is the cluster's to clean
+        pass
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -66,7 +85,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def clean(spark: SparkSession) -> None:
     """Delete all that this application wrote between steps; results that still read from it are gone then."""
-    delete(spark, f"{shared_dir(spark).rstrip('/')}/maskframe-{spark.sparkContext.applicationId}")
+    delete(spark, _folder(spark))
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

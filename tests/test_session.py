@@ -29,3 +29,21 @@ def test_written_tables_are_deleted(spark):
     again = session.written(spark.range(3).toDF("x"), "rows")._written_to.removeprefix("file://")
     session.clean(spark)
     assert not os.path.exists(again)
+
+
+def test_the_folder_goes_with_the_process(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+from maskframe import session
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", {str(tmp_path / 'shared')!r}).config("spark.ui.enabled", "false").getOrCreate()
+table = session.written(spark.range(3).toDF("x"), "rows")
+assert table.count() == 3
+spark.stop()
+"""
+    assert subprocess.run([sys.executable, "-c", code]).returncode == 0
+    assert not list((tmp_path / "shared").glob("maskframe-*"))
