@@ -5,7 +5,8 @@ document with a smaller id? Comparing all windows would shuffle the corpus W tim
 
 * Every window picks the leftmost smallest hash of its grams (a minimizer). Equal windows pick equal grams, so all
   occurrences of one window meet in the bucket of that gram. Consecutive windows with one pick form a *context*.
-* Equal contexts (copies, however many) are collapsed to the smallest id per document group before they are shuffled. A
+* Equal contexts (copies, however many) are collapsed to the smallest id per document group before they are shuffled, and
+  then to two: the smallest id's and the next one's are compared, and what is found for the next one holds for all. A
   context is known by 80 bits of the xxh3 hash of its bytes (or of its words' 128-bit hashes), besides its gram's 32.
 * Where a gram occurs in several different contexts that agree on one side of it for half of what a window holds
   besides the gram (else no window can be in both), the contexts' bytes themselves go to a *shard* with the bucket, and the operator's own method (suffix arrays, or relative Lempel-Ziv parsing) decides every window there, on bytes or on whole words.
@@ -192,9 +193,14 @@ def _decide(table: pa.Table) -> pa.Table:
     new = new_g | np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
     least = d[new]  # the smallest id of each context
     number = np.cumsum(new) - 1
-    copy = np.empty(len(e), bool)
-    copy[order] = least[number] < d
-    # contexts of one gram: with several of them, and ids that differ, each one's first holder shows its units
+    # of a context that several ids have, the second one shows its units too and is compared; the others after it are copies of that
+    later = np.flatnonzero(least[number] < d)
+    several, second = np.unique(number[later], return_index=True)
+    copy, open_ = np.zeros(len(e), bool), np.zeros(len(e), bool)
+    copy[order[later]] = True
+    copy[order[later[second]]] = False
+    open_[order[later[second]]] = True
+    # contexts of one gram: with several of them, and ids that differ, each one's first holder shows its units, in every group that has it
     at = np.flatnonzero(new)
     gram_at = np.flatnonzero(new_g[at])
     many = np.diff(np.append(gram_at, len(at))) > 1
@@ -206,8 +212,9 @@ def _decide(table: pa.Table) -> pa.Table:
         by = np.lexsort((y, x))
         same = (x[by][1:] == x[by][:-1]) & (y[by][1:] == y[by][:-1]) & (y[by][1:] != 0)
         near[by[1:][same]] = near[by[:-1][same]] = True
-    open_ = np.zeros(len(e), bool)
-    open_[rep[near]] = True
+    shown = np.zeros(len(at), bool)
+    shown[maybe[near]] = shown[several] = True
+    open_[order[(least[number] == d) & shown[number]]] = True
     edge = np.append(0, np.cumsum(sizes))
     cut = list(zip(edge[:-1], edge[1:], strict=True))
     return pa.table({

@@ -29,9 +29,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    if text.dtype == np.uint16 and n > 4:  # four values at a time to begin with
-        t = np.concatenate((text.astype(np.uint64), np.zeros(3, np.uint64)))
-        key, h = t[:n] << np.uint64(48) | t[1 : n + 1] << np.uint64(32) | t[2 : n + 2] << np.uint64(16) | t[3 : n + 3], 4
+    if text.dtype == np.uint16 and n > 7 and int(text.max()) < 512:  # seven values at a time to begin with
+        t = np.concatenate((text.astype(np.uint64), np.zeros(6, np.uint64)))
+        key, h = t[:n].copy(), 7
+        for k in range(1, h):
+            key <<= np.uint64(9)
+            key |= t[k : n + k]
     else:
         key, h = text, 1
     sa = np.argsort(key, kind="stable")
@@ -55,7 +58,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         member = sa[place]
         second = rank[np.minimum(member + h, n)]
         owner = np.repeat(np.arange(len(begin)), size)
-        order = np.lexsort((second, owner))
+        order = np.argsort(owner * (n + 2) + second + 1, kind="stable")
         member, second = member[order], second[order]
         sa[place] = member
         new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (second[1:] != second[:-1])))

@@ -92,6 +92,9 @@ def test_null_and_repeated_ids_and_a_long_text(spark, tmp_path):
     passage = " ".join(f"p{k}" for k in range(80))
     own = lambda n=60: " ".join(r.choice("abcdefgh") + str(r.randint(0, 10**6)) for _ in range(n))
     rows = [(None, own() + " " + passage) for _ in range(40)] + [(5, own() + " " + passage) for _ in range(40)] + [(6, own(30_000) + " " + passage), (9, passage)]
+    # equal contexts of one id, in texts of their own, against a smaller id's text that has a part of them
+    other = [f"q{k}" for k in range(130)]
+    rows += [(20, " ".join(other[:90] + [f"z{k}"])) for k in range(12)] + [(3, " ".join(other[30:100])), (None, " ".join(other[20:])), (None, " ".join(other[20:]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, op9_substring_dedup(spark, str(tmp_path)).collect()), key=str)
