@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _folders: set[str] = set()
+#: Tables of the blocks that will delete them.
+_written: list[list[DataFrame]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -88,13 +91,27 @@ def clean(spark: SparkSession) -> None:
     delete(spark, _folder(spark))
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+@contextmanager
+def temporary():
+    """Tables written in this block are deleted at its end, but for those written with ``keep``."""
+    mine: list[DataFrame] = []
+    _written.append(mine)
+    try:
+        yield
+    finally:
+        _written.remove(mine)
+        done(*mine)
+
+
+def written(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder as Parquet and read it back."""
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _written and not keep:
+        _written[-1].append(out)
     return out
 
 
