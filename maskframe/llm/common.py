@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import delete, done, scratch, shared_dir, written
+from ..session import delete, done, scratch, shared_dir, temporary, written
 
 #: One word: a run of anything but ASCII white space (Java and RE2 syntax alike).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,4 +47,4 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["NULL_ID", "WORD", "delete", "done", "group_count", "partitions", "scratch", "shared_dir", "shuffle_partitions", "table", "unused", "words", "written"]
+__all__ = ["NULL_ID", "WORD", "delete", "done", "group_count", "partitions", "scratch", "shared_dir", "shuffle_partitions", "table", "temporary", "unused", "words", "written"]

@@ -144,9 +144,8 @@ def chunks(batch: pa.RecordBatch, column: int = 1):
         a = b
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, size: int, numbered: bool = False) -> DataFrame:
-    """(id, text, n, digest, signature, node) for each row: ``node`` numbers the rows; without the text if the ids do that already."""
-    kept = 1 if numbered else 2
+def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, text, hash, n, digest, signature, node) for each row: ``hash`` is the text's, ``node`` numbers the rows."""
 
     def run(batches):
         for batch in batches:
@@ -154,13 +153,11 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int, numbered: boo
                 flat, at = shingle_sets(part.column(1), size)
                 sig = signatures(flat[:, 0], at)
                 digest = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(np.diff(at), pa.int64()), pa.array(digest, pa.binary()), kernels.packed(sig)], [*["id", "text"][:kept], "n", "digest", "signature"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(at), pa.int64()), pa.array(digest, pa.binary()), kernels.packed(sig)], ["id", "text", "hash", "n", "digest", "signature"])
             kernels.settle()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    if numbered:
-        return rows.mapInArrow(run, "id long, n long, digest binary, signature binary").withColumn("node", F.col("id"))
-    return rows.mapInArrow(run, "id long, text string, n long, digest binary, signature binary").withColumn("node", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    return rows.mapInArrow(run, "id long, text string, hash long, n long, digest binary, signature binary").withColumn("node", F.monotonically_increasing_id())
 
 
 def forest(classes: DataFrame, n: int, threshold: float, depth: int) -> DataFrame:
@@ -405,14 +402,26 @@ def pair_cells(pairs: DataFrame, torn: DataFrame) -> DataFrame:
     return pairs.join(ends("a"), "a").join(ends("b"), "b").select(group, both).groupBy("region", "x.node").agg(F.max("x.own").alias("own")).select("node", "region", "own")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, threshold: float = 0.8, numbered: bool = False) -> DataFrame:
-    """(id, n_shingles, component) for each row of ``docs``: the smallest id that links reach, the row's own included.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, n_shingles, component) for each row of ``docs``: the smallest id that links reach, the row's own included."""
+    with common.temporary():
+        return common.written(_answer(*_linked(docs, id_col, text_col, size, threshold)), "answer", keep=True)
 
-    ``numbered``: ids are a number of each row's own, and ``docs`` is a written table; then texts are read from there.
-    """
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, hash, component) for each row of ``docs`` whose component has several rows: ``hash`` is xxhash64 of the text, ``component`` a number."""
+    with common.temporary():
+        sets, classes, ends = _linked(docs, id_col, text_col, size, threshold)
+        found = classes.select("digest", "node").join(ends, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
+        rows = sets.where("n > 0").select("id", "hash", "digest").join(found.hint("merge"), "digest").select("id", "hash", "component")
+        several = rows.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
+        return common.written(rows.join(several, "component", "left_semi"), "groups", keep=True)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their sets, one node for each distinct set, and (node, root) of the nodes that links join."""
     spark = docs.sparkSession
-    sets = common.written(signed(docs, id_col, text_col, size, numbered), "sets")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")) if numbered else sets.select("node", "text")
+    sets = common.written(signed(docs, id_col, text_col, size), "sets")
     # one node for each distinct set: the row of the smallest number
     same = sets.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature"))
     few = common.partitions(spark, sets.count(), SMALL)
@@ -424,7 +433,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def with_texts(rows: DataFrame) -> DataFrame:
         few = rows.count() <= BROADCAST_ROWS
-        return texts.join(F.broadcast(rows) if few else rows, "node").select("cell", "region", "own", "node", "text")
+        return sets.select("node", "text").join(F.broadcast(rows) if few else rows, "node").select("cell", "region", "own", "node", "text")
 
     packs = max(4 * common.shuffle_partitions(spark), -(-members.count() // PACK))
     cells = common.written(first_cells(members, packs), "cells")
@@ -441,7 +450,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         packs = max(4 * common.shuffle_partitions(spark), -(-cells.count() // PACK))
         rows = cells.select("node", "region", F.pmod(F.col("region"), F.lit(packs)).cast("string").alias("cell"), "own")
         roots = components(links.unionAll(common.written(links_in_cells(with_texts(rows), size, threshold), "links")))
-    return _answer(sets, classes, _ends(roots))
+    return sets, classes, _ends(roots)
 
 
 def _answer(sets: DataFrame, classes: DataFrame, ends: DataFrame) -> DataFrame:

@@ -137,7 +137,8 @@ class Group:
     def holders(self) -> list[bytes]:
         """The entries' ids by bucket. Entries come by id, so steps from one to the next are small numbers."""
         ids = self.ids[self.c["text"][self.rep]]
-        return [_steps(ids[a:b]) for a, b in zip(self.bucket_at, np.append(self.bucket_at[1:], len(ids)), strict=True)]
+        edge = np.append(self.bucket_at, len(ids))
+        return [_steps(ids[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
     def masks(self, rows: list[tuple[int, bytes]]) -> np.ndarray:
         """The entries' bits, from (bucket, packed bits) in any order."""
