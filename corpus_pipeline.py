@@ -35,19 +35,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: that with the smallest id (null last), then text hash. Texts without words have no group and stay.
 
-    Rows are linked by their texts alone, whatever ids they share or lack: each row has a number of its own here.
+    Rows are linked by their texts alone, whatever ids they share or lack. A row is known by id and text; of rows that share
+    both, and are their group's first, one stays, whichever.
     """
-    name = common.unused(docs, "row_number")
-    rows = common.written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
-    found = common.written(neardup.near_duplicates(rows, name, size=5, threshold=0.8, numbered=True), "groups")
-    several = found.where("id <> component").select("component").distinct()
-    members = found.join(several, "component", "left_semi").select(F.col("id").alias("number"), "component")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.col(name).alias("number"))
-    ranks = rows.select(F.col(name).alias("n"), rank.alias("rank"))
-    members = members.join(ranks, F.col("number") == F.col("n")).select("number", "component", "rank")
-    stays = members.groupBy("component").agg(F.min("rank").alias("least")).select("least.number")
-    gone = members.join(stays, "number", "left_anti").select(F.col("number").alias(common.unused(rows, "gone")))
-    return rows.join(gone, F.col(name) == F.col(gone.columns[0]), "left_anti").drop(name)
+    rows = neardup.groups(docs, size=5, threshold=0.8)
+    keys = rows.groupBy("component", "id", "hash").agg(F.count("*").alias("copies"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    first = keys.groupBy("component").agg(F.min(rank).alias("first"))
+    keys = common.written(keys.join(first, "component").select("id", "hash", "copies", (rank == F.col("first")).alias("stays")), "keys")
+    i, h = common.unused(docs, "key_id"), common.unused(docs, "key_hash")
+    named = keys.withColumnsRenamed({"id": i, "hash": h})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
+    left = docs.join(named.where("not stays").select(i, h), same, "left_anti")
+    copied = named.where("stays and copies > 1").select(i, h)
+    if copied.isEmpty():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(copied, same).groupBy(i, h).agg(F.first(row).alias("row")).select("row.*")
+    return left.join(copied, same, "left_anti").unionByName(one)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
