@@ -5,14 +5,18 @@ document with a smaller id? Comparing all windows would shuffle the corpus W tim
 
 * Every window picks the leftmost smallest hash of its grams (a minimizer). Equal windows pick equal grams, so all
   occurrences of one window meet in the bucket of that gram. Consecutive windows with one pick form a *context*.
-* Equal contexts (copies, however many) are collapsed to the smallest id per document group before they are shuffled, and
-  then to two: the smallest id's and the next one's are compared, and what is found for the next one holds for all. A
-  context is known by 80 bits of the xxh3 hash of its bytes (or of its words' 128-bit hashes), besides its gram's 32.
+* Equal contexts (copies, however many) are collapsed to the smallest id per document group before they are shuffled. With
+  ``compare_copies`` two of them are compared below, the smallest id's and the next one's, and what is found for the next
+  one holds for all after it; else equal contexts are settled at once, by the smallest id. A context is known by 80 bits
+  of the xxh3 hash of its bytes (or of its words' 128-bit hashes), besides its gram's 32.
 * Where a gram occurs in several different contexts that agree on one side of it for half of what a window holds
-  besides the gram (else no window can be in both), the contexts' bytes themselves go to a *shard* with the bucket, and the operator's own method (suffix arrays, or relative Lempel-Ziv parsing) decides every window there, on bytes or on whole words.
+  besides the gram (else no window can be in both), the contexts' bytes themselves go to a *shard* with the bucket, and
+  the operator's own method (suffix arrays, or relative Lempel-Ziv parsing) decides every window there, on bytes or on
+  whole words.
 
-Documents are hashed into groups by id and text, so that null or repeated ids make no large group; each step's answers travel back to the group as bit masks in the order in which the
-group lists its contexts, which depends on nothing but the group's rows. So a recomputed task gives the same order.
+Documents are hashed into groups by id and text, so that null or repeated ids make no large group; each step's answers
+travel back to the group as bit masks in the order in which the group lists its contexts, which depends on nothing but the
+group's rows. So a recomputed task gives the same order.
 The document exchange is one and the same in all three passes, and Spark reuses it.
 
 Null ids count as larger than any other; rows with equal ids never remove anything from each other; null texts are
@@ -182,7 +186,7 @@ def _ids(blob: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(blob[:8], "<u8"), np.frombuffer(blob[9:], f"<u{blob[8]}").astype(np.uint64))), dtype=np.uint64).view(np.int64)
 
 
-def _decide(table: pa.Table) -> pa.Table:
+def _decide(table: pa.Table, compare_copies: bool) -> pa.Table:
     """In a bucket: which entries occur in a smaller id, and which must be compared unit by unit."""
     blobs = table.column("entries").to_pylist()
     sizes = np.array([len(b) // ENTRY.itemsize for b in blobs])
@@ -194,13 +198,13 @@ def _decide(table: pa.Table) -> pa.Table:
     new = new_g | np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
     least = d[new]  # the smallest id of each context
     number = np.cumsum(new) - 1
-    # of a context that several ids have, the second one shows its units too and is compared; the others after it are copies of that
     later = np.flatnonzero(least[number] < d)
     several, second = np.unique(number[later], return_index=True)
     copy, open_ = np.zeros(len(e), bool), np.zeros(len(e), bool)
     copy[order[later]] = True
-    copy[order[later[second]]] = False
-    open_[order[later[second]]] = True
+    if compare_copies:  # the second id's context shows its units too and is compared; the others after it are copies of that
+        copy[order[later[second]]] = False
+        open_[order[later[second]]] = True
     # contexts of one gram: with several of them, and ids that differ, each one's first holder shows its units, in every group that has it
     at = np.flatnonzero(new)
     gram_at = np.flatnonzero(new_g[at])
@@ -214,7 +218,9 @@ def _decide(table: pa.Table) -> pa.Table:
         same = (x[by][1:] == x[by][:-1]) & (y[by][1:] == y[by][:-1]) & (y[by][1:] != 0)
         near[by[1:][same]] = near[by[:-1][same]] = True
     shown = np.zeros(len(at), bool)
-    shown[maybe[near]] = shown[several] = True
+    shown[maybe[near]] = True
+    if compare_copies:
+        shown[several] = True
     open_[order[(least[number] == d) & shown[number]]] = True
     edge = np.append(0, np.cumsum(sizes))
     cut = list(zip(edge[:-1], edge[1:], strict=True))
@@ -225,7 +231,7 @@ def _decide(table: pa.Table) -> pa.Table:
     })
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: int, gram: int, resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray], group_bytes: int = 4 << 20, whole_characters: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: int, gram: int, resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray], group_bytes: int = 4 << 20, whole_characters: bool = False, compare_copies: bool = False) -> DataFrame:
     """For each row of ``docs``: ``row`` (its columns but the text), ``n_units``, ``spans`` (removed runs of units) and ``kept`` bytes.
 
     ``resolve(units, sizes, ids, window)`` gets the contexts of a shard, one after another, and returns for each
@@ -329,7 +335,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: i
         return pa.table({"row": group.data.column("row"), "n_units": pa.array(group.unit_end - group.unit_start, pa.int64()), "spans": pa.array(spans, kind), "kept": _binary(kept)})
 
     listing = rows.groupBy("g").applyInArrow(listed, "g int, bucket int, entries binary, ids binary")
-    marks = listing.groupBy("bucket").applyInArrow(_decide, "g int, bucket int, copies binary, open binary")
+    marks = listing.groupBy("bucket").applyInArrow(lambda t: _decide(t, compare_copies), "g int, bucket int, copies binary, open binary")
     shown = rows.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(opened, "g int, bucket int, meta binary, units binary")
     settled = shown.groupBy("bucket").applyInArrow(compared, "g int, bucket int, meta binary, units binary")
     schema = T.StructType([

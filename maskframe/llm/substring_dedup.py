@@ -85,7 +85,7 @@ def resolve(units: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window: int)
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 25) -> DataFrame:
     """``row`` (the other columns), ``n_units`` (words), ``spans`` (removed word runs) and ``kept`` (words, UTF-8)."""
-    return repeats(docs, id_col, text_col, unit="word", window=window, gram=gram, resolve=resolve)
+    return repeats(docs, id_col, text_col, unit="word", window=window, gram=gram, resolve=resolve, compare_copies=True)
 
 
 def op9_substring_dedup(spark, sf_dir) -> DataFrame:
