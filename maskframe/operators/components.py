@@ -136,6 +136,27 @@ def _frames(column: pa.Array) -> list[np.ndarray | None]:
     return [values[a:b] if ok and (holes is None or holes[a] == holes[b]) else None for a, b, ok in zip(at[:-1], at[1:], there, strict=True)]
 
 
+def rasters_of(batch: pa.RecordBatch, at: int, height: int, disk: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """(place, values, disk) of a batch's rasters, whose values are its column ``at`` and whose disks, if any, the next; broken ones are left out."""
+    frames = _frames(batch.column(at))
+    disks = _frames(batch.column(at + 1)) if disk else [None] * len(frames)
+    for place, (v, on) in enumerate(zip(frames, disks, strict=True)):
+        if v is None or not len(v) or len(v) % height or (on is not None and len(on) != len(v)):
+            continue
+        yield place, v.astype(float).reshape(-1, height).T, None if on is None else on.astype(bool).reshape(-1, height).T
+
+
+def labelled(prob: np.ndarray, disk: np.ndarray | None, configs: list) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, labels) of a raster's instances under each configuration; those that differ only in the sizes they keep share their components."""
+    group: dict[tuple, list] = {}
+    for number, c in enumerate(configs):
+        group.setdefault((c.threshold, c.merge_dist, c.use_disk), []).append((number, c))
+    for setting, members in group.items():
+        labels = label_components(prob, disk, *setting)
+        for number, c in members:
+            yield number, filter_components(labels, c.min_area, c.max_instances)
+
+
 def raster_instances(rasters: DataFrame, keys: list[str], values: str, height: int, configs: list, disk: str | None = None) -> DataFrame:
     """(keys, config, label, s, e): column-major spans of each raster's instances under each configuration.
 
@@ -145,26 +166,15 @@ def raster_instances(rasters: DataFrame, keys: list[str], values: str, height: i
     """
     kinds = {f.name: f for f in rasters.schema.fields}
     schema = T.StructType([*[kinds[k] for k in keys], *[T.StructField(n, T.IntegerType()) for n in ("config", "label", "s", "e")]])
-    group: dict[tuple, list] = {}
-    for number, c in enumerate(configs):
-        group.setdefault((c.threshold, c.merge_dist, c.use_disk), []).append((number, c))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            frames = _frames(batch.column(len(keys)))
-            disks = _frames(batch.column(len(keys) + 1)) if disk else [None] * len(frames)
             parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for place, (v, on) in enumerate(zip(frames, disks, strict=True)):
-                if v is None or not len(v) or len(v) % height or (on is not None and len(on) != len(v)):
-                    continue
-                prob = v.astype(float).reshape(-1, height).T
-                where = None if on is None else on.astype(bool).reshape(-1, height).T
-                for (threshold, merge, use_disk), members in group.items():
-                    labels = label_components(prob, where, threshold, merge, use_disk)
-                    for number, c in members:
-                        label, s, e = label_spans(filter_components(labels, c.min_area, c.max_instances))
-                        for to, x in zip(parts, (np.full(len(s), place), np.full(len(s), number), label, s, e), strict=True):
-                            to.append(x)
+            for place, prob, where in rasters_of(batch, len(keys), height, bool(disk)):
+                for number, labels in labelled(prob, where, configs):
+                    label, s, e = label_spans(labels)
+                    for to, x in zip(parts, (np.full(len(s), place), np.full(len(s), number), label, s, e), strict=True):
+                        to.append(x)
             at, *rest = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in parts)
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(at)) for k in range(len(keys))], *[pa.array(x.astype(np.int32)) for x in rest]], schema.names)
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scores
+from . import components
 from . import spans as sp
 
+#: Rasters whose scores go out as one batch.
+SLICE = 512
+
 
 @dataclass(frozen=True)
 class PostConfig:
@@ -41,7 +48,8 @@ def iou(pred: DataFrame, truth: DataFrame, keys: list[str], bucket: int = 4096)
     """(keys, pred, truth, inter, iou) of pairs that overlap. Instances are rows (keys, pred|truth, s, e), disjoint inside one."""
     inter = sp.overlaps(pred, truth, keys, ["pred"], ["truth"], bucket)
     a, b = sp.area(pred, [*keys, "pred"]).withColumnRenamed("area", "pa"), sp.area(truth, [*keys, "truth"]).withColumnRenamed("area", "ta")
-    joined = inter.join(a, [*keys, "pred"]).join(b, [*keys, "truth"])
+    # spans compress so well that the planner takes tables of them for small ones and would collect them on the driver
+    joined = inter.join(a.hint("merge"), [*keys, "pred"]).join(b.hint("merge"), [*keys, "truth"])
     return joined.select(*keys, "pred", "truth", "inter", (F.col("inter") / (F.col("pa") + F.col("ta") - F.col("inter"))).alias("iou"))
 
 
@@ -72,11 +80,53 @@ def match(pairs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFram
 def statistics(matches: DataFrame, pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, tp, fp, fn, iou_sum) of every key that has a prediction or a truth."""
     n = lambda df, c, name: df.groupBy(*keys).agg(F.count_distinct(c).alias(name))
-    both = n(pred, "pred", "preds").join(n(truth, "truth", "truths"), keys, "full").join(matches.groupBy(*keys).agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum")), keys, "left")
+    hits = matches.groupBy(*keys).agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum"))
+    both = n(pred, "pred", "preds").join(n(truth, "truth", "truths"), keys, "full").join(hits.hint("merge"), keys, "left")
     both = both.fillna(0, ["preds", "truths", "tp"]).fillna(0.0, ["iou_sum"])
     return both.select(*keys, "tp", (F.col("preds") - F.col("tp")).alias("fp"), (F.col("truths") - F.col("tp")).alias("fn"), "iou_sum")
 
 
+def raster_statistics(rasters: DataFrame, keys: list[str], values: str, height: int, configs: list[PostConfig], raters: list[PostConfig], disk: str | None = None) -> DataFrame:
+    """(keys, config, rater, tp, fp, fn, iou_sum) of each raster's instances under every configuration, against those under every rater's.
+
+    What ``statistics`` gives of matches above a half, but in the raster's own task: no span leaves it, and a row is all that is
+    left of a configuration and a rater. Rasters are read as ``raster_instances`` reads them; rows without an instance are left out.
+    """
+    kinds = {f.name: f for f in rasters.schema.fields}
+    counts = ("config", "rater", "tp", "fp", "fn")
+    schema = T.StructType([*[kinds[k] for k in keys], *[T.StructField(c, T.LongType() if len(c) == 2 else T.IntegerType()) for c in counts], T.StructField("iou_sum", T.DoubleType())])
+
+    def made(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
+        at, *rest, total = (np.concatenate(c) for c in zip(*parts, strict=True))
+        columns = [pa.array(x, pa.int64() if len(c) == 2 else pa.int32()) for c, x in zip(counts, rest, strict=True)]
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(at)) for k in range(len(keys))], *columns, pa.array(total)], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            parts, seen = [], 0
+            for place, prob, where in components.rasters_of(batch, len(keys), height, bool(disk)):
+                truth = np.stack([labels.ravel() for _, labels in sorted(components.labelled(prob, where, raters), key=lambda x: x[0])]).astype(np.int64)
+                most = int(truth.max()) + 1
+                truth += np.arange(len(raters))[:, None] * most
+                for number, labels in components.labelled(prob, where, configs):
+                    n = int(labels.max()) + 1
+                    common = np.bincount((truth * n + labels.ravel()).ravel(), minlength=len(raters) * most * n).reshape(len(raters), most, n)
+                    inter, ta, pa_ = common[:, 1:, 1:], common[:, 1:].sum(2), common[0, :, 1:].sum(0)
+                    iou = inter / (ta[:, :, None] + pa_ - inter)
+                    hit = iou > 0.5  # both sides are disjoint: an instance is in one such pair at most
+                    tp, truths = hit.sum((1, 2)), (ta > 0).sum(1)
+                    some = np.flatnonzero(truths + n > 1)
+                    parts.append(tuple(x[some] for x in (np.full(len(raters), place), np.full(len(raters), number), np.arange(len(raters)), tp, n - 1 - tp, truths - tp, np.where(hit, iou, 0.0).sum((1, 2)))))
+                seen += 1
+                if seen % SLICE == 0:
+                    yield made(batch, parts)
+                    parts = []
+            if parts:
+                yield made(batch, parts)
+
+    return rasters.select(*keys, values, *([disk] if disk else [])).mapInArrow(run, schema)
+
+
 def pooled(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Sums over everything but ``keys``, with pq, sq and rq."""
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("double" if c == "iou_sum" else "long").alias(c) for c in ("tp", "fp", "fn", "iou_sum")]

@@ -36,7 +36,7 @@ def _cut(spans: DataFrame, keys: list[str], bucket: int) -> DataFrame:
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_ids: list[str], right_ids: list[str], bucket: int = 4096) -> DataFrame:
     """(keys, left_ids, right_ids, inter): the common length of each pair that has any."""
     a, b = _cut(left, keys, bucket), _cut(right, keys, bucket).withColumnsRenamed({"s": "rs", "e": "re"})
-    pairs = a.join(b, [*keys, "bucket"]).where("s < re and rs < e")
+    pairs = a.join(b.hint("merge"), [*keys, "bucket"]).where("s < re and rs < e")  # never collected on the driver: cuts and copies of a small file are many rows
     return pairs.groupBy(*keys, *left_ids, *right_ids).agg(F.sum(F.least("e", "re") - F.greatest("s", "rs")).alias("inter"))
 
 

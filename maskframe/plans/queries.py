@@ -281,9 +281,12 @@ def mask_area_bbox(spark, sf):
     return sp.boxes(_mask_runs(spark, sf, 0.1), ["vec_id"], F.lit(8))
 
 
+def _with_disk(spark, sf) -> DataFrame:
+    return rasters(spark, sf).select("*", F.transform(F.sequence(F.lit(0), F.lit(63)), _on_disk).alias("disk"))
+
+
 def _instances(spark, sf, configs) -> DataFrame:
-    disk = F.transform(F.sequence(F.lit(0), F.lit(63)), _on_disk).alias("disk")
-    return components.raster_instances(rasters(spark, sf).select("*", disk), ["vec_id"], "v", 8, configs, "disk")
+    return components.raster_instances(_with_disk(spark, sf), ["vec_id"], "v", 8, configs, "disk")
 
 
 def instance_filter(spark, sf):
@@ -336,9 +339,7 @@ def pq_match(spark, sf):
 
 
 def _pooled(spark, sf, configs) -> DataFrame:
-    pred, truth = _sides(spark, sf, configs)
-    found = panoptic.match(panoptic.iou(pred, truth, KEYS, 64), KEYS)
-    return panoptic.pooled(panoptic.statistics(found, pred, truth, KEYS), ["config"])
+    return panoptic.pooled(panoptic.raster_statistics(_with_disk(spark, sf), ["vec_id"], "v", 8, configs, ANNOTATORS, "disk"), ["config"])
 
 
 def pq_pooled(spark, sf):

@@ -212,6 +212,40 @@ def test_panoptic_facts(spark):
     assert (r["fp"], r["fn"]) == (1, 1)
 
 
+def test_rasters_scored_in_their_own_task(spark):
+    """What the spans' overlaps and matches give, broken rasters and disks included."""
+    r = np.random.default_rng(8)
+    rows = []
+    for k in range(40):
+        p, d = np.round(r.random(42), 1), r.random(42) < 0.8
+        rows.append((k, None if k % 9 == 4 else (p * (k % 8 > 0)).tolist(), None if k % 5 == 0 else d.tolist()))
+    rows += [(40, [], []), (41, [0.9] * 41 + [None], None), (42, [0.9] * 41, None), (43, [0.9] * 42, [True] * 6), (44, [float("nan")] * 42, None)]
+    df = spark.createDataFrame(rows, "k int, v array<double>, d array<boolean>").repartition(2)
+    configs = [PostConfig(0.5, 1, 0, True, 4), PostConfig(0.6, 2, 1, True, 9), PostConfig(0.5, 2, 0, True, 9), PostConfig(0.95, 6, 0, False, 9)]
+    raters = [PostConfig(0.5, 1, 0, False, 60), PostConfig(0.7, 1, 0, True, 60), PostConfig(2.0, 1, 0, True, 60)]
+    keys = ["k", "rater", "config"]
+    both = c.raster_instances(df, ["k"], "v", 6, [*configs, *raters], "d").cache()
+    pred = both.where("config < 4").select("k", F.explode(F.array(*map(F.lit, range(3)))).alias("rater"), "config", F.col("label").alias("pred"), "s", "e")
+    truth = both.where("config >= 4").select("k", (F.col("config") - 4).alias("rater"), F.explode(F.array(*map(F.lit, range(4)))).alias("config"), F.col("label").alias("truth"), "s", "e")
+    want = panoptic.statistics(panoptic.match(panoptic.iou(pred, truth, keys), keys), pred, truth, keys)
+    got = panoptic.raster_statistics(df, ["k"], "v", 6, configs, raters, "d")
+    told = lambda rows: sorted((*(x[c] for c in (*keys, "tp", "fp", "fn")), round(x["iou_sum"], 9)) for x in rows.collect())
+    assert got.dtypes[3:] == [(c, "bigint") for c in ("tp", "fp", "fn")] + [("iou_sum", "double")]
+    assert told(got) == told(want) and sum(x["tp"] for x in got.collect()) > 100
+    both.unpersist()
+
+
+def test_no_spans_on_the_driver(spark, tmp_path):
+    """Many spans in a small file: the planner would broadcast them."""
+    spark.range(200_000).selectExpr("id div 10 as k", "cast(id % 10 as int) as pred", "id % 10 * 6 as s", "id % 10 * 6 + 4 as e").write.parquet(f"{tmp_path}/a")
+    a = spark.read.parquet(f"{tmp_path}/a")
+    b = a.withColumnRenamed("pred", "truth")
+    found = panoptic.match(panoptic.iou(a, b, ["k"]), ["k"])
+    total = panoptic.pooled(panoptic.statistics(found, a, b, ["k"]), [])
+    assert total.first()["tp"] == 200_000
+    assert "BroadcastExchange" not in total._jdf.queryExecution().toString()
+
+
 def test_greedy_equals_ranked_and_low_thresholds(spark):
     pairs = spark.createDataFrame([(0, 1, 1, 0.45), (0, 1, 2, 0.4), (0, 2, 1, 0.44), (0, 2, 2, 0.35), (0, 3, 3, 0.9)], "k int, pred int, truth int, iou double")
     got = {(r["pred"], r["truth"]) for r in panoptic.match(pairs, ["k"], 0.3).collect()}

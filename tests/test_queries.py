@@ -42,3 +42,9 @@ def test_rows_only(spark):
     assert sorted(map(str, crops.repartition(3).collect())) == sorted(map(str, got))
     frames = synthetic.frames(spark, 12, 96).collect()
     assert len({r["stem"] for r in frames}) == 12 and {r["annotator"] for r in frames} == {"A1", "A2", "A3"}
+
+
+def test_grid_keeps_instances_in_their_tasks(spark):
+    """Nothing but the settings' table comes to the driver, and no instance is copied for each configuration and rater."""
+    plan = queries.grid_tune(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("BroadcastExchange") <= 1 and "Generate" not in plan
