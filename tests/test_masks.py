@@ -43,6 +43,14 @@ def test_span_algebra_against_pixels(spark, seed):
     assert share.keys() == want.keys() and all(abs(share[q] - want[q]) < 1e-12 for q in want)
 
 
+def test_union_of_equal_spans(spark):
+    """Which of two equal spans comes first makes no difference, however rows are dealt."""
+    rows = [(k, s, e) for k in range(300) for s, e in ((1, 10), (50, 71), (50, 71), (50, 60), (71, 80), (71, 80))]
+    for parts in (1, 7):
+        got = sorted(tuple(r) for r in sp.union(spark.createDataFrame(rows, "k int, s long, e long").repartition(parts), ["k"]).collect())
+        assert got == [(k, s, e) for k in range(300) for s, e in ((1, 10), (50, 80))]
+
+
 def test_overlap_lengths_don_t_double_at_bucket_edges(spark):
     a, b = spark.createDataFrame([(1, 1, 0, 100)], "k int, p int, s long, e long"), spark.createDataFrame([(1, 9, 5, 95)], "k int, t int, s long, e long")
     assert [r["inter"] for r in sp.overlaps(a, b, ["k"], ["p"], ["t"], bucket=10).collect()] == [90]
