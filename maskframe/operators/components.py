@@ -76,10 +76,11 @@ def grown(mask: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-def label_components(prob: np.ndarray, disk: np.ndarray | None, threshold: float = 0.5, merge: int = 0, use_disk: bool = True) -> np.ndarray:
+def label_components(prob: np.ndarray, disk: np.ndarray | None, threshold: float = 0.5, merge: int = 0, use_disk: bool = True, inside: np.ndarray | None = None) -> np.ndarray:
     """Labels of the pixels that reach the threshold (on the disk, if it is used); pieces joined by dilation share one.
 
     Pieces up to 2 * merge apart are joined; what the dilation covers outside the disk connects but is not labelled.
+    ``inside``: where the raster is several rasters beside each other, their pixels; between them nothing connects.
     """
     on = prob >= threshold
     if use_disk and disk is not None:
@@ -88,14 +89,16 @@ def label_components(prob: np.ndarray, disk: np.ndarray | None, threshold: float
         return np.zeros(prob.shape, np.int32)
     if merge <= 0:
         return raster_labels(on)
-    labels = np.where(on, raster_labels(grown(on, merge)), 0)
+    wide = grown(on, merge)
+    labels = np.where(on, raster_labels(wide if inside is None else wide & inside), 0)
     return _renumbered(labels)
 
 
 def _renumbered(labels: np.ndarray) -> np.ndarray:
     """Labels 1..k by their smallest column-major offset."""
     seen, first = np.unique(labels.T.ravel(), return_index=True)
-    order = [v for _, v in sorted(zip(first.tolist(), seen.tolist(), strict=True)) if v]
+    order = seen[np.argsort(first)]
+    order = order[order > 0]
     table = np.zeros(int(labels.max(initial=0)) + 1, np.int32)
     table[order] = np.arange(1, len(order) + 1)
     return table[labels]
@@ -121,6 +124,36 @@ def label_spans(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return flat[s[on]] if len(s) else flat[:0], s[on], e[on]
 
 
+def side_by_side(rasters: list[tuple[np.ndarray, np.ndarray | None]], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, disks, inside) of rasters of one shape as one raster, each followed by ``gap`` blank columns."""
+    h, w = rasters[0][0].shape
+    inside = np.zeros((h, len(rasters), w + gap), bool)
+    inside[:, :, :w] = True
+    prob, disk = np.full(inside.shape, np.nan), inside.copy()
+    for k, (v, on) in enumerate(rasters):
+        prob[:, k, :w] = v
+        if on is not None:
+            disk[:, k, :w] = on
+    return prob.reshape(h, -1), disk.reshape(h, -1), inside.reshape(h, -1)
+
+
+def filter_side_by_side(labels: np.ndarray, size: int, min_area: int, max_instances: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``filter_components`` of rasters side by side, of ``size`` places each with the gap: the kept labels' numbers 1..k by place
+    (column-major), and for each number its area and its raster."""
+    flat = labels.T.ravel()
+    area, owner = np.bincount(flat), np.zeros(int(flat.max(initial=0)) + 1, np.int64)
+    at = np.flatnonzero(flat)
+    owner[flat[at]] = at // size
+    label = np.flatnonzero(area >= max(min_area, 1))
+    label = label[label > 0]
+    order = label[np.lexsort((label, -area[label], owner[label]))]
+    rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+    kept = np.sort(order[rank < max_instances])
+    table = np.zeros(len(area), np.int64)
+    table[kept] = np.arange(1, len(kept) + 1)
+    return table[flat], area[kept], owner[kept]
+
+
 def instances(prob: np.ndarray, disk: np.ndarray | None, config) -> np.ndarray:
     labels = label_components(prob, disk, config.threshold, config.merge_dist, config.use_disk)
     return filter_components(labels, config.min_area, config.max_instances)
@@ -146,15 +179,12 @@ def rasters_of(batch: pa.RecordBatch, at: int, height: int, disk: bool) -> Itera
         yield place, v.astype(float).reshape(-1, height).T, None if on is None else on.astype(bool).reshape(-1, height).T
 
 
-def labelled(prob: np.ndarray, disk: np.ndarray | None, configs: list) -> Iterator[tuple[int, np.ndarray]]:
-    """(number, labels) of a raster's instances under each configuration; those that differ only in the sizes they keep share their components."""
+def shared_settings(configs: list) -> dict[tuple, list]:
+    """(number, configuration) by what components depend on: those that differ only in the sizes they keep share them."""
     group: dict[tuple, list] = {}
     for number, c in enumerate(configs):
         group.setdefault((c.threshold, c.merge_dist, c.use_disk), []).append((number, c))
-    for setting, members in group.items():
-        labels = label_components(prob, disk, *setting)
-        for number, c in members:
-            yield number, filter_components(labels, c.min_area, c.max_instances)
+    return group
 
 
 def raster_instances(rasters: DataFrame, keys: list[str], values: str, height: int, configs: list, disk: str | None = None) -> DataFrame:
@@ -166,15 +196,18 @@ def raster_instances(rasters: DataFrame, keys: list[str], values: str, height: i
     """
     kinds = {f.name: f for f in rasters.schema.fields}
     schema = T.StructType([*[kinds[k] for k in keys], *[T.StructField(n, T.IntegerType()) for n in ("config", "label", "s", "e")]])
+    group = shared_settings(configs)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in range(5)]
             for place, prob, where in rasters_of(batch, len(keys), height, bool(disk)):
-                for number, labels in labelled(prob, where, configs):
-                    label, s, e = label_spans(labels)
-                    for to, x in zip(parts, (np.full(len(s), place), np.full(len(s), number), label, s, e), strict=True):
-                        to.append(x)
+                for setting, members in group.items():
+                    labels = label_components(prob, where, *setting)
+                    for number, c in members:
+                        label, s, e = label_spans(filter_components(labels, c.min_area, c.max_instances))
+                        for to, x in zip(parts, (np.full(len(s), place), np.full(len(s), number), label, s, e), strict=True):
+                            to.append(x)
             at, *rest = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in parts)
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(at)) for k in range(len(keys))], *[pa.array(x.astype(np.int32)) for x in rest]], schema.names)
 

@@ -16,8 +16,8 @@ from ..functions import scores
 from . import components
 from . import spans as sp
 
-#: Rasters whose scores go out as one batch.
-SLICE = 512
+#: Pixels of rasters of one shape that are scored together, side by side; a larger raster is scored alone.
+BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -96,33 +96,54 @@ def raster_statistics(rasters: DataFrame, keys: list[str], values: str, height:
     counts = ("config", "rater", "tp", "fp", "fn")
     schema = T.StructType([*[kinds[k] for k in keys], *[T.StructField(c, T.LongType() if len(c) == 2 else T.IntegerType()) for c in counts], T.StructField("iou_sum", T.DoubleType())])
 
-    def made(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
-        at, *rest, total = (np.concatenate(c) for c in zip(*parts, strict=True))
-        columns = [pa.array(x, pa.int64() if len(c) == 2 else pa.int32()) for c, x in zip(counts, rest, strict=True)]
-        return pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(at)) for k in range(len(keys))], *columns, pa.array(total)], schema.names)
+    gap = max([1, *(c.merge_dist for c in (*configs, *raters))])
+
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list]]:
+        places, block = [], []
+        for place, *one in components.rasters_of(batch, len(keys), height, bool(disk)):
+            if block and (one[0].shape != block[0][0].shape or (len(block) + 1) * one[0].size > BLOCK):
+                yield places, block
+                places, block = [], []
+            places.append(place)
+            block.append(one)
+        if block:
+            yield places, block
+
+    def scored(block: list) -> Iterator[tuple]:
+        """(raster of the block, config, rater, tp, fp, fn, iou_sum), each an array."""
+        prob, on, inside = components.side_by_side(block, gap)
+        n = len(block)
+
+        def side(cs: list[PostConfig]) -> Iterator[tuple]:
+            for setting, members in components.shared_settings(cs).items():
+                labels = components.label_components(prob, on, *setting, inside)
+                for number, c in members:
+                    yield number, components.filter_side_by_side(labels, prob.size // n, c.min_area, c.max_instances)
+
+        truth = list(side(raters))
+        for config, (p, pred_area, pred_of) in side(configs):
+            preds = np.bincount(pred_of, minlength=n)
+            for rater, (t, truth_area, truth_of) in truth:
+                at, base = np.flatnonzero((p > 0) & (t > 0)), len(truth_area) + 1
+                pair, inter = np.unique(p[at] * base + t[at], return_counts=True)
+                a, b = pair // base - 1, pair % base - 1
+                iou = inter / (pred_area[a] + truth_area[b] - inter)
+                hit = iou > 0.5  # both sides are disjoint: an instance is in one such pair at most
+                of = pred_of[a[hit]]
+                tp, truths = np.bincount(of, minlength=n), np.bincount(truth_of, minlength=n)
+                some = np.flatnonzero(preds + truths)
+                yield tuple(x[some] for x in (np.arange(n), np.full(n, config), np.full(n, rater), tp, preds - tp, truths - tp, np.bincount(of, iou[hit], n)))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            parts, seen = [], 0
-            for place, prob, where in components.rasters_of(batch, len(keys), height, bool(disk)):
-                truth = np.stack([labels.ravel() for _, labels in sorted(components.labelled(prob, where, raters), key=lambda x: x[0])]).astype(np.int64)
-                most = int(truth.max()) + 1
-                truth += np.arange(len(raters))[:, None] * most
-                for number, labels in components.labelled(prob, where, configs):
-                    n = int(labels.max()) + 1
-                    common = np.bincount((truth * n + labels.ravel()).ravel(), minlength=len(raters) * most * n).reshape(len(raters), most, n)
-                    inter, ta, pa_ = common[:, 1:, 1:], common[:, 1:].sum(2), common[0, :, 1:].sum(0)
-                    iou = inter / (ta[:, :, None] + pa_ - inter)
-                    hit = iou > 0.5  # both sides are disjoint: an instance is in one such pair at most
-                    tp, truths = hit.sum((1, 2)), (ta > 0).sum(1)
-                    some = np.flatnonzero(truths + n > 1)
-                    parts.append(tuple(x[some] for x in (np.full(len(raters), place), np.full(len(raters), number), np.arange(len(raters)), tp, n - 1 - tp, truths - tp, np.where(hit, iou, 0.0).sum((1, 2)))))
-                seen += 1
-                if seen % SLICE == 0:
-                    yield made(batch, parts)
-                    parts = []
-            if parts:
-                yield made(batch, parts)
+            for places, block in blocks(batch):
+                parts = list(scored(block))
+                if not parts:
+                    continue
+                at, *rest, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+                columns = [pa.array(x, pa.int64() if len(c) == 2 else pa.int32()) for c, x in zip(counts, rest, strict=True)]
+                at = pa.array(np.array(places)[at])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(len(keys))], *columns, pa.array(total)], schema.names)
 
     return rasters.select(*keys, values, *([disk] if disk else [])).mapInArrow(run, schema)
 

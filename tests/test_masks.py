@@ -227,8 +227,9 @@ def test_rasters_scored_in_their_own_task(spark):
     for k in range(40):
         p, d = np.round(r.random(42), 1), r.random(42) < 0.8
         rows.append((k, None if k % 9 == 4 else (p * (k % 8 > 0)).tolist(), None if k % 5 == 0 else d.tolist()))
-    rows += [(40, [], []), (41, [0.9] * 41 + [None], None), (42, [0.9] * 41, None), (43, [0.9] * 42, [True] * 6), (44, [float("nan")] * 42, None)]
-    df = spark.createDataFrame(rows, "k int, v array<double>, d array<boolean>").repartition(2)
+    rows += [(40, [], []), (41, [0.9] * 41 + [None], None), (42, [0.9] * 41, None), (43, [0.9] * 42, [True] * 6), (44, [float("nan")] * 42, None), (45, [0.9] * 600, None)]
+    rows += [(46 + k, r.random(6 * (3 + k // 2)).tolist(), None) for k in range(12)]  # of other widths
+    df = spark.createDataFrame(rows, "k int, v array<double>, d array<boolean>").coalesce(2)
     configs = [PostConfig(0.5, 1, 0, True, 4), PostConfig(0.6, 2, 1, True, 9), PostConfig(0.5, 2, 0, True, 9), PostConfig(0.95, 6, 0, False, 9)]
     raters = [PostConfig(0.5, 1, 0, False, 60), PostConfig(0.7, 1, 0, True, 60), PostConfig(2.0, 1, 0, True, 60)]
     keys = ["k", "rater", "config"]
@@ -241,6 +242,7 @@ def test_rasters_scored_in_their_own_task(spark):
     assert got.dtypes[3:] == [(c, "bigint") for c in ("tp", "fp", "fn")] + [("iou_sum", "double")]
     assert told(got) == told(want) and sum(x["tp"] for x in got.collect()) > 100
     both.unpersist()
+    assert not panoptic.raster_statistics(df, ["k"], "v", 6, configs, [], "d").collect()
 
 
 def test_no_spans_on_the_driver(spark, tmp_path):
